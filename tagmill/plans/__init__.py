@@ -18,4 +18,6 @@ class Item:
 
 def registry() -> dict[str, Item]:
     """All queries of the package outside ``llm``."""
-    return {}
+    from tagmill.plans import recognition
+
+    return {**recognition.ITEMS}
