@@ -53,7 +53,7 @@ def ascii_fold(text: Column) -> Column:
 
 def closed(text: Column) -> Column:
     """``text`` with a full stop unless it ends in one, or in a question or exclamation mark."""
-    return F.when(text.rlike("[.!?]$"), text).otherwise(F.concat(text, F.lit(".")))
+    return F.when(text.rlike(r"[.!?]\z"), text).otherwise(F.concat(text, F.lit(".")))
 
 
 def junk_reason(mention: Column) -> Column:
