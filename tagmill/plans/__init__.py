@@ -18,6 +18,6 @@ class Item:
 
 def registry() -> dict[str, Item]:
     """All queries of the package outside ``llm``."""
-    from tagmill.plans import corpus, recognition, text
+    from tagmill.plans import corpus, labels, recognition, text
 
-    return {**recognition.ITEMS, **text.ITEMS, **corpus.ITEMS}
+    return {**recognition.ITEMS, **text.ITEMS, **corpus.ITEMS, **labels.ITEMS}
