@@ -13,7 +13,8 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -29,10 +30,26 @@ _ODD = re.compile("[\x1c-\x1f]")
 _CHUNK = regex.compile(r"[^\p{White_Space}]+")
 
 
+class Memory(dict):
+    """What ``make`` gives for each key, remembered for ``most`` short keys at a time."""
+
+    def __init__(self, make: Callable, most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str):
+        found = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = found
+        return found
+
+
 class ForcedBoundaryBPE:
     """Encoder and decoder of a tokenizers JSON file whose model is BPE over byte characters with a word-end suffix."""
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 350_000):
         with open(path, encoding="utf-8") as file:
             said = json.load(file)
         model = said["model"]
@@ -48,35 +65,32 @@ class ForcedBoundaryBPE:
         self.byte_char = {b: c for c, b in byte_alphabet().items()}
         joined = {pair for t in self.vocab for pair in self._neighbours(t)}
         self.inside = frozenset(joined)
-        self.most, self.fragments, self.chunks = most, {}, {}
+        self.inner_ids, self.last_ids = Memory(self._inner_ids, most), Memory(self._last_ids, most)
+        self.word_ids, self.chunks = Memory(self._word, most), Memory(self._chunk, most)
 
-    def _neighbours(self, token: str) -> Iterator[str]:
+    def _neighbours(self, token: str) -> Iterator[tuple[str, str]]:
         body = token.removesuffix(self.end)
-        return (body[i : i + 2] for i in range(len(body) - 1))
+        return zip(body, body[1:], strict=False)
 
     def cut(self, word: str) -> list[str]:
         """``word`` (byte characters) at every pair that stands in no token."""
-        at = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.inside), len(word)]
-        return [word[a:b] for a, b in zip(at, at[1:], strict=False)]
-
-    def _fragment(self, fragment: str, ends_word: bool) -> tuple[int, ...]:
-        key = (fragment, ends_word)
-        found = self.fragments.get(key)
-        if found is None:
-            if len(self.fragments) >= self.most:
-                self.fragments.clear()
-            found = tuple(t.id for t in (self.last if ends_word else self.inner).tokenize(fragment))
-            if len(fragment) <= 64:
-                self.fragments[key] = found
-        return found
+        inside = self.inside
+        forced = [i for i, pair in enumerate(zip(word, word[1:], strict=False), 1) if pair not in inside]
+        return [word[a:b] for a, b in zip([0, *forced], [*forced, len(word)], strict=True)] if forced else [word]
+
+    def _inner_ids(self, fragment: str) -> tuple[int, ...]:
+        return tuple([t.id for t in self.inner.tokenize(fragment)])
+
+    def _last_ids(self, fragment: str) -> tuple[int, ...]:
+        return tuple([t.id for t in self.last.tokenize(fragment)])
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        *parts, end = self.cut("".join(map(self.byte_char.__getitem__, word.encode("utf-8"))))
+        return (*chain.from_iterable(map(self.inner_ids.__getitem__, parts)), *self.last_ids[end])
 
     def _chunk(self, chunk: str) -> tuple[bytes, str]:
         """Ids and decoded text of normalised text without white space."""
-        ids: list[int] = []
-        for word in self.words.findall(chunk):
-            parts = self.cut("".join(map(self.byte_char.__getitem__, word.encode("utf-8"))))
-            for i, part in enumerate(parts):
-                ids += self._fragment(part, i == len(parts) - 1)
+        ids = list(chain.from_iterable(map(self.word_ids.__getitem__, self.words.findall(chunk))))
         return array("I", ids).tobytes(), " ".join(map(self.token.__getitem__, ids))
 
     def normalise(self, text: str) -> str:
@@ -95,17 +109,9 @@ class ForcedBoundaryBPE:
                 said.append(part)
                 continue
             clean = self.normalise(part)
-            for chunk in _CHUNK.findall(clean) if _ODD.search(clean) else clean.split():
-                found = self.chunks.get(chunk)
-                if found is None:
-                    if len(self.chunks) >= self.most:
-                        self.chunks.clear()
-                    found = self._chunk(chunk)
-                    if len(chunk) <= 64:
-                        self.chunks[chunk] = found
-                if found[0]:
-                    ids.append(found[0])
-                    said.append(found[1])
+            found = list(map(self.chunks.__getitem__, _CHUNK.findall(clean) if _ODD.search(clean) else clean.split()))
+            ids += [x for x, _ in found]
+            said += [x for _, x in found]
         return b"".join(ids), " ".join(said)
 
     def decode(self, ids: list[int]) -> str:
