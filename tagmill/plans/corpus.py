@@ -144,11 +144,12 @@ def _diff(spark, d):
     old = docs.filter("doc_id % 2 = 0").groupBy("lang", "source").agg(F.count("*").alias("n_old"))
     new = docs.filter("doc_id % 2 = 1").groupBy("lang", "source").agg(F.count("*").alias("n_new"))
     both = old.join(new, ["lang", "source"], "full_outer")
-    return both.withColumn("status", F.when(F.col("n_old").isNull(), "added").when(F.col("n_new").isNull(), "removed").when(F.col("n_old").eqNullSafe(F.col("n_new")), "same").otherwise("changed"))
+    status = F.when(F.col("n_old").isNull(), "added").when(F.col("n_new").isNull(), "removed").when(F.col("n_old") == F.col("n_new"), "same").otherwise("changed")
+    return both.select("lang", "source", F.coalesce("n_old", F.lit(0)).alias("n_old"), F.coalesce("n_new", F.lit(0)).alias("n_new"), status.alias("status"))
 
 
 _DIFF = """with o as (select lang, source, count(*) as n_old from documents where doc_id % 2 = 0 group by all), n as (select lang, source, count(*) as n_new from documents where doc_id % 2 = 1 group by all)
-select coalesce(o.lang, n.lang) as lang, coalesce(o.source, n.source) as source, n_old, n_new, case when n_old is null then 'added' when n_new is null then 'removed' when n_old = n_new then 'same' else 'changed' end as status from o full join n on o.lang = n.lang and o.source = n.source"""
+select coalesce(o.lang, n.lang) as lang, coalesce(o.source, n.source) as source, coalesce(n_old, 0) as n_old, coalesce(n_new, 0) as n_new, case when n_old is null then 'added' when n_new is null then 'removed' when n_old = n_new then 'same' else 'changed' end as status from o full join n on o.lang = n.lang and o.source = n.source"""
 
 
 def _buckets(spark, d):
