@@ -2,7 +2,7 @@
 
 An event is a row (conv_id, seq, kind, turn, role, text). Events of a conversation are sorted by ``seq`` and folded:
 ``message`` starts or replaces a turn's text, ``delta`` appends to it, ``edit`` replaces it, ``regenerate`` empties it (and
-drops the turns after it), ``delete`` takes the turn away. What is left is rendered as
+drops the turns after it), ``delete`` takes the turn away until a message or edit. A turn has the last role it was given. What is left is rendered as
 ``<|turn|>role<|says|>text<|end|>`` in turn order. Inside roles and texts every ``<``, backslashes, ``|`` gets one more
 backslash before the bar, so no marker can occur there, and taking one away restores the text.
 """
@@ -41,13 +41,15 @@ def fold_events(events: DataFrame) -> DataFrame:
     later = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
     cut_turn = F.min(F.when(F.col("kind") == "regenerate", F.col("turn"))).over(later)
     epoch = F.sum((F.col("kind") != "delta").cast("long")).over(per_turn)
+    whole_turn = per_turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    e = e.withColumn("role", F.last("role", ignorenulls=True).over(whole_turn))
     marked = e.withColumn("dropped", F.coalesce(cut_turn < F.col("turn"), F.lit(False))).withColumn("epoch", epoch).withColumn("nth", F.row_number().over(per_turn))
     last = F.max("epoch").over(Window.partitionBy("conv_id", "turn"))
     live = marked.withColumn("last", last).filter("epoch = last and not dropped")
     said = F.when(F.col("kind").isin("regenerate", "delete"), F.lit("")).otherwise(F.col("text"))
     parts = F.sort_array(F.collect_list(F.struct("nth", said.alias("said"))))
     turns = live.groupBy("conv_id", "turn").agg(
-        F.max_by("role", F.when(F.col("role").isNotNull(), F.col("nth"))).alias("role"),
+        F.max("role").alias("role"),
         F.array_join(F.transform(parts, lambda x: x["said"]), "").alias("text"),
         F.max((F.col("kind") == "delete").cast("int")).alias("gone"),
     )
