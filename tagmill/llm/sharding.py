@@ -48,10 +48,11 @@ def first_map(loads: DataFrame, shards: int) -> DataFrame:
 
 
 def edit_map(slot_map: DataFrame, loads: DataFrame, shards: int) -> DataFrame:
-    """The next version, for ``shards`` shards (as many as before, or more): slots move only out of shards above the mean.
+    """The next version, for ``shards`` shards, as many as before or more; slots move only out of shards above the mean.
 
-    While a slot of the fullest shard fits into the emptiest one without filling it beyond the mean, the largest such
-    slot moves. Slots new in ``loads`` are added. Every other slot keeps its shard, so few records travel.
+    If shards are new, slots move into these only; else into the emptiest. While a slot of the fullest shard fits there
+    without filling it beyond the mean, the largest such slot moves. Slots new in ``loads`` are added. Every other
+    slot keeps its shard, so few records travel.
     """
     known = {r.virtual_slot: r.shard for r in slot_map.collect()}
     version = max((r.version for r in slot_map.select("version").distinct().collect()), default=0) + 1
@@ -63,8 +64,10 @@ def edit_map(slot_map: DataFrame, loads: DataFrame, shards: int) -> DataFrame:
         held[shard].append((size[slot], slot))
         total[shard] += size[slot]
     mean = sum(total.values()) / shards
+    fresh = set(range(shards)) - set(known.values())
+    takers = fresh or set(total)
     while True:
-        full, empty = max(total, key=lambda s: (total[s], -s)), min(total, key=lambda s: (total[s], s))
+        full, empty = max(total, key=lambda s: (total[s], -s)), min(takers, key=lambda s: (total[s], s))
         room = min(mean - total[empty], total[full] - total[empty] - 1)
         fitting = [x for x in held[full] if 0 < x[0] <= room]
         if not fitting or total[full] <= mean:
