@@ -175,7 +175,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = R
         q, ids = queries.column("q").to_numpy(), own.column("rep").to_numpy()
         if not len(q) or not len(ids):
             return pa.table({"q": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        x, found = _matrix(own.column("embedding")), []
+        ids, first = np.unique(ids, return_index=True)  # a block may span curves and hold a row twice
+        x, found = _matrix(own.column("embedding"))[first], []
         for a in range(0, len(q), 512):
             s = _matrix(queries.column("wanted").slice(a, 512)) @ x.T
             r, c = _best(s, ids, k + 1)
