@@ -18,6 +18,6 @@ class Item:
 
 def registry() -> dict[str, Item]:
     """All queries of the package outside ``llm``."""
-    from tagmill.plans import building, corpus, labels, recognition, records, text
+    from tagmill.plans import building, corpus, edges, labels, recognition, records, text
 
-    return {**recognition.ITEMS, **text.ITEMS, **corpus.ITEMS, **labels.ITEMS, **records.ITEMS, **building.ITEMS}
+    return {**recognition.ITEMS, **text.ITEMS, **corpus.ITEMS, **labels.ITEMS, **records.ITEMS, **building.ITEMS, **edges.ITEMS}
