@@ -17,6 +17,7 @@ import re
 from array import array
 from collections import deque
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -54,7 +55,7 @@ class ByteLevelEncoder(dict):
     go to the tokenizers library whole, as do all texts if the vocabulary's ids don't follow its merges' order.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 300_000):
         super().__init__()
         self.most = most
         self.library = Tokenizer.from_file(path)
@@ -82,6 +83,7 @@ class ByteLevelEncoder(dict):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.__getitem__, _CHUNKS.findall(text)))
 
+    @cached_property
     def sentence_tables(self) -> tuple[np.ndarray, np.ndarray]:
         """For each id: whether a sentence may end with it; whether one may begin with it."""
         size = max(self.library.get_vocab_size(), max(self.bytes, default=0) + 1)
@@ -92,6 +94,12 @@ class ByteLevelEncoder(dict):
         return ends, begins
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> ByteLevelEncoder:
+    """The encoder of a file, kept with what it remembers for all tasks of a Python worker."""
+    return ByteLevelEncoder(path)
+
+
 def candidate_cuts(total: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, length: int, last: bool) -> tuple[np.ndarray, np.ndarray]:
     """Positions where a window may end, ascending from 0 to ``total``, and their penalties."""
     cost = {}
@@ -156,7 +164,7 @@ class _Doc(NamedTuple):
 
 class _Packer:
     def __init__(self, encoder: ByteLevelEncoder, length: int, first: int):
-        self.ends, self.begins = encoder.sentence_tables()
+        self.ends, self.begins = encoder.sentence_tables
         self.length, self.next, self.docs = length, first, []
 
     def flush(self, last: bool) -> pa.RecordBatch | None:
@@ -211,7 +219,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = 1,
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ByteLevelEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         packer, held = _Packer(encoder, length, TaskContext.get().partitionId() << 36), 0
         tail = np.array([end_id], "<u4").tobytes()
         for batch in batches:
