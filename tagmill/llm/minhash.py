@@ -204,19 +204,20 @@ def _similar_size(percent: int):
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
-def _meetings(placed: DataFrame, apart: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+def _meetings(placed: DataFrame, apart: DataFrame, sketches: DataFrame, percent: int, once: bool = True) -> DataFrame:
     """Distinct pairs (a, b) of different components, similar by their sketches: in each bucket of ``apart`` the members outside its largest component against all.
 
     Both sides are dealt into blocks, and the pairs of a block are compared inside one task, so what leaves it are the
-    likely links and not the pairs looked at; a bucket's size is bounded by its blocks only.
+    likely links and not the pairs looked at; a bucket's size is bounded by its blocks only. With ``once`` a pair is told in
+    the first bucket that it shares only, by the true band keys; keys must be band keys then.
     """
     most_a, most_b = BLOCK
     sized = apart.select("key", "major", F.ceil(F.col("others") / most_a).cast("int").alias("na"), F.ceil(F.col("members") / most_b).cast("int").alias("nb"))
     rows = placed.join(sized, "key").join(sketches, "id")
     spread = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     own = lambda n: F.pmod(F.hash("id"), F.col(n))
-    outside = rows.filter("comp != major").select("key", own("na").alias("ba"), F.explode(spread("nb")).alias("bb"), F.lit(0).alias("side"), "band", "id", "n", "comp", "sketch")
-    everyone = rows.select("key", F.explode(spread("na")).alias("ba"), own("nb").alias("bb"), F.lit(1).alias("side"), "band", "id", "n", "comp", "sketch")
+    outside = rows.filter("comp != major").select("key", own("na").alias("ba"), F.explode(spread("nb")).alias("bb"), F.lit(0).alias("side"), "id", "n", "comp", "sketch", "bands")
+    everyone = rows.select("key", F.explode(spread("na")).alias("ba"), own("nb").alias("bb"), F.lit(1).alias("side"), "id", "n", "comp", "sketch", "bands")
     blocks = outside.union(everyone).repartition("key", "ba", "bb").sortWithinPartitions("key", "ba", "bb", "side")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -227,16 +228,16 @@ def _meetings(placed: DataFrame, apart: DataFrame, sketches: DataFrame, percent:
             if held and len(batch):
                 last = [held[-1].column(i)[-1].as_py() for i in range(3)]
                 if last != keys[:, 0].tolist():
-                    yield _likely(held, percent)
+                    yield _likely(held, percent, once)
                     held = []
             edges = np.flatnonzero(same)
             for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
                 held.append(batch.slice(a, b - a))
                 if k < len(edges) - 2:
-                    yield _likely(held, percent)
+                    yield _likely(held, percent, once)
                     held = []
         if held:
-            yield _likely(held, percent)
+            yield _likely(held, percent, once)
 
     return blocks.mapInArrow(run, "a long, b long").distinct()
 
@@ -258,20 +259,20 @@ def least_share(percent: int, n: int) -> float:
     return share - ERRORS * (share * (1 - share) / m * factor) ** 0.5
 
 
-def _likely(parts: list[pa.RecordBatch], percent: int) -> pa.RecordBatch:
+def _likely(parts: list[pa.RecordBatch], percent: int, once: bool) -> pa.RecordBatch:
     """Pairs of one block whose sketches agree in almost ``percent`` of their slots, and whose sizes and components allow a link."""
     t = pa.Table.from_batches(parts).combine_chunks()
     side, ids, n, comp = (t.column(c).to_numpy() for c in ("side", "id", "n", "comp"))
-    band = t.column("band")[0].as_py()
     mark = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+    bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+    key = t.column("key")[0].as_py()
     b, found = np.flatnonzero(side == 1), []
     for i in np.flatnonzero(side == 0):
         fits = b[(comp[b] != comp[i]) & (100 * np.minimum(n[b], n[i]) >= percent * np.maximum(n[b], n[i]))]
         if len(fits):
-            same = mark[fits] == mark[i]
-            near = same.sum(axis=1) >= least_share(percent, int(n[i])) * mark.shape[1]
-            if band >= 0 and near.any():  # a pair is told once, in the first band that it shares
-                near[near] = same[near].reshape(int(near.sum()), -1, ROWS).all(axis=2).argmax(axis=1) == band
+            near = (mark[fits] == mark[i]).sum(axis=1) >= least_share(percent, int(n[i])) * mark.shape[1]
+            if once and near.any():  # a first shared band is a bucket in which both stand, so no pair is lost
+                near[near] = bands[i, (bands[fits[near]] == bands[i]).argmax(axis=1)] == key
             found += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in fits[near]]
     pairs = np.array(found, np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -288,19 +289,19 @@ def _unite(keys: DataFrame, groups: _Groups, percent: int) -> None:
         stars = cut(named.filter(_similar_size(percent)).groupBy("a", "b").agg(F.count("*").alias("shared")), "stars")
         groups.add(stars.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("b"))).alias("m")).select("a", (-F.col("m.b")).alias("b")), "stars-best")
         groups.add(stars.select("a", "b"), "stars-rest")
-        placed = cut(groups.comp(busy.select("key", "band", "id", "n"), "id", "comp"), "placed")
+        placed = cut(groups.comp(busy.select("key", "id", "n"), "id", "comp"), "placed")
         by_comp = placed.groupBy("key", "comp").agg(F.count("*").alias("own"))
         apart = by_comp.groupBy("key").agg(F.max(F.struct("own", "comp")).alias("m"), F.sum("own").alias("members"), F.count("*").alias("comps")).filter("comps > 1")
         apart = cut(apart.select("key", F.col("m.comp").alias("major"), "members", (F.col("members") - F.col("m.own")).alias("others")), "apart")
         large = apart.filter(F.col("others") > SMALL).select("key") if level == 1 else None
         direct = apart.filter(F.col("others") <= SMALL) if level == 1 else apart
-        groups.add(_meetings(placed, direct, groups.sketches, percent), "pairs")
+        groups.add(_meetings(placed, direct, groups.sketches, percent, level == 1), "pairs")
         if level == 2 or large.isEmpty():
             return
         # a similar pair shares a second band as well (all but 5e-5 of them): large buckets split by that
         inside = placed.join(large, "key", "left_semi").select("id", "n", "key")
         second = busy.select("id", F.col("key").alias("k2"))
-        keys = cut(inside.join(second, "id").filter("key != k2").select("id", "n", F.lit(-1).alias("band"), F.xxhash64(F.least("key", "k2"), F.greatest("key", "k2")).alias("key")).distinct(), "keys")
+        keys = cut(inside.join(second, "id").filter("key != k2").select("id", "n", F.xxhash64(F.least("key", "k2"), F.greatest("key", "k2")).alias("key")).distinct(), "keys")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -321,8 +322,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     members = cut(named.select("doc_id", "n_shingles", "k1", "k2").join(copies, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
     followers = members.filter("rep != doc_id").select("doc_id").distinct()
     first = named.join(followers, "doc_id", "left_anti")
-    keys = cut(first.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key")), "keys")
-    groups = _Groups(docs, first.select(F.col("doc_id").alias("id"), "sketch"), words, percent)
+    keys = cut(first.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key")), "keys")
+    groups = _Groups(docs, first.select(F.col("doc_id").alias("id"), "sketch", "bands"), words, percent)
     _unite(keys, groups, percent)
     linked = groups.comp(members, "rep", "component_id").select("doc_id", "n_shingles", "component_id")
     alone = feats.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -9,6 +9,8 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import zstandard
 from hypothesis import given, settings
@@ -310,6 +312,31 @@ def test_large_buckets_split(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in near_duplicates(table(spark, texts), 4).collect()} == {i: c for i, (_, c) in want.items()}
 
 
+def test_pairs_outside_stars_all_meet(spark, tmp_path):
+    """Ten thousand pairs at 0.80 to 0.85, apart from every largest component: each that shares a band key is told."""
+    from tagmill.llm import minhash
+
+    rng, sets = np.random.default_rng(7), []
+    for i in range(10_000):
+        h, common = rng.integers(0, 1 << 63, 100, dtype=np.uint64), 80 + i % 6
+        cut = (100 + common) // 2
+        sets += [np.unique(h[:cut]), np.unique(np.concatenate([h[:common], h[cut:]]))]
+    sig = minhash.signatures(sets)
+    bands, n = minhash.band_keys(sig).view(np.int64), np.array([len(s) for s in sets])
+    pair, band = np.nonzero(bands[::2] == bands[1::2])
+    ids, key = np.stack([2 * pair, 2 * pair + 1], 1).reshape(-1), np.repeat(bands[2 * pair, band], 2)
+    tables = {
+        "placed": {"key": key, "band": np.repeat(band, 2).astype(np.int32), "id": ids, "n": n[ids], "comp": ids},
+        "apart": {"key": key[::2], "major": np.full(len(pair), -1), "members": np.full(len(pair), 2), "others": np.full(len(pair), 2)},
+        "sketches": {"id": np.arange(len(sets)), "sketch": [row.tobytes() for row in minhash.sketch(sig)], "bands": list(bands)},
+    }
+    for name, columns in tables.items():
+        pq.write_table(pa.table(columns), tmp_path / f"{name}.parquet")
+    found = minhash._meetings(*(spark.read.parquet(str(tmp_path / f"{name}.parquet")) for name in tables), 80)
+    assert len(set(pair.tolist())) > 9_990
+    assert sorted((r.a, r.b) for r in found.collect()) == [(2 * i, 2 * i + 1) for i in sorted(set(pair.tolist()))]
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = near_duplicates(table(spark, ODD)).collect()
     assert len(rows) == len(ODD)
