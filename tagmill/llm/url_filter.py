@@ -1,8 +1,8 @@
 """URL filters: fixed host and path rules first, then association rules mined from labelled URLs.
 
 A URL becomes a set of tokens (host labels, path segments, endings, query keys; digits folded). FP-growth finds the token
-combinations frequent among labelled URLs, and its association rules with the consequent "block" are kept above a
-confidence and a support. Rules match by inverted index: each is posted under its rarest token, a URL looks its
+combinations that stand in enough blocked URLs; those whose share of blocked among all labelled URLs reaches a confidence
+are the association rules with the consequent "block". Rules match by inverted index: each is posted under its rarest token, a URL looks its
 tokens up there, and a posting fires if all its tokens are in the URL. Everything is DataFrame and Spark ML code.
 """
 
@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 
 from tagmill.llm.common import ascii_lower, cut
 
-#: Least labelled URLs that a combination stands in, least confidence of a rule, most tokens a rule is mined from.
-LEAST_URLS, CONFIDENCE, SUPPORT = 20, 0.8, 0.002
-_BLOCK = "=block"
+#: Least blocked URLs that a combination stands in, at any size of the table, and least confidence of a rule.
+LEAST_URLS, CONFIDENCE = 20, 0.8
 
 
 class Rule(NamedTuple):
@@ -72,25 +71,30 @@ def tokens() -> Column:
     return F.array_distinct(F.concat(said(F.split("host", r"\.", -1), "h:"), said(F.split(F.lower("path"), r"[/.]", -1), "p:"), said(keys, "q:")))
 
 
-def mine_rules(labelled: DataFrame, confidence: float = CONFIDENCE, support: float = SUPPORT, least: int = LEAST_URLS) -> DataFrame:
+def mine_rules(labelled: DataFrame, confidence: float = CONFIDENCE, least: int = LEAST_URLS) -> DataFrame:
     """(antecedent, confidence, posted_under) of the association rules that lead to "block".
 
-    ``labelled`` has url and blocked (boolean; null: not learned from). Rules are kept from ``confidence`` and from a support of
-    ``support`` or of ``least`` URLs, whichever is more. No labelled URL: no rule.
+    ``labelled`` has url and blocked (boolean; null: not learned from). Rules are kept from ``confidence`` and from ``least``
+    blocked URLs. Candidates are mined from the blocked URLs alone; the others are only counted. No labelled URL: no rule.
     """
     spark = labelled.sparkSession
     none = spark.range(0).select(F.array(F.lit("")).alias("antecedent"), F.lit(0.0).alias("confidence"), F.lit("").alias("posted_under"))
     known = host_and_path(labelled.filter(F.col("blocked").isNotNull())).select(tokens().alias("has"), "blocked")
-    baskets = cut(known.filter(F.size("has") > 0).select("has", F.when(F.col("blocked"), F.concat("has", F.array(F.lit(_BLOCK)))).otherwise(F.col("has")).alias("items")), "baskets")
-    n = baskets.count()
+    baskets = cut(known.filter(F.size("has") > 0), "baskets")
+    bad = baskets.filter("blocked")
+    n = bad.count()
     if n < least:
         return none
-    floor = max(support, least / n)
-    mined = FPGrowth(itemsCol="items", minSupport=floor, minConfidence=confidence).fit(baskets).associationRules
-    rules = cut(mined.filter(F.col("consequent")[0] == _BLOCK).select("antecedent", "confidence"), "rules")
+    # half a URL less, so that rounding can't raise the floor, which is rounded up to whole URLs
+    mined = cut(FPGrowth(itemsCol="has", minSupport=(least - 0.5) / n).fit(bad).freqItemsets.select(F.col("items").alias("antecedent"), "freq"), "mined")
     counts = baskets.select(F.explode("has").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    tokens_of = rules.select("antecedent", "confidence", F.explode("antecedent").alias("token"))
-    return tokens_of.join(counts, "token").groupBy("antecedent").agg(F.max("confidence").alias("confidence"), F.min(F.struct("n", "token")).alias("m")).select("antecedent", "confidence", F.col("m.token").alias("posted_under"))
+    posted = mined.select("antecedent", "freq", F.explode("antecedent").alias("token")).join(counts, "token").groupBy("antecedent", "freq").agg(F.min(F.struct("n", "token")).alias("m"))
+    candidates = cut(posted.select("antecedent", "freq", F.col("m.token").alias("posted_under")), "candidates")
+    good = baskets.filter("not blocked").groupBy(F.array_sort("has").alias("has")).agg(F.count("*").alias("n"))
+    met = good.select("has", "n", F.explode("has").alias("posted_under")).join(candidates, "posted_under").filter(F.size(F.array_except("antecedent", "has")) == 0)
+    spared = met.groupBy("antecedent").agg(F.sum("n").alias("spared"))
+    rules = candidates.join(spared, "antecedent", "left").withColumn("confidence", F.col("freq") / (F.col("freq") + F.coalesce("spared", F.lit(0))))
+    return rules.filter(F.col("confidence") >= confidence).select("antecedent", "confidence", "posted_under")
 
 
 def blocked_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -104,14 +108,14 @@ def blocked_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return fired.groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
-def judge_urls(pages: DataFrame, labelled: DataFrame, rules: tuple[Rule, ...] = RULES, confidence: float = CONFIDENCE, support: float = SUPPORT) -> DataFrame:
+def judge_urls(pages: DataFrame, labelled: DataFrame, rules: tuple[Rule, ...] = RULES, confidence: float = CONFIDENCE) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of ``pages`` (page_id, url).
 
     A fixed rule's verdict holds where one fits; else "block" if a mined rule fires, "allow" if none does. A null url, or
     one without ``://``, has empty host and path, no tokens and is allowed. Equal and repeated rows get their row each; a
     null page_id stays null; extra columns are ignored; an empty table gives an empty result.
     """
-    mined = cut(mine_rules(labelled, confidence, support), "mined")
+    mined = cut(mine_rules(labelled, confidence), "mined")
     name, verdict = fitting_rule(rules)
     judged = host_and_path(pages.select(F.col("page_id").cast("long").alias("page_id"), "url")).withColumn("rule", name).withColumn("fixed", verdict)
     result = ["page_id", "host", "path", "rule"]

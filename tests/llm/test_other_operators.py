@@ -258,6 +258,16 @@ def test_mined_rules(spark):
     assert mine_rules(labelled.limit(0)).count() == 0
 
 
+def test_rules_need_no_share_of_the_table(spark):
+    """Twenty blocked URLs of a host make its rule among 15,000 labelled ones, nineteen don't, nor do 20 of 26."""
+    rows = [(f"http://h{'abcde'[i % 5]}.org/{'xyz'[i % 3]}", False) for i in range(15_000)]
+    rows += [("http://bad.org/x", True)] * 20 + [("http://few.org/y", True)] * 19 + [("http://mixed.org/z", i < 20) for i in range(26)]
+    labelled = spark.createDataFrame(rows, "url string, blocked boolean")
+    assert {h for r in mine_rules(labelled).collect() for h in r.antecedent if h.startswith("h:")} == {"h:bad", "h:org"}
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(["http://bad.org/q", "http://few.org/y", "http://mixed.org/z", "http://ha.org/x"])], "page_id long, url string")
+    assert [r.verdict for r in judge_urls(pages, labelled).orderBy("page_id").collect()] == ["block", "allow", "allow", "allow"]
+
+
 def test_labels_of_pages(spark):
     pages = spark.createDataFrame([(1, "http://a.b/en/7.html"), (2, "http://a.b/en/8?x"), (3, "nothing"), (4, "http://a.b/" + "9" * 40), (5, None)], "page_id long, url string")
     labels = spark.createDataFrame([(7, 0, 0), (8, None, 0), (9, None, None)], "doc_id long, quality int, toxic int")
