@@ -1,64 +1,131 @@
-"""Graph operators on edge tables: components, reachability, cycles, canonical edges."""
+"""Graph operators on edge tables: components, reachability, cycles, neighbourhoods, canonical edges."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_LOCAL: list[str] = []
+from tagmill.written import cut, forget
 
 
-def _written(frame: DataFrame) -> DataFrame:
-    """``frame`` through a table in the shared folder of the session, so that loops keep short plans and survive lost executors."""
-    root = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not _LOCAL:
-            _LOCAL.append(tempfile.mkdtemp(prefix="tagmill-graph-"))
-            atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
-        root = _LOCAL[0]
-    path = f"{root.rstrip('/')}/tagmill-graph-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a is not null and b is not null").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id that edges (a, b) reach, by least labels with jumps; a single node is its own."""
-    both = _written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = _written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")))
+    """(id, component): the smallest id that edges (a, b) reach; a node with an edge to itself alone is its own.
+
+    Labels go to the least label among the neighbours, then follow the label's own label; rounds are about the logarithm
+    of the longest path. Each round is written and the one before deleted, so plans stay short and a lost executor costs
+    nothing. Edges with a null end are left out; repeated edges count once; no edge gives an empty result.
+    """
+    both = cut(_both_ways(edges), "links")
+    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("new"))
+        step = labels.select("id", F.col("component").alias("old")).join(near, "id").select("id", "old", F.least("old", "near").alias("new"))
         up = labels.select(F.col("id").alias("new"), F.col("component").alias("up"))
-        labels = _written(step.join(up, "new", "left").select("id", "old", F.least("new", F.coalesce("up", "new")).alias("component")))
-        if labels.filter("component != old").isEmpty():
-            return labels.drop("old")
-        labels = labels.drop("old")
+        found = cut(step.join(up, "new", "left").select("id", "old", F.least("new", F.coalesce("up", "new")).alias("component")), "labels")
+        forget(labels)
+        if found.filter("component != old").isEmpty():
+            forget(both)
+            return found.drop("old")
+        labels = found
 
 
 def reachable(edges: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(id) of all nodes that directed edges (a, b) reach from ``anchors`` (id), these included; one join a level."""
-    seen = front = _written(anchors.select("id").distinct())
-    while not front.isEmpty():
-        front = _written(edges.join(front, edges["a"] == front["id"], "left_semi").select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti"))
-        seen = _written(seen.union(front))
-    return seen
+    """(id) of all nodes that directed edges (a, b) reach from ``anchors`` (id), these included; one join a level.
+
+    Each level writes its front alone. Null ends and anchors are left out; no anchor gives an empty result.
+    """
+    fronts = [cut(anchors.select("id").filter("id is not null").distinct(), "front")]
+    while not fronts[-1].isEmpty():
+        step = edges.join(fronts[-1], edges["a"] == fronts[-1]["id"], "left_semi").select(F.col("b").alias("id")).filter("id is not null").distinct()
+        for front in fronts:
+            step = step.join(front, "id", "left_anti")
+        fronts.append(cut(step, "front"))
+        if len(fronts) > 4:  # a long chain: the fronts so far become one table, so that a level joins few
+            merged = cut(_union(fronts[:-1]), "front")
+            forget(*fronts[:-1])
+            fronts = [merged, fronts[-1]]
+    return _union(fronts)
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.union(frame)
+    return out
 
 
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
-    """(id) of the nodes left when nodes without incoming edges, then those without outgoing ones, are peeled off; empty: acyclic."""
-    left = _written(edges.select("a", "b").distinct())
+    """(id) of the nodes that lie on a directed cycle, edges to oneself included; empty: acyclic.
+
+    Nodes without incoming or without outgoing edges are peeled off first. What is left is split as strongly connected
+    components are: each node learns the least node that reaches it and the least that it reaches; where both are the
+    same node, both lie on one cycle with it. Edges between other labels belong to no common cycle and go, and the rest
+    starts anew with what is still undecided. Null ends are left out; no edge gives an empty result.
+    """
+    left = cut(edges.select("a", "b").filter("a is not null and b is not null").distinct(), "edges")
+    found = [cut(left.filter("a = b").select(F.col("a").alias("id")).distinct(), "cyclic")]
     while True:
-        kept = _written(left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
-        if kept.count() == left.count():
-            return kept.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        left, before = _peeled(left), left
+        forget(before)
+        if left.isEmpty():
+            return _union(found).distinct()
+        down, up = _least_label(left, "a", "b"), _least_label(left, "b", "a")
+        both = cut(down.withColumnRenamed("label", "down").join(up.withColumnRenamed("label", "up"), "id"), "both")
+        forget(down, up)
+        found.append(cut(both.filter("down = up").select("id"), "cyclic"))
+        open_ = both.filter("down <> up")
+        ends = lambda c: open_.select(F.col("id").alias(c), F.col("down").alias(f"d{c}"), F.col("up").alias(f"u{c}"))
+        rest = cut(left.join(ends("a"), "a").join(ends("b"), "b").filter("da = db and ua = ub").select("a", "b"), "edges")
+        forget(left, both)
+        left = rest
+
+
+def _peeled(edges: DataFrame) -> DataFrame:
+    """``edges`` without those at a node that no edge enters or none leaves, repeatedly; a chain goes several links a round."""
+    left, size = cut(edges, "peeled"), -1
+    while size:
+        kept = left
+        for _ in range(2):
+            kept = kept.join(kept.select(F.col("b").alias("a")), "a", "left_semi").join(kept.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b")
+        kept = cut(kept, "peeled")
+        size = left.count() - kept.count()
+        forget(left)
         left = kept
+    return left
+
+
+def _least_label(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """(id, label): the least node that reaches ``id`` along edges from ``source`` to ``target``, itself included."""
+    nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    labels = cut(nodes.withColumn("label", F.col("id")), "least")
+    while True:
+        sent = edges.join(labels, F.col(source) == F.col("id")).groupBy(F.col(target).alias("to")).agg(F.min("label").alias("sent"))
+        found = cut(labels.join(sent, labels["id"] == sent["to"], "left").select("id", F.least("label", "sent").alias("label"), F.col("label").alias("old")), "least")
+        forget(labels)
+        if found.filter("label <> old").isEmpty():
+            return found.drop("old")
+        labels = found
+
+
+def neighbourhoods(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, id, outgoing, incoming, neighbours): edges (a, b) that leave and enter each node, and its distinct other ends but itself."""
+    keys = keys or []
+    end = lambda me, other, out: F.struct(F.col(me).alias("id"), F.col(other).alias("other"), F.lit(out).alias("out"))
+    ends = edges.select(*keys, F.explode(F.array(end("a", "b", 1), end("b", "a", 0))).alias("e")).select(*keys, "e.*").filter("id is not null")
+    return ends.groupBy(*keys, "id").agg(F.sum("out").alias("outgoing"), F.sum(1 - F.col("out")).alias("incoming"), F.count_distinct(F.when(F.col("other") != F.col("id"), F.col("other"))).alias("neighbours"))
 
 
 def broken_symmetry(edges: DataFrame) -> DataFrame:
     """Edges (a, b) whose reverse is missing."""
     return edges.join(edges.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+
+
+def broken_inverse(edges: DataFrame, relation: str, inverse: str) -> DataFrame:
+    """Edges (a, b, relation) of ``relation`` whose reverse is missing among ``inverse``, and the other way round; null ends never have one."""
+    left, right = edges.filter(F.col("relation") == relation), edges.filter(F.col("relation") == inverse)
+    lacking = lambda f, g: f.join(g.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti").select("a", "b", "relation")
+    return lacking(left, right).unionByName(lacking(right, left))

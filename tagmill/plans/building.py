@@ -108,14 +108,14 @@ def _pilot(spark, d):
 
 def _assembly(spark, d):
     """Order lines as scored ends of relation slots: heads are parts, tails suppliers."""
-    li = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").filter("l_orderkey % 4 = 0")
+    li = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     end = lambda side, c, seed: F.struct(F.lit(side).alias("side"), F.concat(F.lit(side[0]), F.lpad(F.col(c).cast("string"), 9, "0")).alias("surface"), F.round(hash_uniform(seed, F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")), 6).alias("p"))
     scores = li.select("l_orderkey", (F.col("l_linenumber") % 2).cast("int").alias("slot"), F.explode(F.array(end("head", "l_partkey", 11), end("tail", "l_suppkey", 12))).alias("e")).select("l_orderkey", "slot", "e.*")
     return r.assemble_relations(scores, ["l_orderkey"], 0.5).withColumn("confidence", F.round("confidence", 7))
 
 
 _U = "l_orderkey || '|' || l_partkey || '|' || l_suppkey"
-_ASSEMBLY = f"""with s as (select l_orderkey, cast(l_linenumber % 2 as int) as slot, 'h' || lpad(cast(l_partkey as varchar), 9, '0') as h, round({u_sql(11, _U)}, 6) as hp, 't' || lpad(cast(l_suppkey as varchar), 9, '0') as t, round({u_sql(12, _U)}, 6) as tp from lineitem where l_orderkey % 4 = 0),
+_ASSEMBLY = f"""with s as (select l_orderkey, cast(l_linenumber % 2 as int) as slot, 'h' || lpad(cast(l_partkey as varchar), 9, '0') as h, round({u_sql(11, _U)}, 6) as hp, 't' || lpad(cast(l_suppkey as varchar), 9, '0') as t, round({u_sql(12, _U)}, 6) as tp from lineitem),
 h as (select l_orderkey, slot, h, hp from (select *, row_number() over (partition by l_orderkey, slot order by hp desc, h desc) as n from s where hp >= 0.5) where n = 1), t as (select l_orderkey, slot, t, tp from (select *, row_number() over (partition by l_orderkey, slot order by tp desc, t desc) as n from s where tp >= 0.5) where n = 1)
 select l_orderkey, slot, h as head, t as tail, round(exp((ln(hp) + ln(tp)) / 2), 7) as confidence from h join t using (l_orderkey, slot)"""
 

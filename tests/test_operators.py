@@ -146,4 +146,10 @@ def test_graph(spark):
     ring = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 1)], "a long, b long")
     assert sorted(r.id for r in graph.cyclic_nodes(ring).collect()) == [1, 2, 3]
     assert graph.cyclic_nodes(edges.filter("a < 40")).count() == 0
+    rings = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 4), (4, 5), (5, 6), (6, 5), (7, 7), (9, 1), (None, 1), (1, None)], "a long, b long")
+    assert sorted(r.id for r in graph.cyclic_nodes(rings).collect()) == [1, 2, 5, 6, 7]
+    near = {r.id: (r.outgoing, r.incoming, r.neighbours) for r in graph.neighbourhoods(rings).collect()}
+    assert near[1] == (2, 3, 2) and near[7] == (1, 1, 0)
+    pairs = spark.createDataFrame([(1, 2, "child"), (2, 1, "parent"), (3, 4, "child"), (5, 6, "parent"), (1, 9, "other")], "a long, b long, relation string")
+    assert sorted(tuple(r) for r in graph.broken_inverse(pairs, "child", "parent").collect()) == [(3, 4, "child"), (5, 6, "parent")]
     assert sorted((r.a, r.b) for r in graph.broken_symmetry(spark.createDataFrame([(1, 2), (2, 1), (1, 3)], "a long, b long")).collect()) == [(1, 3)]
