@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tagmill.llm.common import cut
+from tagmill.written import cut
 from tagmill.llm.minhash import drop_near_duplicates
 from tagmill.llm.packing import pack
 from tagmill.llm.quality_rules import keep_quality
