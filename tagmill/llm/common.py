@@ -1,43 +1,24 @@
-"""What the operators share: written intermediate tables, the word rule and 64-bit mixing."""
+"""What the operators share: small slices of Arrow batches, the word rule and 64-bit mixing."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_LOCAL: list[str] = []
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """``batches`` in pieces of few rows, so that what a task makes of them stays small.
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="tagmill-"))
-        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
-    return _LOCAL[0]
-
-
-def cut(frame: DataFrame, label: str) -> DataFrame:
-    """Write ``frame`` as Parquet to the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
-    spark = frame.sparkSession
-    path = f"{shared_root(spark)}/tagmill-{uuid.uuid4().hex}/{label}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Keep Arrow batches small enough for long texts, unless the session's user has chosen a size."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    Spark bounds the bytes of a batch (64 MB, or one row) and the user's session bounds its rows; neither setting is touched.
+    """
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
 
 
 def ascii_lower(col: Column) -> Column:
