@@ -4,12 +4,13 @@ A document's set holds its distinct word shingles. Documents with one set form a
 on, so copies never meet each other in a bucket. Each class gets a SuperMinHash signature (Ertl 2017): every element
 draws a random permutation of the ``m`` slots and puts ``step + fraction`` into the slot it reaches at each step; a slot
 keeps its minimum. The steps are taken for all elements at once and end for a document as soon as no slot can fall any
-more, mostly after the second. Bands of four slots make bucket keys. Inside a bucket the members are compared with
-a pivot (a star, not all pairs), the verified links are united, and only members that are still in different
-components are compared on: in small buckets pair by pair, in large ones after a split by a second and third band.
+more, mostly after the second. Bands of six slots make bucket keys. Inside a bucket the members are compared with
+a pivot (a star, not all pairs), the verified links are united, and only members outside the bucket's largest component
+go on: each meets the whole bucket, in blocks, whatever the bucket's size.
 
 Links are verified on full sets of 64-bit shingle hashes by Spark's own array functions. With 42 bands of 6 slots a pair
-at similarity 0.8 misses every bucket with probability 3e-6, and shares fewer than two with 5e-5.
+at similarity 0.8 misses every bucket with probability 3e-6. In a block, pairs whose one-byte sketches agree too little
+are not verified; at 5.5 standard errors that loses about 1e-7 of the pairs at 0.8, far less than the banding.
 """
 
 from __future__ import annotations
@@ -22,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import HashCache, byte_words, cut, mix64, small_batches
+from tagmill.llm.common import HashCache, byte_words, mix64, slices
+from tagmill.operators.graph import components
+from tagmill.written import cut, forget
 
 #: Slots of a signature, slots of a band.
 SLOTS, ROWS = 252, 6
-#: Members outside a bucket's largest component, up to which each meets the whole bucket; beyond, a second band splits it.
-SMALL = 4096
 #: Rows of a block on either side when such members meet their bucket, and the standard errors a sketch may fall short by.
-BLOCK, ERRORS = (256, 1024), 4.0
+BLOCK, ERRORS = (256, 1024), 5.5
 #: Elements whose steps are taken together.
 _CHUNK = 1 << 15
 _U = np.uint64
@@ -107,7 +108,7 @@ def _lists(matrix: np.ndarray) -> pa.Array:
 def _features(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache()
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_hashes(t, words, cache) for t in batch.column(1).to_pylist()]
             sig = signatures(sets)
             k1 = np.array([int(mix64(s).sum(dtype=np.uint64)) if len(s) else 0 for s in sets], np.uint64)
@@ -123,7 +124,7 @@ def _features(words: int):
 def _set_rows(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache()
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_hashes(t, words, cache) for t in batch.column(1).to_pylist()]
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             values = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
@@ -146,23 +147,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, comp) for every end of ``edges`` (a, b): comp is the smallest id that links reach.
-
-    Labels go to the least label among the neighbours, then follow the label's own label; each round is written, so the
-    plan stays short, and rounds are about the logarithm of the longest path. Nothing comes to the driver but a count.
-    """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct(), "links")
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("comp")), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
-        step = labels.join(near, "id").select("id", "comp", F.least("comp", "near").alias("new"))
-        up = labels.select(F.col("id").alias("new"), F.col("comp").alias("up"))
-        nxt = cut(step.join(up, "new", "left").select("id", F.least("new", F.coalesce("up", "new")).alias("comp"), F.col("comp").alias("old")), "labels")
-        changed = not nxt.filter("comp != old").isEmpty()
-        labels = nxt.drop("old")
-        if not changed:
-            return labels
+def _united(edges: DataFrame) -> DataFrame:
+    """(id, comp) for every end of ``edges`` (a, b)."""
+    return components(edges).withColumnRenamed("component", "comp")
 
 
 class _Groups:
@@ -186,13 +173,16 @@ class _Groups:
     def add(self, pairs: DataFrame, label: str) -> None:
         """Verify ``pairs`` (a, b) whose ends are in different components, and unite what passes."""
         apart = self.comp(self.comp(pairs, "a", "ca"), "b", "cb").filter("ca != cb").select("a", "b")
-        found = cut(_verified(apart, self.sets, self.percent), label)
+        self.unite(cut(_verified(apart, self.sets, self.percent), label))
+
+    def unite(self, found: DataFrame) -> None:
+        """Take the links ``found`` (a, b) as they are."""
         if found.isEmpty():
             return
         if self.labels is None:
-            self.labels = components(found)
+            self.labels = _united(found)
             return
-        merged = components(self.comp(self.comp(found, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        merged = _united(self.comp(self.comp(found, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         known = self.labels.select("id", F.col("comp").alias("c"))
         fresh = merged.select("id", F.col("id").alias("c")).join(known.select("id"), "id", "left_anti")
         to = merged.select(F.col("id").alias("c"), "comp")
@@ -204,12 +194,12 @@ def _similar_size(percent: int):
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
-def _meetings(placed: DataFrame, apart: DataFrame, sketches: DataFrame, percent: int, once: bool = True) -> DataFrame:
+def _meetings(placed: DataFrame, apart: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) of different components, similar by their sketches: in each bucket of ``apart`` the members outside its largest component against all.
 
     Both sides are dealt into blocks, and the pairs of a block are compared inside one task, so what leaves it are the
-    likely links and not the pairs looked at; a bucket's size is bounded by its blocks only. With ``once`` a pair is told in
-    the first bucket that it shares only, by the true band keys; keys must be band keys then.
+    likely links and not the pairs looked at; a bucket's size is bounded by its blocks only. A pair is told in the first
+    bucket that it shares only, by the true band keys.
     """
     most_a, most_b = BLOCK
     sized = apart.select("key", "major", F.ceil(F.col("others") / most_a).cast("int").alias("na"), F.ceil(F.col("members") / most_b).cast("int").alias("nb"))
@@ -219,6 +209,7 @@ def _meetings(placed: DataFrame, apart: DataFrame, sketches: DataFrame, percent:
     outside = rows.filter("comp != major").select("key", own("na").alias("ba"), F.explode(spread("nb")).alias("bb"), F.lit(0).alias("side"), "id", "n", "comp", "sketch", "bands")
     everyone = rows.select("key", F.explode(spread("na")).alias("ba"), own("nb").alias("bb"), F.lit(1).alias("side"), "id", "n", "comp", "sketch", "bands")
     blocks = outside.union(everyone).repartition("key", "ba", "bb").sortWithinPartitions("key", "ba", "bb", "side")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -228,16 +219,16 @@ def _meetings(placed: DataFrame, apart: DataFrame, sketches: DataFrame, percent:
             if held and len(batch):
                 last = [held[-1].column(i)[-1].as_py() for i in range(3)]
                 if last != keys[:, 0].tolist():
-                    yield _likely(held, percent, once)
+                    yield _likely(held, percent)
                     held = []
             edges = np.flatnonzero(same)
             for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
                 held.append(batch.slice(a, b - a))
                 if k < len(edges) - 2:
-                    yield _likely(held, percent, once)
+                    yield _likely(held, percent)
                     held = []
         if held:
-            yield _likely(held, percent, once)
+            yield _likely(held, percent)
 
     return blocks.mapInArrow(run, "a long, b long").distinct()
 
@@ -259,7 +250,7 @@ def least_share(percent: int, n: int) -> float:
     return share - ERRORS * (share * (1 - share) / m * factor) ** 0.5
 
 
-def _likely(parts: list[pa.RecordBatch], percent: int, once: bool) -> pa.RecordBatch:
+def _likely(parts: list[pa.RecordBatch], percent: int) -> pa.RecordBatch:
     """Pairs of one block whose sketches agree in almost ``percent`` of their slots, and whose sizes and components allow a link."""
     t = pa.Table.from_batches(parts).combine_chunks()
     side, ids, n, comp = (t.column(c).to_numpy() for c in ("side", "id", "n", "comp"))
@@ -271,37 +262,28 @@ def _likely(parts: list[pa.RecordBatch], percent: int, once: bool) -> pa.RecordB
         fits = b[(comp[b] != comp[i]) & (100 * np.minimum(n[b], n[i]) >= percent * np.maximum(n[b], n[i]))]
         if len(fits):
             near = (mark[fits] == mark[i]).sum(axis=1) >= least_share(percent, int(n[i])) * mark.shape[1]
-            if once and near.any():  # a first shared band is a bucket in which both stand, so no pair is lost
+            if near.any():  # a first shared band is a bucket in which both stand, so no pair is lost
                 near[near] = bands[i, (bands[fits[near]] == bands[i]).argmax(axis=1)] == key
             found += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in fits[near]]
     pairs = np.array(found, np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def _unite(keys: DataFrame, groups: _Groups, percent: int) -> None:
+def _link(keys: DataFrame, groups: _Groups, percent: int) -> None:
     """Link everything similar that shares a key of ``keys`` (id, n: size of its set, key)."""
-    for level in (1, 2):
-        pivots = cut(keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.count("*").alias("members")).filter("members > 1").select("key", F.col("p.id").alias("b"), F.col("p.n").alias("nb")), "pivots")
-        busy = cut(keys.join(pivots, "key"), "busy")
-        if groups.sets is None:
-            groups.load(busy.select("id").distinct())
-        named = busy.filter("id != b").select(F.col("id").alias("a"), F.col("n").alias("na"), "b", "nb")
-        stars = cut(named.filter(_similar_size(percent)).groupBy("a", "b").agg(F.count("*").alias("shared")), "stars")
-        groups.add(stars.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("b"))).alias("m")).select("a", (-F.col("m.b")).alias("b")), "stars-best")
-        groups.add(stars.select("a", "b"), "stars-rest")
-        placed = cut(groups.comp(busy.select("key", "id", "n"), "id", "comp"), "placed")
-        by_comp = placed.groupBy("key", "comp").agg(F.count("*").alias("own"))
-        apart = by_comp.groupBy("key").agg(F.max(F.struct("own", "comp")).alias("m"), F.sum("own").alias("members"), F.count("*").alias("comps")).filter("comps > 1")
-        apart = cut(apart.select("key", F.col("m.comp").alias("major"), "members", (F.col("members") - F.col("m.own")).alias("others")), "apart")
-        large = apart.filter(F.col("others") > SMALL).select("key") if level == 1 else None
-        direct = apart.filter(F.col("others") <= SMALL) if level == 1 else apart
-        groups.add(_meetings(placed, direct, groups.sketches, percent, level == 1), "pairs")
-        if level == 2 or large.isEmpty():
-            return
-        # a similar pair shares a second band as well (all but 5e-5 of them): large buckets split by that
-        inside = placed.join(large, "key", "left_semi").select("id", "n", "key")
-        second = busy.select("id", F.col("key").alias("k2"))
-        keys = cut(inside.join(second, "id").filter("key != k2").select("id", "n", F.xxhash64(F.least("key", "k2"), F.greatest("key", "k2")).alias("key")).distinct(), "keys")
+    pivots = cut(keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.count("*").alias("members")).filter("members > 1").select("key", F.col("p.id").alias("b"), F.col("p.n").alias("nb")), "pivots")
+    busy = cut(keys.join(pivots, "key"), "busy")
+    groups.load(busy.select("id").distinct())
+    named = busy.filter("id != b").select(F.col("id").alias("a"), F.col("n").alias("na"), "b", "nb")
+    stars = cut(named.filter(_similar_size(percent)).groupBy("a", "b").agg(F.count("*").alias("shared")), "stars")
+    groups.add(stars.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("b"))).alias("m")).select("a", (-F.col("m.b")).alias("b")), "stars-best")
+    groups.add(stars.select("a", "b"), "stars-rest")
+    placed = cut(groups.comp(busy.select("key", "id", "n"), "id", "comp"), "placed")
+    by_comp = placed.groupBy("key", "comp").agg(F.count("*").alias("own"))
+    apart = by_comp.groupBy("key").agg(F.max(F.struct("own", "comp")).alias("m"), F.sum("own").alias("members"), F.count("*").alias("comps")).filter("comps > 1")
+    apart = cut(apart.select("key", F.col("m.comp").alias("major"), "members", (F.col("members") - F.col("m.own")).alias("others")), "apart")
+    groups.add(_meetings(placed, apart, groups.sketches, percent), "pairs")
+    forget(pivots, busy, stars, placed, apart, groups.sets)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,28 +291,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     Returns one row per row of ``docs``: doc_id, n_shingles (size of its set), component_id (smallest doc_id reachable,
     itself included) and kept (doc_id = component_id). Null, empty and blank texts have no shingle, are linked with
-    nothing and kept. Texts shorter than ``words`` words are one shingle. Rows that share a doc_id are one document: a
-    link of one holds for all, and they are kept or dropped together. A null doc_id can't be named in a link: its row
-    is alone, with a null component, and kept. Extra columns are ignored; an empty table gives an empty result.
+    nothing and kept. Texts shorter than ``words`` words are one shingle; texts of any length are taken whole. Rows that
+    share a doc_id are one document: a link of one row's text holds for all, and they are kept or dropped together. A
+    null doc_id can't be named in a link: its row is alone, with a null component, and kept. Ties need no rule, as the
+    smallest id names a group. Extra columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     feats = cut(docs.mapInArrow(_features(words), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary"), "features")
     named = feats.filter("n_shingles > 0 and doc_id is not null")
-    copies = cut(named.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n"), "copies")
-    members = cut(named.select("doc_id", "n_shingles", "k1", "k2").join(copies, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
-    followers = members.filter("rep != doc_id").select("doc_id").distinct()
-    first = named.join(followers, "doc_id", "left_anti")
+    same_set = ["k1", "k2", "n_shingles"]
+    copies = cut(named.groupBy(*same_set).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n"), "copies")
+    members = cut(named.select("doc_id", *same_set).join(copies, same_set, "left").select("doc_id", *same_set, F.coalesce("rep", "doc_id").alias("rep")), "members")
+    followers = members.filter("rep != doc_id").select("doc_id", *same_set).distinct()
+    first = named.join(followers, ["doc_id", *same_set], "left_anti")  # by row: another text of a follower's id stays
     keys = cut(first.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key")), "keys")
     groups = _Groups(docs, first.select(F.col("doc_id").alias("id"), "sketch", "bands"), words, percent)
-    _unite(keys, groups, percent)
+    torn = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).filter("a < most").select("doc_id", "a")
+    groups.unite(cut(members.join(torn, "doc_id").filter("rep != a").select("a", F.col("rep").alias("b")).distinct(), "torn"))
+    _link(keys, groups, percent)
+    forget(copies, keys)
     linked = groups.comp(members, "rep", "component_id").select("doc_id", "n_shingles", "component_id")
     alone = feats.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, all columns as they came. Rows with a null doc_id stay."""
-    gone = near_duplicates(docs, words, percent).filter("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.distinct(), docs["doc_id"] == F.col("_gone"), "left_anti")
+    """``docs`` with one document of each near-duplicate group, the one with the smallest doc_id, all columns as they came.
+
+    Rows without an id and rows without words stay; rows that share a doc_id stay or go together. Columns of any name are
+    kept; an empty table gives an empty result. The result reads the text column ``text`` whole.
+    """
+    gone = near_duplicates(docs, words, percent).filter("not kept").select("doc_id").distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
