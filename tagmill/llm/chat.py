@@ -28,24 +28,30 @@ def unescape(text: Column) -> Column:
 
 
 def fold_events(events: DataFrame) -> DataFrame:
-    """Final turns (conv_id, turn, role, text) of an event log.
+    """Final turns (conv_id, turn, role, text) of an event log (conv_id, seq, kind, turn, role, text), in any row order.
 
     The fold is windowed: a turn's text is what its events since the last one that replaces it say, put together; a
-    turn is gone if an event after its last one deletes it or regenerates an earlier turn. Sorting is per conversation;
-    texts are only gathered per turn. Null texts count as empty, null kinds as ``message``; ties in ``seq`` go by kind and text.
+    turn is gone if an event after its last one deletes it or regenerates an earlier turn. All windows run over one sort
+    of a conversation with running frames, so their cost is linear in its events; texts are gathered per turn only.
+    Null texts count as empty, null kinds as ``message``; ties in ``seq`` go by turn, kind, role and text; an event told
+    again with the same ``seq`` counts once. A null conv_id or turn is a key of its own. Extra columns are ignored; an
+    empty table gives an empty result.
     """
     kind = F.coalesce(F.col("kind"), F.lit("message"))
     e = events.select("conv_id", "seq", kind.alias("kind"), "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
-    order = ["seq", "kind", "text"]
+    order = ["seq", "turn", "kind", "role", "text"]
+    whole = Window.partitionBy("conv_id").orderBy(*order)
+    backwards = Window.partitionBy("conv_id").orderBy(*map(F.desc, order)).rowsBetween(Window.unboundedPreceding, -1)
     per_turn = Window.partitionBy("conv_id", "turn").orderBy(*order)
-    later = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    cut_turn = F.min(F.when(F.col("kind") == "regenerate", F.col("turn"))).over(later)
-    epoch = F.sum((F.col("kind") != "delta").cast("long")).over(per_turn)
-    whole_turn = per_turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    e = e.withColumn("role", F.last("role", ignorenulls=True).over(whole_turn))
-    marked = e.withColumn("dropped", F.coalesce(cut_turn < F.col("turn"), F.lit(False))).withColumn("epoch", epoch).withColumn("nth", F.row_number().over(per_turn))
-    last = F.max("epoch").over(Window.partitionBy("conv_id", "turn"))
-    live = marked.withColumn("last", last).filter("epoch = last and not dropped")
+    so_far = per_turn.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    all_of_turn = per_turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    told = F.struct(*order)
+    e = e.withColumn("again", F.coalesce(F.lag(told).over(whole).eqNullSafe(told), F.lit(False))).filter("not again")
+    cut_turn = F.min(F.when(F.col("kind") == "regenerate", F.col("turn"))).over(backwards)
+    e = e.withColumn("dropped", F.coalesce(cut_turn < F.col("turn"), F.lit(False)))
+    e = e.withColumn("role", F.last("role", ignorenulls=True).over(all_of_turn)).withColumn("nth", F.row_number().over(per_turn))
+    e = e.withColumn("epoch", F.sum((F.col("kind") != "delta").cast("long")).over(so_far))
+    live = e.withColumn("last", F.max("epoch").over(Window.partitionBy("conv_id", "turn"))).filter("epoch = last and not dropped")
     said = F.when(F.col("kind").isin("regenerate", "delete"), F.lit("")).otherwise(F.col("text"))
     parts = F.sort_array(F.collect_list(F.struct("nth", said.alias("said"))))
     turns = live.groupBy("conv_id", "turn").agg(
@@ -59,7 +65,7 @@ def fold_events(events: DataFrame) -> DataFrame:
 def render(turns: DataFrame, learned: tuple[str, ...] = LEARNED) -> DataFrame:
     """(conv_id, n_turns, formatted, loss_spans) of ``turns`` (conv_id, turn, role, text).
 
-    ``loss_spans`` are the [start, end) code points of the learned roles' escaped texts in ``formatted``. Null texts and
+    ``loss_spans`` are the [start, end) code points and [from, to) UTF-8 bytes of the learned roles' escaped texts in ``formatted``. Null texts and
     roles are empty; rows with one turn number keep (role, text) order, repeated rows are all rendered; a null conv_id
     is a conversation of its own; extra columns are ignored; an empty table gives an empty result. Offsets are running
     sums over a window, so a long conversation costs no more than its sort; its one formatted text must fit a row.
@@ -67,10 +73,12 @@ def render(turns: DataFrame, learned: tuple[str, ...] = LEARNED) -> DataFrame:
     role, text = escape(F.coalesce("role", F.lit(""))), escape(F.coalesce("text", F.lit("")))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     lines = turns.select("conv_id", "turn", "role", "text", F.concat(F.lit(TURN), role, F.lit(SAYS)).alias("head"), text.alias("body"))
-    size = F.length("head") + F.length("body") + len(END)
-    placed = lines.withColumn("at", F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("nth", F.row_number().over(order))
-    start = F.col("at") + F.length("head")
-    span = F.when(F.col("role").isin(*learned), F.struct(start.alias("start"), (start + F.length("body")).alias("end")))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    placed = lines.withColumn("nth", F.row_number().over(order))
+    for at, size in (("at", F.length), ("at_byte", F.octet_length)):
+        placed = placed.withColumn(at, F.coalesce(F.sum(size("head") + size("body") + len(END)).over(before), F.lit(0)))
+    start, first = F.col("at") + F.length("head"), F.col("at_byte") + F.octet_length("head")
+    span = F.when(F.col("role").isin(*learned), F.struct(start.alias("start"), (start + F.length("body")).alias("end"), first.alias("from"), (first + F.octet_length("body")).alias("to")))
     return placed.groupBy("conv_id").agg(
         F.count("*").alias("n_turns"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", F.concat("head", "body", F.lit(END)).alias("line")))), lambda x: x["line"]), "").alias("formatted"),
@@ -78,6 +86,13 @@ def render(turns: DataFrame, learned: tuple[str, ...] = LEARNED) -> DataFrame:
     )
 
 
+def under_mask(formatted: Column, spans: Column) -> Column:
+    """All text of ``formatted`` under the mask ``spans``, unescaped, cut out by bytes: each span costs its own length only."""
+    held = F.array(F.struct(formatted.cast("binary").alias("raw"), spans.alias("spans")))  # so that the bytes are made once
+    piece = lambda h, s: F.substring(h["raw"], (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")).cast("string")
+    return F.element_at(F.transform(held, lambda h: F.array_join(F.transform(h["spans"], lambda s: unescape(piece(h, s))), "")), 1)
+
+
 def parse(formatted: Column) -> Column:
     """Array of (role, text), unescaped, read back from a formatted conversation."""
     lines = F.slice(F.split(formatted, r"<\|turn\|>", -1), 2, 1 << 30)
