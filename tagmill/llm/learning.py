@@ -12,17 +12,22 @@ from tagmill.llm.common import fold
 MOST_LABELLED = 8000
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int = MOST_LABELLED) -> DataFrame:
-    """(doc_id, text, y) for at most ``most`` labelled documents whose fold is not held out, chosen by a hash of doc_id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int = MOST_LABELLED, content: str = "text") -> DataFrame:
+    """(doc_id, y, content) for at most ``most`` labelled documents whose fold is not held out, chosen by a hash of doc_id.
 
     Labels that are null count as none; several labels of a document count as their largest. Only the sampled labels,
-    of which ``most`` bounds the size, are broadcast; the texts stay where they are.
+    of which ``most`` bounds the size, are broadcast; the texts stay where they are. Rows that share a doc_id are all there.
     """
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     known = named.filter(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 2))
     chosen = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(content).alias(content))
+    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", content)
+
+
+def one_a_document(features: DataFrame, kept: str) -> DataFrame:
+    """(doc_id, y, kept) with one row for each doc_id of ``features``, the one whose ``kept`` is the smallest."""
+    return features.groupBy("doc_id").agg(F.max("y").alias("y"), F.min(kept).alias(kept))
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
