@@ -16,17 +16,20 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import fold, small_batches
-from tagmill.llm.learning import MOST_LABELLED, labelled_sample, sigmoid, temperature
+from tagmill.llm.common import fold, slices
+from tagmill.llm.learning import MOST_LABELLED, labelled_sample, one_a_document, sigmoid, temperature
+from tagmill.written import cut
 
 BUCKETS, FACTORS = 1 << 18, 4
 #: Documents a bucket must occur in to be learned from, and the share of all beyond which it says nothing.
 LEAST_DOCS, MOST_SHARE = 5, 0.6
 #: Lengths of the word beginnings that are terms besides the word.
 BEGINNINGS = (3, 5, 7)
+#: Distinct buckets of all sampled documents together that may come to the driver, at most: four bytes each.
+MOST_TERMS = 1 << 26
 THRESHOLD = 0.3
 _WORD = re.compile(r"\w+")
 
@@ -122,14 +125,20 @@ def _soft(x: np.ndarray, by: np.ndarray | float) -> np.ndarray:
 
 def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     terms = TermBuckets()
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([terms.of(t).tolist() for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], ["y", "terms"])
+    for batch in slices(batches):
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([terms.of(t).tolist() for t in batch.column(2).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "y", "terms"])
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> FactorizationMachine:
-    """Machine fitted on at most ``most`` labelled documents; only their term buckets come to the driver."""
-    sample = labelled_sample(docs, labels, "toxic", most).select("y", "text")
-    rows = sample.mapInArrow(_sample_rows, "y int, terms array<int>").toArrow()
+def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, most_terms: int = MOST_TERMS) -> FactorizationMachine:
+    """Machine fitted on at most ``most`` labelled documents; only their term buckets come to the driver.
+
+    Documents are taken in the order of a hash until their buckets are ``most_terms``; a text is used whole or not at all.
+    """
+    features = labelled_sample(docs, labels, "toxic", most).mapInArrow(_sample_rows, "doc_id long, y int, terms array<int>")
+    sample = cut(one_a_document(features, "terms"), "sample")
+    so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fits = sample.select("doc_id", F.sum(F.size("terms").cast("long")).over(so_far).alias("held")).filter(F.col("held") <= most_terms)  # a row for each of ``most`` documents
+    rows = sample.join(F.broadcast(fits.select("doc_id")), "doc_id").select("y", "terms").toArrow()
     y = rows.column("y").to_numpy().astype(np.float64)
     terms = rows.column("terms").combine_chunks()
     sets = np.split(terms.values.to_numpy(), terms.offsets.to_numpy()[1:-1]) if len(y) else []
@@ -144,12 +153,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED
     kinds every score is the prior. Rows with a null doc_id are scored and not held out; equal and repeated rows get
     equal scores; extra columns are ignored; an empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, machine = TermBuckets(), model.value
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([machine.score(terms.of(t)) for t in batch.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, "doc_id long, score double")
@@ -157,14 +165,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, all columns as they came, in one pass without a shuffle."""
-    small_batches(docs.sparkSession)
+    """The rows of ``docs`` that score below ``threshold``, all columns as they came, in one pass without a shuffle.
+
+    Null and empty texts get the bias's score; texts are scored whole; equal and repeated rows stay or go together; rows
+    without an id are scored; columns of any name are kept; an empty table gives an empty result.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, machine = TermBuckets(), model.value
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([machine.score(terms.of(t)) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
