@@ -15,10 +15,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import byte_words, small_batches
+from tagmill.llm.common import byte_words, slices
 
-#: (UTF-8 bytes from, lowest ratio, highest ratio); below the first entry no band holds.
-BANDS = ((128, 0.42, 1.05), (256, 0.42, 0.86), (512, 0.42, 0.78), (1024, 0.42, 0.72), (2048, 0.42, 0.68), (4096, 0.405, 0.66), (8192, 0.395, 0.66), (16384, 0.38, 0.66), (32768, 0.36, 0.66))
+#: (UTF-8 bytes from, lowest ratio, highest ratio); short texts carry the frame's bytes besides.
+BANDS = ((0, 0.42, 1.4), (128, 0.42, 1.05), (256, 0.42, 0.86), (512, 0.42, 0.78), (1024, 0.42, 0.72), (2048, 0.42, 0.68), (4096, 0.405, 0.66), (8192, 0.395, 0.66), (16384, 0.38, 0.66), (32768, 0.36, 0.66))
 #: Bytes of a chunk, its band, and the share of chunks outside the band from which a text is rejected.
 CHUNK, CHUNK_BAND, CHUNK_SHARE = 1024, (0.36, 0.85), 0.25
 LEVEL = 3
@@ -58,10 +58,12 @@ def compression(raw: bytes, press: zstandard.ZstdCompressor) -> tuple[float, int
         return 1.0, 0, 0, True
     ratio = len(press.compress(raw)) / len(raw)
     chunks = [raw[i : i + CHUNK] for i in range(0, len(raw) - CHUNK + 1, CHUNK)]
+    if len(chunks) * CHUNK < len(raw) and chunks:
+        chunks.append(raw[-CHUNK:])  # the last chunk ends with the text, so no byte is left out
     low, high = CHUNK_BAND
     bad = sum(not low <= len(press.compress(c)) / CHUNK <= high for c in chunks)
     k = int(np.searchsorted(_FROM, len(raw), "right")) - 1
-    fits = k < 0 or BANDS[k][1] <= ratio <= BANDS[k][2]
+    fits = BANDS[k][1] <= ratio <= BANDS[k][2]
     return ratio, bad, len(chunks), bool(fits and (not chunks or bad < CHUNK_SHARE * len(chunks)))
 
 
@@ -81,7 +83,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=LEVEL)
     names = [x.split()[0] for x in METRICS.split(", ")]
     kinds = [{"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[x.split()[1]] for x in METRICS.split(", ")]
-    for batch in batches:
+    for batch in slices(batches):
         found = list(zip(*(judge(t, press) for t in batch.column(1).to_pylist()), strict=True)) or [()] * len(names)
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(found, kinds, strict=True))], ["doc_id", *names])
 
@@ -92,19 +94,21 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null and empty texts have no words and fail the base rule. Ties and repeated rows are judged each for itself; extra
     columns are ignored; an empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_rows, f"doc_id long, {METRICS}")
 
 
 def keep_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that pass, all columns as they came, in one pass without a shuffle."""
-    small_batches(docs.sparkSession)
+    """The rows of ``docs`` that pass, all columns as they came, in one pass without a shuffle.
+
+    Null and empty texts fail; texts are judged whole; equal and repeated rows stay or go together; rows without an id are
+    judged; columns of any name are kept; an empty table gives an empty result.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=LEVEL)
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([bool(judge(t, press)[-1]) for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
