@@ -14,6 +14,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers.models import BPE
 
-from tagmill.llm.common import small_batches
+from tagmill.llm.common import slices
 from tagmill.llm.packing import byte_alphabet
 
 SCHEMA = "doc_id long, ids binary, decoded string"
@@ -88,10 +89,9 @@ class ForcedBoundaryBPE:
         *parts, end = self.cut("".join(map(self.byte_char.__getitem__, word.encode("utf-8"))))
         return (*chain.from_iterable(map(self.inner_ids.__getitem__, parts)), *self.last_ids[end])
 
-    def _chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Ids and decoded text of normalised text without white space."""
-        ids = list(chain.from_iterable(map(self.word_ids.__getitem__, self.words.findall(chunk))))
-        return array("I", ids).tobytes(), " ".join(map(self.token.__getitem__, ids))
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of normalised text without white space."""
+        return array("I", chain.from_iterable(map(self.word_ids.__getitem__, self.words.findall(chunk)))).tobytes()
 
     def normalise(self, text: str) -> str:
         """NFC, then lower case character by character (no final sigma)."""
@@ -99,39 +99,40 @@ class ForcedBoundaryBPE:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return text.lower()
 
-    def encode(self, text: str | None) -> tuple[bytes, str]:
-        """(ids as little-endian unsigned 32-bit integers, decoded text)."""
+    def encode(self, text: str | None) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
         text = text or ""
-        ids, said = [], []
+        ids: list[bytes] = []
         for part in self.split_special.split(text) if "<" in text else (text,):
             if part in self.special:
                 ids.append(array("I", [self.special[part]]).tobytes())
-                said.append(part)
                 continue
             clean = self.normalise(part)
-            found = list(map(self.chunks.__getitem__, _CHUNK.findall(clean) if _ODD.search(clean) else clean.split()))
-            ids += [x for x, _ in found]
-            said += [x for _, x in found]
-        return b"".join(ids), " ".join(said)
+            ids += map(self.chunks.__getitem__, _CHUNK.findall(clean) if _ODD.search(clean) else clean.split())
+        return b"".join(ids)
 
-    def decode(self, ids: list[int]) -> str:
-        """Tokens joined as a vocabulary without decoder joins them; special ones are kept."""
-        return " ".join(self.token[i] for i in ids)
+    def decode(self, ids: bytes) -> str:
+        """The text of such ids: tokens joined as a vocabulary without decoder joins them; special ones are kept."""
+        return " ".join(map(self.token.__getitem__, array("I", ids)))
+
+
+@lru_cache(maxsize=2)
+def bpe_of(path: str) -> ForcedBoundaryBPE:
+    """The encoder of a file, kept with what it remembers for all tasks of a Python worker."""
+    return ForcedBoundaryBPE(path)
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, ids (little-endian unsigned 32-bit) and decoded text.
+    """One row per row of ``docs``: doc_id, ids (little-endian unsigned 32-bit) and the text decoded from these ids.
 
     ``tokenizer`` is the path of a tokenizers JSON file that executors can read. Null and empty texts have no ids and decode
     to the empty text; long texts are encoded whole; equal and repeated rows each get their row; a null doc_id stays null;
     extra columns are ignored; an empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ForcedBoundaryBPE(tokenizer)
-        for batch in batches:
-            found = [bpe.encode(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.string())], ["doc_id", "ids", "decoded"])
+        bpe = bpe_of(tokenizer)
+        for batch in slices(batches):
+            ids = [bpe.encode(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())], ["doc_id", "ids", "decoded"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
