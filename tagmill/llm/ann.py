@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import cut
+from tagmill.written import cut, forget
 
 #: Curves, coordinates of each, bits of a coordinate.
 CURVES, DIMS, BITS = 16, 4, 8
@@ -113,17 +113,23 @@ def usable(embedding: str) -> Column:
     return F.col(embedding).isNotNull() & ~bad & F.exists(embedding, lambda x: x != 0)
 
 
+def _as_numbers(vectors: DataFrame) -> Column:
+    """The column embedding: floats stay floats, which double holds exactly; all else becomes double."""
+    kind = vectors.schema["embedding"].dataType
+    return F.col("embedding") if kind.elementType.typeName() == "float" else F.col("embedding").cast("array<double>")
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RECALL) -> DataFrame:
     """The ``k`` nearest rows by inner product of every row for which ``is_query`` holds: query_id, rank, vec_id, score.
 
     ``vectors`` has vec_id and embedding. Null, zero and non-finite vectors and vectors of another length than the most
     frequent one (ties: the shorter) take no part, nor do rows with a null vec_id. Rows that share vec_id and vector are
-    one; ties go to the smaller vec_id; fewer than ``k`` rows give all. Extra columns are ignored; an empty table gives
-    an empty result.
+    one; ties go to the smaller vec_id; fewer than ``k`` rows give all. Vectors of float and of double components are
+    multiplied and added in double precision as they came. Extra columns are ignored; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    known = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    known = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), _as_numbers(vectors).alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     known = known.filter(F.col("vec_id").isNotNull() & usable("embedding"))
     size = known.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     if size is None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tagmill.llm.ann import nearest
 from tagmill.llm.bpe import encode_decode
-from tagmill.llm.chat import format_chats, parse
+from tagmill.llm.chat import format_chats, parse, under_mask
 from tagmill.llm.minhash import near_duplicates
 from tagmill.llm.packing import pack
 from tagmill.llm.quality import score_quality
@@ -30,22 +30,40 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens")
 
 
+def event_log(rows: DataFrame, piece: int = 512) -> DataFrame:
+    """The log that leads to the turns ``rows`` (conv_id, turn, role, text): what a chat server would have written.
+
+    Texts are streamed: a message with the first ``piece`` code points, then deltas. A conversation's first turn begins as
+    a draft, its text backwards, that an edit empties before the text is streamed. Its last turn is first answered by
+    its beginning backwards and followed by a stray turn; a regeneration takes both back. Events come last one first.
+    """
+    by = Window.partitionBy("conv_id")
+    placed = rows.withColumn("place", F.row_number().over(by.orderBy("turn", "role", "text"))).withColumn("last", F.col("place") == F.count("*").over(by))
+    text = F.coalesce("text", F.lit(""))
+    event = lambda kind, said, later=0: F.struct(F.lit(kind).alias("kind"), (F.col("place") + later).alias("turn"), said.alias("text"))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))
+    stream = F.transform(pieces, lambda x: event("delta", x))
+    draft = F.array(event("message", F.reverse(text)), event("edit", F.lit("")))
+    taken_back = F.array(event("delta", F.reverse(F.substring(text, 1, piece))), event("message", F.lit("stray"), 1), event("regenerate", F.lit("")))
+    opened = F.array(event("message", F.lit("")))
+    told = F.concat(opened, F.when(F.col("place") == 1, draft).otherwise(F.slice(draft, 1, 0)), F.when(F.col("last"), taken_back).otherwise(F.slice(taken_back, 1, 0)), stream)
+    numbered = F.transform(told, lambda x, i: F.struct((F.shiftleft(F.col("place").cast("long"), 32) + i).alias("seq"), x["kind"].alias("kind"), x["turn"].alias("turn"), F.when(x["turn"] == F.col("place"), F.col("role")).alias("role"), x["text"].alias("text")))
+    return placed.select("conv_id", F.inline(F.reverse(numbered)))
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7, formatted; digests are read back from the formatted text."""
     hostile = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hostile).alias("text"))
     rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").union(extra)
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    events = rows.select("conv_id", place.alias("seq"), F.lit("message").alias("kind"), place.alias("turn"), "role", "text")
-    back = format_chats(events).withColumn("turns", parse(F.col("formatted")))
-    learned = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    back = format_chats(event_log(rows)).select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"), under_mask(F.col("formatted"), F.col("loss_spans")).alias("learned"))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(told, 256).alias("turns_sha256"),
-        F.length(learned).cast("long").alias("loss_chars"),
-        F.sha2(learned, 256).alias("loss_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
 
@@ -74,7 +92,7 @@ def op6_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes."""
     placed = shard(table(spark, sf_dir, "documents", "doc_id", "text"), shards=24)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
