@@ -19,16 +19,30 @@ def words(text: Column) -> Column:
 def find_all(text: Column, pattern: str) -> Column:
     """array<struct<start,end,text>> of the matches of ``pattern``; code points, half-open.
 
-    Offsets are sums of the lengths of what lies between and of the matches before: linear in the text, and quadratic
-    only in the number of matches, which are few for the patterns this is for.
+    What lies between the matches is found by a split, and only where there is a match.
     """
     text = F.coalesce(text, F.lit(""))
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    sizes = F.transform(hits, lambda x: F.length(x))
+    # both arrays in one, made once: a lambda's variable is not planned again for each use
+    held = F.filter(F.array(hits), lambda h: F.size(h) > 0)
+    placed = F.transform(held, lambda h: with_starts(h, gaps))
+    return F.when(F.size(placed) > 0, F.element_at(placed, 1)).otherwise(F.slice(with_starts(F.array(F.lit("")), F.array(F.lit(0))), 1, 0))
+
+
+def with_starts(pieces: Column, gaps: Column, most: int = 64) -> Column:
+    """array<struct<start,end,text>> of ``pieces``, each of which follows its gap (a number of code points) in a text.
+
+    Running sums in blocks of ``most``: a sum inside a block costs its place there, and the blocks' own sums are few, so the
+    cost is the number of pieces times ``most`` at worst, not its square.
+    """
+    steps = F.zip_with(gaps, F.concat(F.array(F.lit("")), pieces), lambda g, p: F.coalesce(g, F.lit(0)) + F.coalesce(F.length(p), F.lit(0)))  # gap i and piece i - 1
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-    start = lambda i: total(F.slice(gaps, F.lit(1), i + 1)) + total(F.slice(sizes, F.lit(1), i))
-    return F.transform(hits, lambda x, i: F.struct(start(i).alias("start"), (start(i) + F.length(x)).alias("end"), x.alias("text")))
+    blocks = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / most).cast("int")), lambda b: total(F.slice(s, b * most + 1, F.lit(most))))
+    tables = F.array(F.struct(steps.alias("s"), pieces.alias("p")))
+    summed = F.transform(tables, lambda t: F.struct(t["s"].alias("s"), t["p"].alias("p"), blocks(t["s"]).alias("b")))
+    start = lambda t, i: total(F.slice(t["b"], F.lit(1), F.floor(i / most).cast("int"))) + total(F.slice(t["s"], F.floor(i / most).cast("int") * most + 1, F.pmod(i, F.lit(most)) + 1))
+    return F.flatten(F.transform(summed, lambda t: F.transform(t["p"], lambda x, i: F.struct(start(t, i).alias("start"), (start(t, i) + F.length(x)).alias("end"), x.alias("text")))))
 
 
 def sentences(text: Column) -> Column:
@@ -57,14 +71,15 @@ def closed(text: Column) -> Column:
 
 
 def junk_reason(mention: Column) -> Column:
-    """Why a mention is junk (punctuation, short, noisy), or null; the first reason that holds."""
-    marks = F.length(mention) - F.length(F.regexp_replace(mention, r"\p{P}", ""))
-    letters = F.length(F.regexp_replace(mention, r"[^\p{L}]", ""))
-    return (
-        F.when(marks == F.length(mention), "punctuation")
-        .when(~mention.contains(" ") & (letters <= 3) & (F.length(mention) <= 3), "short")
-        .when(marks > 0.3 * F.length(mention), "noisy")
-    )
+    """Why a mention is junk, or null: nothing but punctuation and spaces; one token of at most three letters; over 30 per cent punctuation.
+
+    Spaces count for neither side of the share; the first reason that holds is told; a null mention is none.
+    """
+    solid = F.replace(mention, F.lit(" "), F.lit(""))
+    others, letters = F.length(F.regexp_replace(solid, r"\p{P}", "")), F.length(F.regexp_replace(solid, r"[^\p{L}]", ""))
+    share = 1 - others / F.length(solid)
+    reasons = {"punctuation": others == 0, "short": (F.length(solid) == F.length(mention)) & (letters < 4), "noisy": share > 0.3}
+    return F.coalesce(*(F.when(holds, name) for name, holds in reasons.items()))
 
 
 def trim_span(start: Column, text: Column) -> tuple[Column, Column]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagmill.functions.hashing import hash_order, hash_uniform
+from tagmill.operators.ranking import ranked
 
 
 def keep_first(rows: DataFrame, by: list[Column], order: list) -> DataFrame:
@@ -14,11 +15,31 @@ def keep_first(rows: DataFrame, by: list[Column], order: list) -> DataFrame:
     return rows.withColumn("_n", nth).filter("_n = 1").drop("_n")
 
 
+def equal_or_null(left: DataFrame, right: DataFrame, on: list[str]) -> Column:
+    """Join condition under which null keys meet null keys."""
+    same = F.lit(True)
+    for c in on:
+        same = same & left[c].eqNullSafe(right[c])
+    return same
+
+
+def beside(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``left`` with the columns of ``right`` that are not in ``on``; null keys meet null keys, so no row is lost."""
+    renamed = right.select(*(F.col(c).alias(f"_r_{c}") for c in on), *(c for c in right.columns if c not in on))
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return left.join(renamed, same, how).drop(*(f"_r_{c}" for c in on))
+
+
 def conflict_drop(rows: DataFrame, key: Column, tag: Column, order: str) -> DataFrame:
-    """Groups of equal ``key``: with one tag the first row stays, with several none does."""
-    groups = rows.groupBy(key.alias("_k")).agg(F.min(order).alias("_first"), F.count_distinct(tag).alias("_tags"))
-    firsts = groups.filter("_tags <= 1").select(F.col("_first").alias(order))
-    return rows.join(firsts, order)
+    """Groups of equal ``key``: with one tag the first row by ``order`` stays, with several none does.
+
+    Null keys are a group, a null tag is a tag like any other, null orders come first; of rows equal in ``order`` one stays.
+    """
+    said = F.struct(tag.alias("t"))
+    groups = rows.groupBy(key.alias("_k")).agg(F.min(F.struct(F.col(order).alias("o"), F.struct(*rows.columns).alias("row"))).alias("_first"), F.count_distinct(said).alias("_tags"))
+    return groups.filter("_tags <= 1").select("_first.row.*")
 
 
 def catalogue_collapse(rows: DataFrame, by: list[str], first: list[str], modal: list[str], order: str) -> DataFrame:
@@ -27,7 +48,7 @@ def catalogue_collapse(rows: DataFrame, by: list[str], first: list[str], modal:
     for c in modal:
         counted = rows.groupBy(*by, c).agg(F.count("*").alias("_n"), (-F.min(order)).alias("_o"))
         best = counted.groupBy(*by).agg(F.max_by(c, F.struct("_n", "_o")).alias(c))
-        out = out.join(best, by)
+        out = beside(out, best, by)
     return out
 
 
@@ -45,13 +66,16 @@ def largest_remainder(groups: DataFrame, size: str, total: Column, key: str) ->
 
 
 def stratified_split(rows: DataFrame, stratum: str, key: str, shares: dict[str, float], seed: int = 42) -> DataFrame:
-    """``rows`` with ``split``: each stratum's rows in hash order, its quotas cut off in the order of ``shares``; the rest train."""
+    """``rows`` with ``split``: each stratum's rows in hash order, its quotas cut off in the order of ``shares``; the rest train.
+
+    A null stratum is a stratum, a null key comes first; rows that share a key follow each other in any order.
+    """
     sizes = rows.groupBy(stratum).agg(F.count("*").alias("_size"))
     n = F.sum("_size").over(Window.partitionBy(F.lit(0)))
     quotas = sizes
     for name, share in shares.items():
         quotas = largest_remainder(quotas, "_size", F.bround(n * share).cast("bigint"), stratum).withColumnRenamed("quota", f"_{name}")
-    placed = rows.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy(hash_order(seed, F.col(key)), key))).join(F.broadcast(quotas), stratum)
+    placed = beside(ranked(rows, [stratum], [hash_order(seed, F.col(key)), key], "_r"), quotas, [stratum])
     split, before = F.lit("train"), F.lit(0)
     edges = []
     for name in shares:
@@ -69,7 +93,7 @@ def group_split(rows: DataFrame, group: str, cell: str, quota_share: float, seed
     before = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     quota = F.bround(F.sum("_n").over(Window.partitionBy(cell)) * quota_share)
     taken = groups.withColumn("split", F.when(before < quota, "test").otherwise("train")).select(cell, group, "split")
-    return rows.join(taken, [cell, group])
+    return beside(rows, taken, [cell, group])
 
 
 def weighted_choice(rows: DataFrame, by: list[str], weight: str, key: str, seed: int = 42) -> DataFrame:
@@ -79,11 +103,24 @@ def weighted_choice(rows: DataFrame, by: list[str], weight: str, key: str, seed:
 
 
 def round_robin(rows: DataFrame, domain: str, size: str, key: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows, one of each domain in turn, the larger first."""
+    """``n`` rows, one of each domain in turn, the larger first; a null domain is a domain."""
     turn = F.row_number().over(Window.partitionBy(domain).orderBy(F.desc(size), hash_order(seed, F.col(key)), key))
     return rows.withColumn("turn", turn).orderBy("turn", domain).limit(n)
 
 
+def round_robin_reused(rows: DataFrame, domain: str, size: str, key: str, n: int, most_uses: int, seed: int = 42) -> DataFrame:
+    """``n`` picks from ``rows``, domain by domain in turn, each row up to ``most_uses`` times: pick (from 1) and use (from 0) besides.
+
+    A domain's rows are all used once before any is used again. With fewer than n / most_uses rows, all uses are given.
+    """
+    of = Window.partitionBy(domain)
+    turn = F.row_number().over(of.orderBy(F.desc(size), hash_order(seed, F.col(key)), key))
+    numbered = rows.withColumn("_turn", turn).withColumn("_own", F.count("*").over(of))
+    uses = numbered.withColumn("use", F.explode(F.sequence(F.lit(0), F.lit(most_uses - 1)))).withColumn("_turn", F.col("_turn") + F.col("use") * F.col("_own"))
+    picked = uses.orderBy("_turn", domain).limit(n)
+    return picked.withColumn("pick", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_turn", domain))).select(*rows.columns, "use", "pick")
+
+
 def length_batches(rows: DataFrame, length: str, key: str, batch: int, pool: int = 50, seed: int = 42) -> DataFrame:
     """``rows`` with pool and batch: hash buckets of about ``pool`` batches, sorted by length inside, cut into batches.
 

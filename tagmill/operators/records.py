@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagmill.functions.text import with_starts
+
 
 def first_wins(dimension: DataFrame, name: str, order: str) -> DataFrame:
     """One row for each ``name``, the first by ``order``."""
@@ -29,10 +31,7 @@ def parse_tags(text: Column) -> Column:
     pattern = r"\[([^\[\]]+)\]([a-z_]+)"
     values, labels = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    sizes = F.transform(values, lambda x: F.length(x))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-    start = lambda i: total(F.slice(gaps, F.lit(1), i + 1)) + total(F.slice(sizes, F.lit(1), i))
-    return F.transform(F.arrays_zip(values.alias("v"), labels.alias("l")), lambda x, i: F.struct(start(i).alias("start"), (start(i) + F.length(x["v"])).alias("end"), x["l"].alias("label"), x["v"].alias("value")))
+    return F.zip_with(with_starts(values, gaps), labels, lambda m, label: F.struct(m["start"].alias("start"), m["end"].alias("end"), label.alias("label"), m["text"].alias("value")))
 
 
 def strip_tags(text: Column) -> Column:
@@ -47,15 +46,28 @@ def page_slices(offsets: DataFrame, key: str, length: str) -> DataFrame:
     return starts.select(key, (F.row_number().over(by) - 1).alias("page"), "start", F.coalesce(F.lead("start").over(by), F.col(length)).cast("int").alias("end"))
 
 
-def writer_gate(value: Column, label: Column, known: list[str]) -> Column:
-    """Why a writer's value is refused, the first reason that holds, or null."""
-    return (
-        F.when(~F.coalesce(label.isin(known), F.lit(False)), "unknown label")
-        .when(F.coalesce(F.length(value), F.lit(0)) == 0, "empty")
-        .when(F.length(value) > 160, "too long")
-        .when(value.rlike(r"\{[^}]*\}|<[^>]*>|\.\.\."), "placeholder")
-        .when(value.rlike(r"^[0-9 ./-]+$"), "digits only")
+def writer_gate(value: Column, label: Column, formats: dict[str, str], offered: Column, name: str, names_allowed: tuple[str, ...] = (), slur: str = "", slur_label: str = "") -> Column:
+    """Why a writer's value is refused, the first reason that holds, or null.
+
+    ``formats`` has a pattern for each known label, ``offered`` is the array of values the writer was given, ``name``
+    a person's name as a pattern, which only labels in ``names_allowed`` may hold; ``slur`` is looked for under
+    ``slur_label``. A value collides if it is an offered one, or longer than three characters and part of one, in any case.
+    """
+    v = F.trim(F.coalesce(value, F.lit("")))
+    low = F.lower(v)
+    collides = F.exists(F.coalesce(offered, F.array().cast("array<string>")), lambda k: (F.lower(k) == low) | ((F.length(v) > 3) & F.contains(F.lower(k), low)))
+    wrong_format = reduce(lambda c, f: c.when(label == f[0], ~v.rlike(f[1])), formats.items(), F.when(F.lit(False), F.lit(False))).otherwise(F.lit(False))
+    tests = (
+        ("unknown label", ~F.coalesce(label.isin(list(formats)), F.lit(False))),
+        ("length", ~F.length(v).between(1, 160)),
+        ("placeholder", v.rlike(r"\{[^}]*\}|<[^>]*>|\.\.\.")),
+        ("digits only", v.rlike(r"\A[0-9]+\z")),
+        ("slur", (label == slur_label) & v.rlike(slur) if slur else F.lit(False)),
+        ("offered", collides),
+        ("person name", ~label.isin(list(names_allowed)) & v.rlike(name)),
+        ("format", wrong_format),
     )
+    return F.coalesce(*(F.when(holds, why) for why, holds in tests))
 
 
 def assemble_relations(scores: DataFrame, keys: list[str], threshold: float) -> DataFrame:

@@ -5,37 +5,71 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Marks that join the word before, marks that join the word after, single quotes.
-CLOSERS = [".", ",", ";", ":", "!", "?", ")", "]", "}", "”", "»", "’", "'"]
-OPENERS = ["(", "[", "{", "“", "«", "‘"]
-QUOTES = ["'", "’"]
+#: What a token can be, as patterns a whole token must match.
+TRAITS = {
+    "closer": r"[.,;:!?)\]}”»’']",
+    "opener": r"[(\[{“«‘]",
+    "apostrophe": r"['’]",
+    "quote": '"',
+    "dot": r"\.",
+    "colon": ":",
+    "slash": "/",
+    "percent": "%",
+    "word": r"[\p{L}\p{N}_]+(?:[-_][\p{L}\p{N}_]+)*",
+    "low word": r"\p{Ll}[\p{L}\p{N}_]*(?:[-_][\p{L}\p{N}_]+)*",
+    "number": "[0-9]+",
+    "clock": "[0-9]{1,2}",
+    "capital": r"\p{Lu}",
+    "digits first": "[0-9].*",
+}
+#: Which neighbours leave no space before a token: traits of the second and first token before, the token, the next.
+GLUED = (
+    (None, None, "closer", None),
+    (None, "opener", None, None),
+    (None, "apostrophe", "low word", None),
+    (None, "percent", "digits first", None),
+    ("number", "dot", "number", None),
+    ("clock", "colon", "clock", None),
+    ("capital", "dot", "capital", "dot"),
+    (None, "word", "slash", "word"),
+    ("word", "slash", "word", None),
+)
 
 
-def _wordy(c: Column) -> Column:
-    return c.rlike(r"^[\p{L}\p{N}_]+$")
+def collapse_dots(tokens: DataFrame, key: str, member: str | None = None) -> DataFrame:
+    """``tokens`` (key, pos, token) with runs of three dots or more as one token ``...`` at the first dot's pos.
+
+    With ``member``, a column that says which span a token is in, a run ends where that changes. Windows are over one document.
+    """
+    of = [key, "_dot", *([member] if member else [])]
+    t = tokens.withColumn("_dot", F.col("token") == ".")
+    island = F.row_number().over(Window.partitionBy(key).orderBy("pos")) - F.row_number().over(Window.partitionBy(*of).orderBy("pos"))
+    run = Window.partitionBy(*of, "_run")
+    t = t.withColumn("_run", island)
+    t = t.withColumn("_long", F.col("_dot") & (F.count("*").over(run) >= 3)).withColumn("_first", F.min("pos").over(run) == F.col("pos"))
+    return t.filter("_first or not _long").withColumn("token", F.when(F.col("_long"), "...").otherwise(F.col("token"))).drop("_dot", "_run", "_long", "_first")
 
 
 def separators(tokens: DataFrame, key: str) -> DataFrame:
-    """``tokens`` (key, pos, token) with ``sep``: what stands before the token, a space or nothing; windows over one document."""
+    """``tokens`` (key, pos, token) with ``sep``: what stands before the token, a space or nothing.
+
+    Each token is classified once; GLUED says which classes side by side leave no space. Straight quotes open and close
+    in turn: no space stands inside. Windows are over one document; a null token is none of the classes.
+    """
     by = Window.partitionBy(key).orderBy("pos")
-    u0, u1, u2, u3 = F.col("token"), F.lag("token", 1).over(by), F.lag("token", 2).over(by), F.lead("token", 1).over(by)
-    quotes = F.coalesce(F.sum((u0 == '"').cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = tokens.select("*", u1.alias("_u1"), u2.alias("_u2"), u3.alias("_u3"), quotes.alias("_q"))
-    u1, u2, u3 = F.col("_u1"), F.col("_u2"), F.col("_u3")
-    glued = (
-        u0.isin(CLOSERS)
-        | u1.isin(OPENERS)
-        | (((u0 == '"') | (u1 == '"')) & (F.col("_q") % 2 == 1))
-        | (u1.isin(QUOTES) & u0.rlike(r"^\p{Ll}") & _wordy(u0))
-        | ((u1 == ".") & u2.rlike("^[0-9]+$") & u0.rlike("^[0-9]+$"))
-        | ((u1 == ":") & u2.rlike("^[0-9]{1,2}$") & u0.rlike("^[0-9]{1,2}$"))
-        | ((u1 == ".") & u2.rlike(r"^\p{Lu}$") & u0.rlike(r"^\p{Lu}$") & (u3 == "."))
-        | ((u0 == "/") & _wordy(u1) & _wordy(u3))
-        | ((u1 == "/") & _wordy(u2) & _wordy(u0))
-        | ((u1 == "%") & u0.rlike("^[0-9]"))
-    )
-    sep = F.when(u1.isNull() | F.coalesce(glued, F.lit(False)), "").otherwise(" ")
-    return t.withColumn("sep", sep).drop("_u1", "_u2", "_u3", "_q")
+    traits = F.array_compact(F.array(*(F.when(F.col("token").rlike(rf"\A(?:{p})\z"), n) for n, p in TRAITS.items())))
+    t = tokens.withColumn("_t", traits)
+    open_quotes = F.sum(F.array_contains("_t", "quote").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1)) % 2 == 1
+    around = {"_2": F.lag("_t", 2).over(by), "_1": F.lag("_t", 1).over(by), "_n": F.lead("_t", 1).over(by), "_q": F.coalesce(open_quotes, F.lit(False))}
+    t = t.select("*", *(c.alias(n) for n, c in around.items()))
+    has = lambda c, trait: F.coalesce(F.array_contains(c, trait), F.lit(False))
+    glued = F.col("_1").isNull() | (F.col("_q") & (has("_t", "quote") | has("_1", "quote")))
+    for rule in GLUED:
+        fits = F.lit(True)
+        for c, trait in zip(("_2", "_1", "_t", "_n"), rule, strict=True):
+            fits = fits & has(c, trait) if trait else fits
+        glued = glued | fits
+    return t.withColumn("sep", F.when(glued, "").otherwise(" ")).drop("_t", *around)
 
 
 def detokenise(tokens: DataFrame, key: str) -> DataFrame:
@@ -45,6 +79,12 @@ def detokenise(tokens: DataFrame, key: str) -> DataFrame:
     return separators(tokens, key).withColumn("end", end).withColumn("start", F.col("end") - F.length("token"))
 
 
+def space_join(tokens: DataFrame, key: str) -> DataFrame:
+    """``tokens`` (key, pos, token) with start and end in their join by single spaces."""
+    end = (F.sum(F.length("token") + 1).over(Window.partitionBy(key).orderBy("pos")) - 1).cast("int")
+    return tokens.withColumn("end", end).withColumn("start", F.col("end") - F.length("token"))
+
+
 def pack_sentences(sentences: DataFrame, key: str, most: int) -> DataFrame:
     """``sentences`` (key, pos, size) with ``piece``: greedily filled up to ``most``; a longer sentence is a piece of its own.
 

@@ -49,14 +49,22 @@ _PAGES = """with o as (select distinct doc_id, n_chars, s from (select doc_id, n
 select doc_id, cast(row_number() over (partition by doc_id order by s) - 1 as int) as page, cast(s as int) as "start", cast(coalesce(lead(s) over (partition by doc_id order by s), n_chars) as int) as "end" from o"""
 
 
+_FORMATS = {"Brand#11": r"^[a-z]+ [a-z]+", "Brand#12": r"^[A-Za-z ]+$", "Brand#13": r"."}
+
+
 def _gate(spark, d):
-    p = table(spark, d, "part", "p_partkey", "p_name", "p_brand")
-    value = F.when(F.col("p_partkey") % 5 == 0, F.col("p_partkey").cast("string")).when(F.col("p_partkey") % 7 == 0, F.lit("{name}")).when(F.col("p_partkey") % 11 == 0, F.lit("")).otherwise(F.col("p_name"))
-    return p.select(F.coalesce(r.writer_gate(value, F.col("p_brand"), ["Brand#11", "Brand#12", "Brand#13"]), F.lit("accepted")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    """Part names as a writer's values under their brand: some are spoilt, and each brand was offered its own container."""
+    p = table(spark, d, "part", "p_partkey", "p_name", "p_brand", "p_type")
+    k = F.col("p_partkey")
+    value = F.when(k % 5 == 0, k.cast("string")).when(k % 7 == 0, F.lit("{name}")).when(k % 11 == 0, F.lit(" ")).when(k % 3 == 0, F.substring("p_type", 1, 6)).when(k % 8 == 0, F.concat("p_name", F.lit(" Jo Doe"))).otherwise(F.col("p_name"))
+    reason = r.writer_gate(value, F.col("p_brand"), _FORMATS, F.array("p_type"), r"\b[A-Z][a-z]+ [A-Z][a-z]+\b", ("Brand#13",), "(?i)x{3}", "Brand#12")
+    return p.select(F.coalesce(reason, F.lit("accepted")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-_GATE = """with v as (select p_brand, case when p_partkey % 5 = 0 then cast(p_partkey as varchar) when p_partkey % 7 = 0 then '{name}' when p_partkey % 11 = 0 then '' else p_name end as v from part)
-select case when p_brand not in ('Brand#11', 'Brand#12', 'Brand#13') then 'unknown label' when length(v) = 0 then 'empty' when length(v) > 160 then 'too long' when regexp_matches(v, '\\{[^}]*\\}|<[^>]*>|\\.\\.\\.') then 'placeholder' when regexp_matches(v, '^[0-9 ./-]+$') then 'digits only' else 'accepted' end as reason, count(*) as n from v group by 1""".replace("\\\\", "\\")
+_GATE = r"""with v as (select p_brand as b, p_type as o, trim(case when p_partkey % 5 = 0 then cast(p_partkey as varchar) when p_partkey % 7 = 0 then '{name}' when p_partkey % 11 = 0 then ' ' when p_partkey % 3 = 0 then substr(p_type, 1, 6) when p_partkey % 8 = 0 then p_name || ' Jo Doe' else p_name end) as v from part)
+select case when b not in ('Brand#11', 'Brand#12', 'Brand#13') then 'unknown label' when length(v) = 0 or length(v) > 160 then 'length' when regexp_matches(v, '\{[^}]*\}|<[^>]*>|\.\.\.') then 'placeholder' when regexp_full_match(v, '[0-9]+') then 'digits only'
+  when b = 'Brand#12' and regexp_matches(v, '(?i)x{3}') then 'slur' when lower(v) = lower(o) or (length(v) > 3 and contains(lower(o), lower(v))) then 'offered' when b <> 'Brand#13' and regexp_matches(v, '\b[A-Z][a-z]+ [A-Z][a-z]+\b') then 'person name'
+  when not regexp_matches(v, case b when 'Brand#11' then '^[a-z]+ [a-z]+' when 'Brand#12' then '^[A-Za-z ]+$' else '.' end) then 'format' else 'accepted' end as reason, count(*) as n from v group by 1"""
 
 
 def _mismatches(spark, d):
@@ -135,15 +143,17 @@ select doc_id, array_to_string(list_filter([case when x.c = 1 then 'calm' end, c
 
 
 def _partition_check(spark, d):
-    """Hard and easy test documents are the whole test split and share nothing: both differences are empty."""
-    docs = documents(spark, d, "doc_id", "n_chars").withColumn("test", hash_uniform(42, F.col("doc_id")) < 0.3)
-    test, hard, easy = docs.filter("test"), docs.filter("test and n_chars > 3000"), docs.filter("test and n_chars <= 3000")
-    both = hard.select("doc_id").unionByName(easy.select("doc_id"))
+    """Hard documents (long, or with a repeated line) and easy ones (short, without symbols): what both or neither of them holds is counted."""
+    docs = documents(spark, d, "doc_id", "n_chars", "text").select("doc_id", "n_chars", F.contains("text", F.lit("%")).alias("odd"))
+    hard, easy = docs.filter("n_chars > 3000 or odd").select("doc_id"), docs.filter("n_chars <= 3500 and not odd").select("doc_id")
+    both = hard.unionByName(easy)
     n = lambda f, name: f.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n")
-    return n(test.select("doc_id").exceptAll(both), "missing").union(n(both.exceptAll(test.select("doc_id")), "extra")).union(n(hard.select("doc_id").intersect(easy.select("doc_id")), "shared")).union(n(test, "test"))
+    every = docs.select("doc_id")
+    return n(every.exceptAll(both), "missing").union(n(both.exceptAll(every), "extra")).union(n(hard.intersect(easy), "shared")).union(n(every, "all"))
 
 
-_PARTITION = f"""with t as (select doc_id, n_chars from documents where {u_sql(42, 'doc_id')} < 0.3) select 'missing' as "check", count(*) filter (n_chars is null) as n from t union all select 'extra', cast(0 as bigint) union all select 'shared', cast(0 as bigint) union all select 'test', count(*) from t"""
+_PARTITION = """with x as (select n_chars > 3000 or contains(text, '%') as hard, n_chars <= 3500 and not contains(text, '%') as easy from documents)
+select 'missing' as "check", count(*) filter (not coalesce(hard, false) and not coalesce(easy, false)) as n from x union all select 'extra', count(*) filter (hard and easy) from x union all select 'shared', count(*) filter (hard and easy) from x union all select 'all', count(*) from x"""
 
 ITEMS = {
     "closed_label_grid": Item(_grid, _GRID),

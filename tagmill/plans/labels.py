@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tagmill.functions.hashing import hash_uniform
 from tagmill.operators import graph, matching
+from tagmill.operators.corpus import beside
+from tagmill.operators.ranking import ranked
 from tagmill.operators.constraints import at_least_level, cardinality, excludes, iff, implies
 from tagmill.plans import Item
 from tagmill.plans.derived import documents, u_sql
@@ -106,11 +108,11 @@ select vec_id, node, centred, cast(r as int) as rank from (select *, row_number(
 
 def _profiles(spark, d):
     """Density classes by length inside each language: 8, 22 and 45 per cent, the rest dense."""
-    by = Window.partitionBy("lang")
-    r = F.row_number().over(by.orderBy("n_chars", "doc_id"))
-    n = F.count("*").over(by)
+    docs = documents(spark, d, "doc_id", "lang", "n_chars")
+    placed = beside(ranked(docs, ["lang"], ["n_chars", "doc_id"], "r"), docs.groupBy("lang").agg(F.count("*").alias("n")), ["lang"])
+    r, n = F.col("r"), F.col("n")
     zero, sparse, normal = (F.bround(n * s) for s in (0.08, 0.22, 0.45))
-    return documents(spark, d, "doc_id", "lang", "n_chars").select("doc_id", F.when(r <= zero, "zero").when(r <= zero + sparse, "sparse").when(r <= zero + sparse + normal, "normal").otherwise("dense").alias("profile"))
+    return placed.select("doc_id", F.when(r <= zero, "zero").when(r <= zero + sparse, "sparse").when(r <= zero + sparse + normal, "normal").otherwise("dense").alias("profile"))
 
 
 _PROFILES = """with r as (select doc_id, row_number() over (partition by lang order by n_chars, doc_id) as r, count(*) over (partition by lang) as n from documents),
@@ -148,11 +150,20 @@ select conv_id, label, p from r where p >= 0.5 or (best < 0.5 and r = 1)"""
 
 
 def _components(spark, d):
-    """Documents of equal text are coreferent through a chain of neighbours; the component is the smallest doc_id."""
-    docs = documents(spark, d, "doc_id", "text").select("doc_id", F.md5("text").alias("k"))
-    before = F.lag("doc_id").over(Window.partitionBy("k").orderBy("doc_id"))
-    edges = docs.select(F.col("doc_id").alias("a"), before.alias("b")).filter("b is not null")
-    return graph.components(edges)
+    """Documents whose first or whose last sixty characters are equal are coreferent, through others too; the component is the smallest doc_id.
+
+    A document points at the least one of its beginning and at the least one of its end; both minima are pre-aggregated.
+    """
+    docs = documents(spark, d, "doc_id", "text").select("doc_id", F.substring("text", 1, 60).alias("t"), F.substring("text", -60, 60).alias("s"))
+    edge = lambda k: docs.join(docs.groupBy(k).agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).filter("n > 1"), k).select(F.col("doc_id").alias("a"), "b")
+    return graph.components(edge("t").union(edge("s")))
+
+
+_COMPONENTS = """with recursive k as (select doc_id, substr(text, 1, 60) as t, right(text, 60) as s from documents),
+e as (select doc_id as a, min(doc_id) over (partition by t) as b, count(*) over (partition by t) as n from k union all select doc_id, min(doc_id) over (partition by s), count(*) over (partition by s) from k),
+both_ways as (select distinct a, b from e where n > 1 union select b, a from e where n > 1),
+r as (select a as id, a as seen from both_ways union select r.id, e.b from r join both_ways e on e.a = r.seen)
+select id, min(seen) as component from r group by id"""
 
 
 def _reach(spark, d):
@@ -169,13 +180,14 @@ select left(id, 1) as kind, count(*) as n from s group by 1"""
 
 
 def _cycles(spark, d):
-    """Suppliers pointing at suppliers: chains end, one ring stays."""
+    """Suppliers pointing at suppliers: chains end, two rings stay, and the path from one ring to the other lies on no cycle."""
     s = table(spark, d, "supplier", "s_suppkey")
-    to = F.when(F.col("s_suppkey") <= 7, F.col("s_suppkey") % 7 + 1).otherwise(F.floor(F.col("s_suppkey") / 2))
-    return graph.cyclic_nodes(s.select(F.col("s_suppkey").alias("a"), to.cast("bigint").alias("b")))
+    n = F.col("s_suppkey")
+    to = F.explode(F.when(n == 3, F.array(F.lit(1), F.lit(4)).cast("array<bigint>")).otherwise(F.array(F.when(n < 3, n + 1).when(n == 4, 8).when(n == 8, 9).when(n == 9, 8).otherwise(F.floor(n / 2))).cast("array<bigint>")))
+    return graph.cyclic_nodes(s.select(F.col("s_suppkey").alias("a"), to.alias("b")))
 
 
-_CYCLES = """with recursive e as (select s_suppkey as a, case when s_suppkey <= 7 then s_suppkey % 7 + 1 else s_suppkey // 2 end as b from supplier),
+_CYCLES = """with recursive e as (select s_suppkey as a, unnest(case when s_suppkey = 3 then [1, 4] else [case when s_suppkey < 3 then s_suppkey + 1 when s_suppkey = 4 then 8 when s_suppkey = 8 then 9 when s_suppkey = 9 then 8 else s_suppkey // 2 end] end) as b from supplier),
 w as (select a as origin, b as here from e union select w.origin, e.b from w join e on e.a = w.here) select distinct origin as id from w where origin = here"""
 
 
@@ -204,7 +216,7 @@ ITEMS = {
     "profile_quantiles": Item(_profiles, _PROFILES),
     "chunk_merge_items": Item(_merge, _MERGE),
     "classify_long_aggregate": Item(_classify, _CLASSIFY),
-    "coref_components": Item(_components, "with g as (select md5(text) as k, min(doc_id) as component, count(*) as n from documents group by 1) select doc_id as id, component from documents join g on md5(text) = k where n > 1"),
+    "coref_components": Item(_components, _COMPONENTS),
     "reachability": Item(_reach, _REACH),
     "cyclic_nodes": Item(_cycles, _CYCLES),
     "type_constraint_filter": Item(_typed, _TYPED),

@@ -9,6 +9,7 @@ from tagmill.operators import matching, spans
 from tagmill.operators.recognise import RULES
 from tagmill.plans import Item
 from tagmill.plans.derived import CANDIDATES_SQL, MENTIONS_SQL, PREDICTIONS_SQL, documents, found, gold, predictions
+from tagmill.written import cut
 
 _SPAN = ["doc_id", "start", "end", "label", "surface"]
 _SPAN_SQL = 'doc_id, "start", "end", label, surface'
@@ -29,7 +30,7 @@ def _one_sql(label):
 
 def _near_spans(spark, d):
     """Rule spans and, beside each, a longer and a shifted one of less confidence, so that every policy has work."""
-    m = found(spark, d).select(*_SPAN, "confidence")
+    m = cut(found(spark, d).select(*_SPAN, "confidence"), "found")
     longer = m.withColumn("end", F.col("end") + 3).withColumn("confidence", F.col("confidence") - 0.15).withColumn("label", F.lit("wide"))
     moved = m.withColumn("start", F.col("start") + 2).withColumn("end", F.col("end") + 5).withColumn("confidence", F.col("confidence") - 0.25).withColumn("label", F.lit("moved"))
     return m.unionByName(longer).unionByName(moved).withColumn("start", F.col("start").cast("int")).withColumn("end", F.col("end").cast("int")).withColumn("confidence", F.round("confidence", 6))
@@ -62,7 +63,7 @@ def _policy(fn):
 
 
 def _bio(spark, d):
-    m = gold(spark, d)
+    m = cut(gold(spark, d), "mentions")
     docs = documents(spark, d, "doc_id", "text").join(m.select("doc_id").distinct(), "doc_id", "left_semi")
     pieces = docs.select("doc_id", F.length(F.regexp_extract("text", r"^[ \t\n\r\f\x0B]*", 0)).alias("lead"), F.posexplode(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r\f\x0B]+[ \t\n\r\f\x0B]*"), F.lit(0))).alias("pos", "piece"))
     before = F.coalesce(F.sum(F.length("piece")).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -92,7 +93,7 @@ select doc_id, cast(min("start") as bigint) as "start", cast(max("end") as bigin
 
 
 def _both(spark, d):
-    g = gold(spark, d)
+    g = cut(gold(spark, d), "mentions")  # used several times: the texts are read once
     return g, predictions(g)
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tagmill.functions.hashing import hash_uniform
-from tagmill.functions.text import WORD, words
+from tagmill.functions.text import WORD, junk_reason, words
 from tagmill.operators.relations import match_records
-from tagmill.operators.tokens import detokenise, pack_sentences
+from tagmill.operators.tokens import collapse_dots, detokenise, pack_sentences
 from tagmill.plans import Item
 from tagmill.plans.derived import documents, u_sql
 from tagmill.sources import table
@@ -19,13 +19,16 @@ _WORD_SQL = WORD.replace("'", "''")
 def _detokenise(spark, d):
     """Conversation turns tokenised and joined again: length of the joined text and a digest of the token ends."""
     c = table(spark, d, "conversations", "conv_id", "turn", "text").select(F.concat_ws(":", "conv_id", "turn").alias("k"), F.posexplode(words(F.col("text"))).alias("pos", "token"))
-    joined = detokenise(c, "k")
+    joined = detokenise(collapse_dots(c, "k"), "k")
     return joined.groupBy("k").agg(F.count("*").alias("tokens"), F.max("end").alias("chars"), F.sum(F.col("start") * (F.col("pos") + 1)).alias("start_sum"), F.count(F.when(F.col("sep") == "", 1)).alias("glued"))
 
 
 _CL = "('.', ',', ';', ':', '!', '?', ')', ']', '}', '”', '»', '’', '''')"
-_W = r"'^[\p{L}\p{N}_]+$'"
-_DETOKENISE = rf"""with t as (select conv_id || ':' || turn as k, generate_subscripts(regexp_extract_all(text, '{_WORD_SQL}'), 1) - 1 as pos, unnest(regexp_extract_all(text, '{_WORD_SQL}')) as u0 from conversations),
+_W = r"'^[\p{L}\p{N}_]+([-_][\p{L}\p{N}_]+)*$'"
+_DETOKENISE = rf"""with t0 as (select conv_id || ':' || turn as k, generate_subscripts(regexp_extract_all(text, '{_WORD_SQL}'), 1) - 1 as pos, unnest(regexp_extract_all(text, '{_WORD_SQL}')) as u0 from conversations),
+t1 as (select *, row_number() over (partition by k order by pos) - row_number() over (partition by k, u0 = '.' order by pos) as run from t0),
+t2 as (select *, u0 = '.' and count(*) over (partition by k, u0 = '.', run) > 2 as long, min(pos) over (partition by k, u0 = '.', run) as first from t1),
+t as (select k, pos, case when long then '...' else u0 end as u0 from t2 where not long or pos = first),
 w as (select *, lag(u0, 1) over p as u1, lag(u0, 2) over p as u2, lead(u0, 1) over p as u3, coalesce(sum(case when u0 = '"' then 1 else 0 end) over (partition by k order by pos rows between unbounded preceding and 1 preceding), 0) as q from t window p as (partition by k order by pos)),
 s as (select *, case when u1 is null or coalesce(u0 in {_CL} or u1 in ('(', '[', '{{', '“', '«', '‘') or ((u0 = '"' or u1 = '"') and q % 2 = 1) or (u1 in ('''', '’') and regexp_matches(u0, '^\p{{Ll}}') and regexp_matches(u0, {_W}))
   or (u1 = '.' and regexp_matches(u2, '^[0-9]+$') and regexp_matches(u0, '^[0-9]+$')) or (u1 = ':' and regexp_matches(u2, '^[0-9]{{1,2}}$') and regexp_matches(u0, '^[0-9]{{1,2}}$'))
@@ -61,18 +64,32 @@ def _relations(spark, d):
     return total(strict, "strict").join(total(lenient, "lenient"), "relation")
 
 
-# A part stands once in an order here; equal triples would be interchangeable.
-_RELATIONS = f"""with t as (select l_returnflag as relation, {u_sql(5, "l_orderkey || ':' || l_linenumber")} as u from lineitem)
-select relation, count(*) filter (u >= 0.4) as strict_tp, count(*) filter (u >= 0.2 and u < 0.4) as strict_fp, count(*) filter (u < 0.4) as strict_fn, count(*) filter (u >= 0.2) as lenient_tp, cast(0 as bigint) as lenient_fp, count(*) filter (u < 0.2) as lenient_fn from t group by relation"""
+_RELATIONS = f"""with t as (select l_orderkey as record, l_returnflag as relation, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as i, 'part ' || l_partkey as head, 'supplier ' || l_suppkey as tail, {u_sql(5, "l_orderkey || ':' || l_linenumber")} as u from lineitem),
+p as (select record, relation, i, case when u < 0.4 then tail else head end as head, case when u < 0.4 then head else tail end as tail from t where u >= 0.2),
+n as (select relation, (select count(*) from p where p.relation = t.relation) as preds, count(*) as golds from t group by relation),
+gs as (select *, row_number() over (partition by record, relation, head, tail order by i) as k from t), ps as (select *, row_number() over (partition by record, relation, head, tail order by i) as k from p),
+strict as (select gs.relation, count(*) as tp from gs join ps using (record, relation, head, tail, k) group by 1),
+gl as (select *, row_number() over (partition by record, relation, least(head, tail), greatest(head, tail) order by i) as k from t), pl as (select *, row_number() over (partition by record, relation, least(head, tail), greatest(head, tail) order by i) as k from p),
+lenient as (select gl.relation, count(*) as tp from gl join pl on gl.record = pl.record and gl.relation = pl.relation and least(gl.head, gl.tail) = least(pl.head, pl.tail) and greatest(gl.head, gl.tail) = greatest(pl.head, pl.tail) and gl.k = pl.k group by 1)
+select n.relation, s.tp as strict_tp, preds - s.tp as strict_fp, golds - s.tp as strict_fn, l.tp as lenient_tp, preds - l.tp as lenient_fp, golds - l.tp as lenient_fn from n join strict s using (relation) join lenient l using (relation)"""
 
 
 def _conservation(spark, d):
-    """Every document is in exactly one split of one bucket: what went in comes out, by language."""
-    docs = documents(spark, d, "doc_id", "lang")
-    split = docs.withColumn("split", F.when(hash_uniform(42, F.col("doc_id")) < 0.1, "test").otherwise("train"))
-    parts = split.filter("split = 'test'").unionByName(split.filter("split = 'train'"))
-    into, out = docs.groupBy("lang").agg(F.count("*").alias("docs_in")), parts.groupBy("lang").agg(F.count("*").alias("docs_out"), F.count_distinct("doc_id").alias("distinct_out"))
-    return into.join(out, "lang", "full_outer").select("lang", F.coalesce("docs_in", F.lit(0)).alias("docs_in"), F.coalesce("docs_out", F.lit(0)).alias("docs_out"), F.coalesce("distinct_out", F.lit(0)).alias("distinct_out"))
+    """Mentions of each label are raw ones, less repeats in a document, less junk, and what is left; the parts add up."""
+    words = F.regexp_extract_all("text", F.lit(r"[^ \t\n\r\f\x0B]+"), F.lit(0))
+    m = documents(spark, d, "doc_id", "lang", "text").select("doc_id", "lang", F.explode(words).alias("mention"))
+    once = m.groupBy("doc_id", "lang", F.lower("mention").alias("key")).agg(F.count("*").alias("n"), F.min("mention").alias("mention"))
+    reason = junk_reason(F.col("mention"))
+    n = lambda c, what=1: F.coalesce(F.sum(F.when(c, what)), F.lit(0))
+    parts = once.groupBy("lang").agg(F.sum("n").alias("raw"), F.sum(F.col("n") - 1).alias("repeats"), n(reason.isNotNull()).alias("junk"), n(reason.isNull()).alias("final"))
+    return parts.withColumn("adds_up", F.col("raw") == F.col("repeats") + F.col("junk") + F.col("final"))
+
+
+_CONSERVATION = r"""with m as (select doc_id, lang, unnest(regexp_extract_all(text, '[^ \t\n\r\f\v]+')) as m from documents),
+o as (select doc_id, lang, lower(m) as k, count(*) as n, min(m) as m from m group by all),
+j as (select *, length(regexp_replace(m, '\p{P}', '', 'g')) as o, length(regexp_replace(m, '[^\p{L}]', '', 'g')) as l from o),
+r as (select *, o = 0 or l < 4 or 1 - o / length(m) > 0.3 as junk from j)
+select lang, cast(sum(n) as bigint) as raw, cast(sum(n - 1) as bigint) as repeats, count(*) filter (junk) as junk, count(*) filter (not junk) as final, sum(n) = sum(n - 1) + count(*) as adds_up from r group by lang"""
 
 
 def _sanitize(spark, d):
@@ -93,6 +110,6 @@ ITEMS = {
     "detokenise": Item(_detokenise, _DETOKENISE),
     "sentence_packing": Item(_pack, _PACK),
     "relation_eval": Item(_relations, _RELATIONS),
-    "conservation_check": Item(_conservation, "select lang, count(*) as docs_in, count(*) as docs_out, count(distinct doc_id) as distinct_out from documents group by lang"),
+    "conservation_check": Item(_conservation, _CONSERVATION),
     "sanitize_records": Item(_sanitize, _SANITIZE),
 }

@@ -1,4 +1,4 @@
-"""Readers beside Parquet tables: JSON lines, strict or with quarantine, weighted CSV lists, tagged SQL dumps."""
+"""Readers beside Parquet tables: JSON lines, strict or with quarantine, weighted CSV lists, tuples of SQL dumps, JSON dimensions, gold and predictions."""
 
 from __future__ import annotations
 

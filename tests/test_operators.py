@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,7 +49,9 @@ def test_text(spark):
     assert one(spark, t.find_all(F.lit(None).cast("string"), "[0-9]+")) == []
     start, text = t.trim_span(F.lit(5), F.lit(" (Ahmet), "))
     assert (one(spark, start), one(spark, text)) == (7, "Ahmet")
-    assert [one(spark, t.junk_reason(F.lit(x))) for x in ("...", "ab", "a,b,c,d", "Ahmet Yılmaz")] == ["punctuation", "short", "noisy", None]
+    assert [one(spark, t.junk_reason(F.lit(x))) for x in ("...", " ", "", "ab", "12345", "ab c", "a,b,c,d", "- -", "(a b c d)", "Ahmet Yılmaz")] == ["punctuation", "punctuation", "punctuation", "short", "short", None, "noisy", "punctuation", "noisy", None]
+    many = " ".join(f"é{i}" for i in range(300))
+    assert [(x.start, x.end, x.text) for x in one(spark, t.find_all(F.lit(many), "[0-9]+"))] == [(m.start(), m.end(), m.group()) for m in re.finditer("[0-9]+", many)]
 
 
 def rows(spark, items):
