@@ -18,6 +18,9 @@ class Item:
 
 def registry() -> dict[str, Item]:
     """All queries of the package outside ``llm``."""
-    from tagmill.plans import building, corpus, edges, labels, recognition, records, text
+    from tagmill.plans import building, corpus, edges, labels, recognition, records, targets, text
 
-    return {**recognition.ITEMS, **text.ITEMS, **corpus.ITEMS, **labels.ITEMS, **records.ITEMS, **building.ITEMS, **edges.ITEMS}
+    found: dict[str, Item] = {}
+    for module in (recognition, text, corpus, labels, records, building, edges, targets):
+        found |= module.ITEMS
+    return found
