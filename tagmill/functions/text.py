@@ -89,3 +89,78 @@ def trim_span(start: Column, text: Column) -> tuple[Column, Column]:
     left = F.regexp_replace(right, r"^[(\[{\"']+", "")
     moved = F.length(text) - F.length(ltrim) + F.length(right) - F.length(left)
     return start + moved, F.regexp_replace(left, r"[ \t\n\r\f\x0B]+$", "")
+
+
+#: The character splitter, and the pretokeniser's apostrophes.
+CHARS = r"[A-Za-z0-9@._\-+]+|[^\s]"
+APOSTROPHES = "'’"
+
+
+def char_words(text: Column) -> Column:
+    """Tokens of the character splitter: runs of ASCII letters, digits and ``@._-+``; any other visible character alone."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CHARS), F.lit(0))
+
+
+def low_words(text: Column) -> Column:
+    """Tokens of the word splitter in lower case."""
+    return F.transform(words(text), lambda x: F.lower(x))
+
+
+def clitic_words(text: Column) -> Column:
+    """White-space words, each cut before the first apostrophe that follows another character."""
+    cut = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"[^\s{APOSTROPHES}][^\s{APOSTROPHES}]*|[{APOSTROPHES}]\S*"), F.lit(0))
+    return F.filter(cut, lambda x: x != "")
+
+
+def tr_upper(text: Column) -> Column:
+    """Turkish upper case: i gets its dot, dotless i none."""
+    return F.upper(F.translate(text, "iı", "İI"))
+
+
+def tr_title(text: Column) -> Column:
+    """Turkish title case of single-spaced words."""
+    return F.array_join(F.transform(F.split(squeeze(text), " "), lambda w: F.concat(tr_upper(F.substring(w, 1, 1)), tr_lower(F.substring(w, 2, 1 << 30)))), " ")
+
+
+def document_type(text: Column) -> Column:
+    """Lower case, white space squeezed."""
+    return F.lower(squeeze(text))
+
+
+def brief_key(description: Column, kind: Column) -> Column:
+    """md5 of the trimmed lower-case description, or of the kind where that is null or empty."""
+    return F.md5(F.lower(F.trim(F.coalesce(F.nullif(description, F.lit("")), kind, F.lit("")))))
+
+
+def file_name(text: Column) -> Column:
+    """``text`` with anything but ASCII letters, digits and ``-_.`` as an underscore."""
+    return F.regexp_replace(text, r"[^A-Za-z0-9\-_.]", "_")
+
+
+def without_fences(text: Column, marker: str) -> tuple[Column, Column]:
+    """(text, complete): code fences and the end ``marker`` taken off; complete if the marker stood at the end."""
+    bare = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?m)^```[A-Za-z]*[ \t]*$\n?", ""))
+    done = bare.endswith(marker)
+    return F.when(done, F.trim(F.substring(bare, F.lit(1), F.length(bare) - len(marker)))).otherwise(bare), done
+
+
+def repeated_before(text: Column, start: Column, span: Column) -> Column:
+    """Whether the span's first word, of three characters or more, stands right before it in the forty characters before, and no colon or hyphen before that."""
+    head = F.rtrim(F.substring(text, F.greatest(start - 40, F.lit(0)) + 1, F.least(start, F.lit(40))))
+    first = F.element_at(F.split(F.trim(span), r"\s+"), 1)
+    rest = F.rtrim(F.substring(head, F.lit(1), F.length(head) - F.length(first)))
+    return F.coalesce((F.length(first) >= 3) & F.endswith(head, first) & ~rest.rlike(r"[:\-]\z"), F.lit(False))
+
+
+def near(text: Column, start: Column, end: Column, reach: int = 60) -> Column:
+    """The span with ``reach`` characters on either side."""
+    begin = F.greatest(start - reach, F.lit(0))
+    return F.substring(text, begin + 1, end + reach - begin)
+
+
+def votes(text: Column, patterns: dict[str, str]) -> Column:
+    """The name of the pattern with the most matches in ``text``; none, or a draw, gives null."""
+    counts = F.array(*(F.struct(F.regexp_count(text, F.lit(p)).alias("n"), F.lit(name).alias("name")) for name, p in patterns.items()))
+    best = F.array_max(F.transform(counts, lambda c: c["n"]))
+    first = F.filter(counts, lambda c: c["n"] == best)
+    return F.when((best > 0) & (F.size(first) == 1), first[0]["name"])

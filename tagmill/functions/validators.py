@@ -70,3 +70,36 @@ def age_contradicts(age: Column, birth: Column, year: int = 2026) -> Column:
     """Whether an age differs by more than two years from a birth date that ends in its year; unreadable values don't."""
     born = F.substring(birth, -4, 4).try_cast("int")
     return F.coalesce(F.abs(F.lit(year) - born - age.try_cast("int")) > 2, F.lit(False))
+
+
+def imei(text: Column) -> Column:
+    """Fifteen digits that pass the Luhn check."""
+    return _when_shaped(text, "^[0-9]{15}$", luhn(text))
+
+
+def province(code: Column) -> Column:
+    """Number of the province (1 to 81) that a postal code of five digits or a plate begins with, or null."""
+    first = F.regexp_extract(F.coalesce(code, F.lit("")), r"^([0-9]{2})(?:[0-9]{3}$| ?[A-Z]{1,3} ?[0-9]{2,4}$)", 1).try_cast("int")
+    return F.when(first.between(1, 81), first)
+
+
+def mrz_line(document: Column, birth: Column, expiry: Column) -> Column:
+    """A machine-readable line: number of nine, birth and expiry date of six digits, each with its check digit, and one over all three."""
+    fields = [F.rpad(F.upper(F.regexp_replace(document, "[^A-Za-z0-9]", "<")), 9, "<"), birth, expiry]
+    checked = F.concat(*(F.concat(f, mrz_check_digit(f).cast("string")) for f in fields))
+    return F.concat(checked, mrz_check_digit(checked).cast("string"))
+
+
+def fits_rule(value: Column, kind: Column, rules: dict[str, tuple[str, int, int, int, int]]) -> Column:
+    """Whether ``value`` fits the rule of its ``kind``: pattern, least and most characters, least and most words; unknown kinds never."""
+    v = F.trim(F.coalesce(value, F.lit("")))
+    n = F.when(v == "", 0).otherwise(F.size(F.split(v, r"\s+")))
+    out = F.when(F.lit(False), F.lit(False))
+    for name, (pattern, low, high, few, many) in rules.items():
+        out = out.when(kind == name, v.rlike(pattern) & F.length(v).between(low, high) & n.between(few, many))
+    return out.otherwise(F.lit(False))
+
+
+def tempered(p: Column, heat: float) -> Column:
+    """Probability ``p`` with its logit divided by ``heat``; 0 and 1 stay."""
+    return F.when((p <= 0) | (p >= 1), p).otherwise(1 / (1 + F.exp(-(F.log(p) - F.log(1 - p)) / heat)))

@@ -6,6 +6,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagmill.operators.graph import components
+from tagmill.operators.matching import prf
+from tagmill.written import cut
+
 
 def surface_key(text: Column) -> Column:
     """White space squeezed, lower case."""
@@ -46,3 +50,99 @@ def match_records(gold: DataFrame, pred: DataFrame, swapped: bool = False) -> Da
     n_pred = p.groupBy("record", "relation").agg(F.count("*").alias("n_pred"))
     every = n_gold.join(n_pred, ["record", "relation"], "full_outer").join(tp, ["record", "relation"], "left").na.fill(0, ["n_gold", "n_pred", "tp"])
     return every.select("record", "relation", "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_gold") - F.col("tp")).alias("fn"))
+
+
+def best_label(sides: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+    """``sides`` (key, start, end) with ``label``: that of the span (key, i, start, end, label) of largest overlap, the earlier ``i`` on ties; null where none overlaps.
+
+    Both are dealt into buckets of positions, so only neighbours in a document are compared.
+    """
+    width = 64
+    bucket = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.greatest(F.col("end") - 1, F.col("start")) / width))).alias("_b")
+    s = sides.withColumn("_id", F.monotonically_increasing_id())
+    a = s.select(key, "_id", F.col("start").alias("_s"), F.col("end").alias("_e"), bucket)
+    b = spans.select(key, "i", F.col("start").alias("_ps"), F.col("end").alias("_pe"), F.col("label").alias("_l"), bucket)
+    size = F.least("_e", "_pe") - F.greatest("_s", "_ps")
+    best = a.join(b, [key, "_b"]).withColumn("_o", size).filter("_o > 0").groupBy("_id").agg(F.max_by("_l", F.struct("_o", -F.col("i"))).alias("label"))
+    return s.join(best, "_id", "left").drop("_id")
+
+
+def mention_classes(entities: DataFrame, key: str) -> DataFrame:
+    """(key, id, class): entities (key, id, same_as) that name each other through same_as, also through others, are one class; unknown names don't count."""
+    named = entities.select(key, "id", "same_as")
+    known = named.select(key, F.col("id").alias("same_as"))
+    node = lambda c: F.struct(F.col(key).alias("k"), F.col(c).alias("v"))
+    links = named.join(known, [key, "same_as"], "left_semi").select(node("id").alias("a"), node("same_as").alias("b"))
+    classes = components(links.unionByName(named.select(node("id").alias("a"), node("id").alias("b"))))
+    return classes.select(F.col("id.k").alias(key), F.col("id.v").alias("id"), F.col("component.v").alias("class"))
+
+
+def match_coreferent(entities: DataFrame, mentions: DataFrame, gold: DataFrame, pred: DataFrame, key: str) -> DataFrame:
+    """(key, relation, status, gold_i, pred_i) of predicted relations against gold ones through any coreferent mention.
+
+    ``entities`` (key, id, same_as), ``mentions`` (key, id, start, end), ``gold`` (key, i, relation, head, tail: ids) and ``pred`` (key,
+    i, relation, head_start, head_end, tail_start, tail_end). A predicted side hits an entity if it overlaps any mention of
+    its class. Predictions take gold relations in order, straight ones first (match), then with the sides exchanged
+    (reversed); the rest are fp and fn. Hits come from joins; taking turns is sequential inside a document's relation.
+    """
+    classes = mention_classes(entities, key)
+    of_class = classes.join(mentions, [key, "id"]).select(key, "class", "start", "end").distinct()
+    width = 64
+    bucket = lambda a, b: F.explode(F.sequence(F.floor(a / width), F.floor(F.greatest(b - 1, a) / width)))
+    m = of_class.select(key, "class", F.col("start").alias("ms"), F.col("end").alias("me"), bucket(F.col("start"), F.col("end")).alias("b"))
+    side = lambda s: F.struct(F.lit(s).alias("side"), F.col(f"{s}_start").alias("s"), F.col(f"{s}_end").alias("e"))
+    sides = pred.select(key, F.col("i").alias("p"), F.inline(F.array(side("head"), side("tail")))).withColumn("b", bucket(F.col("s"), F.col("e")))
+    hits = sides.join(m, [key, "b"]).filter("least(e, me) > greatest(s, ms)").select(key, "p", "side", "class").distinct()
+    end = lambda c: classes.select(key, F.col("id").alias(c), F.col("class").alias(f"{c}_class"))
+    g = gold.join(end("head"), [key, "head"], "left").join(end("tail"), [key, "tail"], "left").select(key, "relation", F.col("i").alias("g"), "head_class", "tail_class")
+    p = pred.select(key, "relation", F.col("i").alias("p"))
+    hit = lambda s: hits.filter(F.col("side") == s).select(key, "p", F.col("class").alias(f"hit_{s}"))
+    both = p.join(hit("head"), [key, "p"]).join(hit("tail"), [key, "p"])
+    meets = lambda h, t: both.join(g, [key, "relation"]).filter((F.col("hit_head") == F.col(h)) & (F.col("hit_tail") == F.col(t))).select(key, "relation", "p", "g").distinct()
+    pairs = meets("head_class", "tail_class").withColumn("turned", F.lit(0)).unionByName(meets("tail_class", "head_class").withColumn("turned", F.lit(1)))
+
+    def take(pdf: pd.DataFrame) -> pd.DataFrame:
+        used_p, used_g, out = set(), set(), []
+        for turned, a, b in sorted(zip(pdf["turned"], pdf["p"], pdf["g"], strict=True)):
+            if a not in used_p and b not in used_g:
+                used_p.add(a)
+                used_g.add(b)
+                out.append((pdf[key].iloc[0], pdf["relation"].iloc[0], "reversed" if turned else "match", b, a))
+        return pd.DataFrame(out, columns=[key, "relation", "status", "gold_i", "pred_i"])
+
+    kinds = dict(pred.dtypes)
+    taken = cut(pairs.groupBy(key, "relation").applyInPandas(take, f"{key} {kinds[key]}, relation string, status string, gold_i long, pred_i long"), "taken")
+    rest_g = gold.select(key, "relation", F.col("i").cast("long").alias("gold_i")).join(taken.select(key, "gold_i"), [key, "gold_i"], "left_anti")
+    rest_p = pred.select(key, "relation", F.col("i").cast("long").alias("pred_i")).join(taken.select(key, "pred_i"), [key, "pred_i"], "left_anti")
+    fn = rest_g.select(key, "relation", F.lit("fn").alias("status"), "gold_i", F.lit(None).cast("long").alias("pred_i"))
+    fp = rest_p.select(key, "relation", F.lit("fp").alias("status"), F.lit(None).cast("long").alias("gold_i"), "pred_i")
+    return taken.unionByName(fn).unionByName(fp)
+
+
+def status_report(items: DataFrame, group: str) -> DataFrame:
+    """(group, gold, pred, tp, fp, fn, precision, recall, f1) of ``items`` (group, status, has_gold, has_pred), and a row for all under a null group.
+
+    Only ``match`` is right; any other item is charged to the side or sides it has.
+    """
+    ok = F.col("status") == "match"
+    n = lambda c: F.count(F.when(c, 1))
+    counts = items.rollup(group).agg(n(F.col("has_gold")).alias("gold"), n(F.col("has_pred")).alias("pred"), n(ok).alias("tp"), n(~ok & F.col("has_pred")).alias("fp"), n(~ok & F.col("has_gold")).alias("fn"))
+    return prf(counts)
+
+
+def typed_ends_open(relations: DataFrame, labels: DataFrame, allowed: DataFrame, key: str, asked: list[str]) -> DataFrame:
+    """``relations`` (key, relation, head, tail: surfaces) with ``valid``, where doubt passes.
+
+    A side is invalid only if all labels that ``allowed`` (relation, side, label) names for it were asked for, and the surface has
+    none of them in ``labels`` (key, surface, label). Relations without an entry are valid.
+    """
+    asked_ = F.array(*(F.lit(x) for x in asked))
+    rules = allowed.groupBy("relation", "side").agg(F.collect_set("label").alias("may")).withColumn("sure", F.size(F.array_except("may", asked_)) == 0)
+    out = relations.withColumn("valid", F.lit(True))
+    known = labels.groupBy(key, "surface").agg(F.collect_set("label").alias("has"))
+    for side in ("head", "tail"):
+        rule = rules.filter(F.col("side") == side).select("relation", "may", "sure")
+        out = out.join(rule, "relation", "left").join(known.withColumnRenamed("surface", side), [key, side], "left")
+        bad = F.col("sure") & ~F.coalesce(F.arrays_overlap("may", "has"), F.lit(False))
+        out = out.withColumn("valid", F.col("valid") & ~F.coalesce(bad, F.lit(False))).drop("may", "sure", "has")
+    return out

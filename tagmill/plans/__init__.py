@@ -18,9 +18,9 @@ class Item:
 
 def registry() -> dict[str, Item]:
     """All queries of the package outside ``llm``."""
-    from tagmill.plans import building, corpus, edges, labels, recognition, records, targets, text
+    from tagmill.plans import assembly, building, corpus, edges, labels, recognition, records, strings, targets, text
 
     found: dict[str, Item] = {}
-    for module in (recognition, text, corpus, labels, records, building, edges, targets):
+    for module in (recognition, text, corpus, labels, records, building, edges, targets, strings, assembly):
         found |= module.ITEMS
     return found
