@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tagmill.functions.hashing import hash_order, hash_uniform
 from tagmill.operators.ranking import ranked
+from tagmill.written import cut
 
 
 def keep_first(rows: DataFrame, by: list[Column], order: list) -> DataFrame:
@@ -131,3 +132,62 @@ def length_batches(rows: DataFrame, length: str, key: str, batch: int, pool: int
     pooled = rows.withColumn("pool", F.floor(hash_uniform(seed, F.col(key)) * pools).cast("int"))
     nth = F.row_number().over(Window.partitionBy("pool").orderBy(length, key)) - 1
     return pooled.withColumn("batch", F.floor(nth / batch).cast("int"))
+
+
+def seeded_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """``n`` rows in hash order, given back in the order of ``key``; all if ``n`` is 0 or less."""
+    picked = rows if n <= 0 else rows.orderBy(hash_order(seed, F.col(key)), key).limit(n)
+    return picked.orderBy(key)
+
+
+def capped_remainder(groups: DataFrame, size: str, total: Column, key: str) -> DataFrame:
+    """As ``largest_remainder``, and no quota over its group's ``size``: what a full group can't take is left out."""
+    return largest_remainder(groups, size, total, key).withColumn("quota", F.least("quota", F.col(size)))
+
+
+def quota_sample(rows: DataFrame, group: str, key: str, quotas: DataFrame, seed: int = 42) -> DataFrame:
+    """The first rows of each ``group`` in hash order, as many as its ``quota`` in ``quotas`` (group, quota) says; groups without one give none."""
+    return beside(ranked(rows, [group], [hash_order(seed, F.col(key)), key], "_r"), quotas.select(group, "quota"), [group]).filter("_r <= quota").select(*rows.columns)
+
+
+def precedence_quotas(rows: DataFrame, tests: dict[str, tuple[Column, int]], key: str, total: int, seed: int = 42) -> DataFrame:
+    """Up to ``total`` rows with ``picked_for``: each test's quota in hash order among the rows no test before it has taken, then any others.
+
+    A row belongs to its first test only, unless that one's quota is full: then to the next that holds. Tests are few,
+    so the loop is over plans; each step joins what is taken, which ``total`` bounds.
+    """
+    order = [hash_order(seed, F.col(key)), F.col(key)]
+    taken = None
+    for name, (holds, quota) in {**tests, "fill": (F.lit(True), total)}.items():
+        left = rows.filter(holds) if taken is None else rows.filter(holds).join(taken.select(key), key, "left_anti")
+        room = quota if name != "fill" else total - (taken.count() if taken is not None else 0)
+        step = left.orderBy(*order).limit(max(0, min(quota, room))).withColumn("picked_for", F.lit(name)).select(*rows.columns, "picked_for")
+        taken = cut(step if taken is None else taken.unionByName(step), "taken")
+    return taken
+
+
+def rename_keys(values: Column, names: Column, seed: int, key: Column, keep: float) -> Column:
+    """Map ``values`` with each key kept with probability ``keep``, else renamed to one of its aliases in the map ``names`` (name to array), by hash."""
+
+    def renamed(k: Column, v: Column) -> Column:
+        u, choices = hash_uniform(seed, key, k), F.coalesce(F.try_element_at(names, k), F.array(k))
+        return F.when(u < keep, k).otherwise(F.element_at(choices, (F.floor(u * 1_000_003) % F.size(choices) + 1).cast("int")))
+
+    return F.transform_keys(values, renamed)
+
+
+def rank_shards(rows: DataFrame, order: list, world: int) -> DataFrame:
+    """``rows`` with ``shard``: places in ``order`` dealt in turn to ``world`` disjoint shards."""
+    placed = ranked(rows.withColumn("_all", F.lit(0)), ["_all"], order, "_r")
+    return placed.withColumn("shard", F.pmod(F.col("_r") - 1, F.lit(world)).cast("int")).drop("_r", "_all")
+
+
+def spread_choice(rows: DataFrame, options: str, key: str, seed: int = 42) -> DataFrame:
+    """``rows`` with ``chosen``, one of the array ``options``, so that all options are used about equally often.
+
+    Two passes instead of a counter for each row: rows with the same options are dealt over these in turn, starting at
+    a hash of the options; the more rows, the nearer the uses of options that stand together.
+    """
+    placed = ranked(rows.withColumn("_o", F.array_join(options, "\x1f")), ["_o"], [hash_order(seed, F.col(key)), key], "_r")
+    at = F.pmod(F.xxhash64("_o") + F.col("_r"), F.size(options)) + 1
+    return placed.withColumn("chosen", F.when(F.size(options) > 0, F.element_at(options, at.cast("int")))).drop("_o", "_r")
