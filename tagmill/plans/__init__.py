@@ -18,9 +18,9 @@ class Item:
 
 def registry() -> dict[str, Item]:
     """All queries of the package outside ``llm``."""
-    from tagmill.plans import assembly, building, corpus, edges, labels, recognition, records, reports, sampling, strings, targets, text
+    from tagmill.plans import assembly, building, corpus, decoding, edges, files, labels, recognition, records, reports, sampling, strings, targets, text
 
     found: dict[str, Item] = {}
-    for module in (recognition, text, corpus, labels, records, building, edges, targets, strings, assembly, sampling, reports):
+    for module in (recognition, text, corpus, labels, records, building, edges, targets, strings, assembly, sampling, reports, files, decoding):
         found |= module.ITEMS
     return found

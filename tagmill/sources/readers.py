@@ -49,3 +49,53 @@ def surfaces_to_spans(docs: DataFrame) -> DataFrame:
     placed = sized.withColumn("start", start).withColumn("end", (start + F.length("surface")).cast("int"))
     touches = F.coalesce(F.substring("text", F.col("start"), F.lit(1)).rlike(r"[\p{L}\p{N}_]") & (F.col("start") > 0), F.lit(False)) | F.coalesce(F.substring("text", F.col("end") + 1, F.lit(1)).rlike(r"[\p{L}\p{N}_]"), F.lit(False))
     return placed.filter(~touches).select("doc_id", "start", "end", "label")
+
+
+def read_any(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A file or folder by its ending: .parquet, .jsonl or .ndjson, .json (whole documents), .csv or .tsv with a header; others are refused."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    ending = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if ending == "parquet":
+        return reader.parquet(path)
+    if ending in ("jsonl", "ndjson"):
+        return reader.json(path)
+    if ending == "json":
+        return reader.option("multiLine", True).json(path)
+    if ending in ("csv", "tsv"):
+        return reader.option("header", True).option("sep", "\t" if ending == "tsv" else ",").csv(path)
+    raise ValueError(f"no reader for {path!r}")
+
+
+def read_dump(spark: SparkSession, paths: str | list[str], columns: list[str]) -> DataFrame:
+    """Text columns of the tuples in the VALUES lists of an SQL dump; tuples of another width are left out, NULL is null.
+
+    A line may hold many tuples; a tuple stands on one line. Strings are in single quotes, with a quote doubled or after a backslash.
+    """
+    item = r"'(?:[^'\\]|\\.|'')*'|[^,()'\s][^,()']*"
+    row = rf"\((?:\s*(?:{item})\s*,)*\s*(?:{item})\s*\)"
+    tuples = spark.read.text(paths).select(F.explode(F.regexp_extract_all("value", F.lit(row), F.lit(0))).alias("row"))
+    parts = tuples.select(F.regexp_extract_all("row", F.lit(item), F.lit(0)).alias("p")).filter(F.size("p") == len(columns))
+
+    def value(c: Column) -> Column:
+        bare = F.substring(c, F.lit(2), F.length(c) - 2)
+        text = F.regexp_replace(F.regexp_replace(bare, r"\\(.)", "$1"), "''", "'")
+        return F.when(c.startswith("'"), text).when(F.upper(F.trim(c)) != "NULL", F.trim(c))
+
+    return parts.select(*(value(F.col("p")[i]).alias(n) for i, n in enumerate(columns)))
+
+
+def read_dimensions(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of all JSON files of a folder, each an array of records, with ``_file``: the file's name without ending."""
+    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    return rows.withColumn("_file", F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.json$", ""))
+
+
+def read_gold(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(docname, start, end, label) of gold JSON lines that hold a list ``spans`` of offsets; spans without a label are left out."""
+    rows = read_jsonl(spark, paths, "docname string, spans array<struct<start:int,end:int,label:string>>")
+    return rows.select("docname", F.inline("spans")).filter("label is not null")
+
+
+def last_predictions(rows: DataFrame) -> DataFrame:
+    """(docname, spans) with one row for each document of ``rows`` (docname, line, spans): the one of the last line."""
+    return rows.groupBy("docname").agg(F.max_by("spans", "line").alias("spans"))

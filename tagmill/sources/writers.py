@@ -35,3 +35,15 @@ def markdown(rows: DataFrame, columns: list[str]) -> str:
     found = json.loads(report(rows.select(*columns)))
     cell = lambda v: f"{v:.1f}" if isinstance(v, float) else "" if v is None else str(v).replace("|", "\\|")
     return "\n".join(["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns), *("| " + " | ".join(cell(r[c]) for c in columns) + " |" for r in found)])
+
+
+def append_flags(rows: DataFrame, path: str) -> None:
+    """Add ``rows`` as JSON lines to the files that are there."""
+    rows.write.mode("append").json(path)
+
+
+def graph_tables(edges: DataFrame, path: str) -> None:
+    """Vertices (id, degree) and edges (a, b, …) of a graph as two Parquet tables under ``path``."""
+    edges.write.mode("overwrite").parquet(f"{path}/edges")
+    ends = edges.select(F.explode(F.array("a", "b")).alias("id"))
+    ends.groupBy("id").agg(F.count("*").alias("degree")).write.mode("overwrite").parquet(f"{path}/vertices")
