@@ -9,14 +9,14 @@ a pivot (a star, not all pairs), the verified links are united, and only members
 go on: each meets the whole bucket, in blocks, whatever the bucket's size.
 
 Links are verified on full sets of 64-bit shingle hashes by Spark's own array functions. With 42 bands of 6 slots a pair
-at similarity 0.8 misses every bucket with probability 3e-6. In a block, pairs whose one-byte sketches agree too little
-are not verified; at 5.5 standard errors that loses about 1e-7 of the pairs at 0.8, far less than the banding.
+at similarity 0.8 misses every bucket with probability 3e-6. In a block, pairs whose sketches, least elements of bins that
+sample the union without replacement, share too little are not verified: at 5.5 standard errors that loses about
+1e-7 of the pairs at exactly 0.8, far less than the banding.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,8 @@ from tagmill.written import cut, forget
 SLOTS, ROWS = 252, 6
 #: Rows of a block on either side when such members meet their bucket, and the standard errors a sketch may fall short by.
 BLOCK, ERRORS = (256, 1024), 5.5
+#: Bins of a sketch.
+BINS = 512
 #: Elements whose steps are taken together.
 _CHUNK = 1 << 15
 _U = np.uint64
@@ -95,9 +97,29 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key
 
 
-def sketch(sig: np.ndarray) -> np.ndarray:
-    """One byte of each slot; equal slots have equal bytes, others so with probability 1/256."""
-    return (mix64(sig) >> _U(56)).astype(np.uint8)
+def sketch(hashes: np.ndarray) -> bytes:
+    """A byte for each of BINS bins that the elements fall into: 0 for an empty bin, else of the bin's least element.
+
+    The least elements of the bins of a union are a random subset of it, of known size; two sets share the byte where
+    theirs is in both, and by chance with probability 1/255.
+    """
+    drawn = mix64(hashes ^ _U(0xA0761D6478BD642F))
+    least = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(least, (drawn % _U(BINS)).astype(np.int64), drawn)
+    return np.where(least == np.iinfo(np.uint64).max, 0, 1 + (least >> _U(32)) % _U(255)).astype(np.uint8).tobytes()
+
+
+def _alike(mark: np.ndarray, marks: np.ndarray, n: int, ns: np.ndarray, percent: int) -> np.ndarray:
+    """Which of ``marks`` share as many bins with ``mark`` as a pair at ``percent`` does, but for ERRORS standard errors and one.
+
+    Shared bins are drawn without replacement from the union, whose size the sets' sizes ``n`` and ``ns`` give at ``percent``;
+    a union that fills more bins than it could have elements is no link.
+    """
+    share = percent / 100
+    filled = ((marks != 0) | (mark != 0)).sum(axis=1)
+    union = np.maximum((n + ns) / (1 + share), 2.0)
+    spread = filled * share * (1 - share) * np.maximum(union - filled, 0.0) / (union - 1)
+    return ((marks == mark) & (mark != 0)).sum(axis=1) >= share * filled - ERRORS * np.sqrt(spread) - 1
 
 
 def _lists(matrix: np.ndarray) -> pa.Array:
@@ -114,7 +136,7 @@ def _features(words: int):
             k1 = np.array([int(mix64(s).sum(dtype=np.uint64)) if len(s) else 0 for s in sets], np.uint64)
             k2 = np.array([int(mix64(~s).sum(dtype=np.uint64)) if len(s) else 0 for s in sets], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), _lists(band_keys(sig)), pa.array([row.tobytes() for row in sketch(sig)], pa.binary())],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), _lists(band_keys(sig)), pa.array(map(sketch, sets), pa.binary())],
                 ["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"],
             )
 
@@ -233,25 +255,8 @@ def _meetings(placed: DataFrame, apart: DataFrame, sketches: DataFrame, percent:
     return blocks.mapInArrow(run, "a long, b long").distinct()
 
 
-@lru_cache(maxsize=4096)
-def least_share(percent: int, n: int) -> float:
-    """Share of equal slots that a pair at ``percent`` falls below with ERRORS standard errors, for a set of ``n`` and its likes.
-
-    The variance is minhash's times Ertl's factor for the size of the union, which is 1.25 n at most for a link.
-    """
-    u, m = max(2.0, 1.25 * n), SLOTS
-    power = lambda v: (v / m) ** u
-    step = np.arange(1, m, dtype=np.float64)
-    if u > 64 * m:
-        return percent / 100 - ERRORS * (percent / 100 * (1 - percent / 100) / m) ** 0.5
-    bend = (power(step) * (power(step + 1) + power(step - 1) - 2 * power(step))).sum()
-    factor = min(1.0, max(0.3, 1 - bend * m * np.exp((u - 1) * np.log(m / (m - 1))) / (u - 1)))
-    share = percent / 100
-    return share - ERRORS * (share * (1 - share) / m * factor) ** 0.5
-
-
 def _likely(parts: list[pa.RecordBatch], percent: int) -> pa.RecordBatch:
-    """Pairs of one block whose sketches agree in almost ``percent`` of their slots, and whose sizes and components allow a link."""
+    """Pairs of one block whose sketches, sizes and components allow a link."""
     t = pa.Table.from_batches(parts).combine_chunks()
     side, ids, n, comp = (t.column(c).to_numpy() for c in ("side", "id", "n", "comp"))
     mark = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
@@ -261,7 +266,7 @@ def _likely(parts: list[pa.RecordBatch], percent: int) -> pa.RecordBatch:
     for i in np.flatnonzero(side == 0):
         fits = b[(comp[b] != comp[i]) & (100 * np.minimum(n[b], n[i]) >= percent * np.maximum(n[b], n[i]))]
         if len(fits):
-            near = (mark[fits] == mark[i]).sum(axis=1) >= least_share(percent, int(n[i])) * mark.shape[1]
+            near = _alike(mark[i], mark[fits], int(n[i]), n[fits], percent)
             if near.any():  # a first shared band is a bucket in which both stand, so no pair is lost
                 near[near] = bands[i, (bands[fits[near]] == bands[i]).argmax(axis=1)] == key
             found += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in fits[near]]
