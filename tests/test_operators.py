@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagmill.functions import text as t
+from tagmill.functions import turkish as tr
 from tagmill.functions import validators as v
 from tagmill.operators import graph, matching, spans
 from tagmill.operators.constraints import cardinality, violations
@@ -156,3 +157,22 @@ def test_graph(spark):
     pairs = spark.createDataFrame([(1, 2, "child"), (2, 1, "parent"), (3, 4, "child"), (5, 6, "parent"), (1, 9, "other")], "a long, b long, relation string")
     assert sorted(tuple(r) for r in graph.broken_inverse(pairs, "child", "parent").collect()) == [(3, 4, "child"), (5, 6, "parent")]
     assert sorted((r.a, r.b) for r in graph.broken_symmetry(spark.createDataFrame([(1, 2), (2, 1), (1, 3)], "a long, b long")).collect()) == [(1, 3)]
+
+
+@pytest.mark.parametrize(
+    ("word", "suffix", "right"),
+    [
+        ("Yılmaz", "in", "ın"), ("Zeynep", "de", "te"), ("Ali", "nin", "nin"), ("Ankara", "dan", "dan"), ("İzmir", "dan", "den"), ("2005", "de", "te"), ("1990", "dan", "dan"), ("40", "de", "ta"), ("100", "de", "de"), ("3000", "da", "de"),
+        ("TL", "dır", "dir"), ("TCKN", "ya", "ye"), ("Boğaz", "daki", "daki"), ("Köy", "daki", "deki"), ("Gül", "in", "ün"), ("Burak", "dir", "tır"), ("Ali", "xyz", "xyz"), ("..", "de", "de"), ("Onur", "ndan", "ndan"), ("Ayşe", "yla", "yle"), ("Ufuk", "lar", "lar"), ("Gül Hanım.", "in", "ın"),
+    ],
+)
+def test_suffix_harmony(spark, word, suffix, right):
+    assert one(spark, tr.harmonious(F.lit(suffix), tr.spoken_end(F.lit(word)))) == right
+
+
+def test_suffixes_are_fixed_in_place(spark):
+    text = "é Yılmaz'in ve Zeynep’de, Ali'xyz 2005'de."
+    spans_ = [(1, m.start(), m.end()) for m in re.finditer("Yılmaz|Zeynep|Ali|2005", text)]
+    docs = spark.createDataFrame([(1, text), (2, "nothing"), (3, None)], "doc int, text string")
+    out = {r.doc: (r.text, r.fixes) for r in tr.fix_suffixes(docs, spark.createDataFrame(spans_, "doc int, start int, end int"), "doc").collect()}
+    assert out == {1: ("é Yılmaz'ın ve Zeynep’te, Ali'xyz 2005'te.", 3), 2: ("nothing", 0), 3: (None, 0)}
