@@ -111,7 +111,13 @@ def match_coreferent(entities: DataFrame, mentions: DataFrame, gold: DataFrame,
         return pd.DataFrame(out, columns=[key, "relation", "status", "gold_i", "pred_i"])
 
     kinds = dict(pred.dtypes)
-    taken = cut(pairs.groupBy(key, "relation").applyInPandas(take, f"{key} {kinds[key]}, relation string, status string, gold_i long, pred_i long"), "taken")
+    pairs = cut(pairs, "pairs")
+    shape = pairs.groupBy(key, "relation").agg(((F.count("*") == F.count_distinct("p")) & (F.count("*") == F.count_distinct("g"))).alias("plain"))
+    marked = pairs.join(shape, [key, "relation"])
+    # where every end has one partner, all pairs count; only the other groups need turns
+    plain = marked.filter("plain").select(key, "relation", F.when(F.col("turned") == 1, "reversed").otherwise("match").alias("status"), F.col("g").cast("long").alias("gold_i"), F.col("p").cast("long").alias("pred_i"))
+    turns = marked.filter("not plain").drop("plain").groupBy(key, "relation").applyInPandas(take, f"{key} {kinds[key]}, relation string, status string, gold_i long, pred_i long")
+    taken = cut(plain.unionByName(turns), "taken")
     rest_g = gold.select(key, "relation", F.col("i").cast("long").alias("gold_i")).join(taken.select(key, "gold_i"), [key, "gold_i"], "left_anti")
     rest_p = pred.select(key, "relation", F.col("i").cast("long").alias("pred_i")).join(taken.select(key, "pred_i"), [key, "pred_i"], "left_anti")
     fn = rest_g.select(key, "relation", F.lit("fn").alias("status"), "gold_i", F.lit(None).cast("long").alias("pred_i"))

@@ -57,11 +57,11 @@ def _context(spark, d):
     docs = documents(spark, d, "doc_id", "text").withColumn("hit", F.regexp_extract("text", "[0-9]+", 0)).filter("hit <> ''")
     at = docs.withColumn("start", F.expr("locate(hit, text) - 1"))
     around = t.near(F.col("text"), F.col("start"), F.col("start") + F.length("hit"))
-    return at.select("doc_id", F.md5(around).alias("around"), t.repeated_before(F.concat(F.substring("text", F.lit(1), F.col("start")), F.col("hit"), F.lit(" "), F.col("hit")), F.col("start") + F.length("hit") + 1, F.col("hit")).alias("repeated"), t.votes(around, {"the": r"\bthe\b", "a": r"\ba\b"}).alias("vote"))
+    return at.select("doc_id", F.md5(around).alias("around"), t.repeated_before(F.concat(F.substring("text", F.lit(1), F.col("start")), F.col("hit"), F.lit(" "), F.col("hit")), F.col("start") + F.length("hit") + 1, F.col("hit")).alias("repeated"), t.votes(around, {"the": "the ", "a": " a "}).alias("vote"))
 
 
 _CONTEXT = r"""with h as (select doc_id, text, regexp_extract(text, '[0-9]+') as hit from documents), s as (select *, instr(text, hit) - 1 as s from h where hit <> ''),
-n as (select *, substr(text, greatest(s - 60, 0) + 1, s + length(hit) + 60 - greatest(s - 60, 0)) as a from s), v as (select *, len(regexp_extract_all(a, '\bthe\b')) as the, len(regexp_extract_all(a, '\ba\b')) as an from n)
+n as (select *, substr(text, greatest(s - 60, 0) + 1, s + length(hit) + 60 - greatest(s - 60, 0)) as a from s), v as (select *, len(regexp_extract_all(a, 'the ')) as the, len(regexp_extract_all(a, ' a ')) as an from n)
 select doc_id, md5(a) as around, length(hit) between 3 and 39 and not regexp_matches(rtrim(substr(text, greatest(s + length(hit) + 1 - 40, 0) + 1, s - greatest(s + length(hit) + 1 - 40, 0))), '[:\-]$') as repeated, case when the > an then 'the' when an > the then 'a' end as vote from v"""
 
 
