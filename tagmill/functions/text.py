@@ -164,3 +164,27 @@ def votes(text: Column, patterns: dict[str, str]) -> Column:
     best = F.array_max(F.transform(counts, lambda c: c["n"]))
     first = F.filter(counts, lambda c: c["n"] == best)
     return F.when((best > 0) & (F.size(first) == 1), first[0]["name"])
+
+
+def align_sentences(text: Column, sentences_: Column) -> Column:
+    """array<struct<start,end>> of the places of ``sentences_`` in ``text``, each sought after the one before.
+
+    A sentence is sought as it is, then with its words apart by any white space; blank ones are left out, and one that is
+    not there fails the job.
+    """
+    wanted = F.filter(F.transform(F.coalesce(sentences_, F.array().cast("array<string>")), lambda s: F.trim(s)), lambda s: s != "")
+    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    held = F.array(F.coalesce(text, F.lit("")))
+    find = lambda what, whole, at: F.call_function("locate", what, whole, at + 1) - 1
+
+    def step(whole: Column):
+        def run(acc: Column, s: Column) -> Column:
+            loose = F.array_join(F.transform(F.split(s, r"\s+"), lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E"))), r"\s*")
+            seen = F.when(find(s, whole, acc["cursor"]) >= 0, s).otherwise(F.call_function("regexp_extract", F.substring(whole, acc["cursor"] + 1, F.length(whole)), loose, F.lit(0)))
+            start = F.when(seen == "", F.raise_error(F.lit("sentence not found")).cast("int")).otherwise(find(seen, whole, acc["cursor"]))
+            return F.struct((start + F.length(seen)).cast("int").alias("cursor"), F.concat(acc["out"], F.array(F.struct(start.cast("int").alias("start"), (start + F.length(seen)).cast("int").alias("end")))).alias("out"))
+
+        return run
+
+    start = F.struct(F.lit(0).alias("cursor"), none.alias("out"))
+    return F.element_at(F.transform(held, lambda whole: F.aggregate(wanted, start, step(whole))["out"]), 1)

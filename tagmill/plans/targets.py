@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tagmill.functions import text as t
+from tagmill.functions.hashing import hash_uniform
 from tagmill.operators import chunks as ch
 from tagmill.operators import targets as tg
+from tagmill.operators.structures import cells_to_spans
 from tagmill.plans import Item
-from tagmill.plans.derived import MENTIONS_SQL, documents, gold
+from tagmill.plans.derived import MENTIONS_SQL, documents, gold, u_sql
 from tagmill.sources import table
 from tagmill.written import cut
 
@@ -27,9 +30,9 @@ _TURNS = f"t as (select conv_id, turn, regexp_extract_all(lower(text), '{_WS_SQL
 
 def _runs(spark, d):
     """How often a turn's first two words, and its third, stand in it."""
-    t = _turns(spark, d)
+    turns = _turns(spark, d)
     two, one = F.slice("w", 1, 2), F.slice("w", 3, 1)
-    return t.select("conv_id", "turn", tg.run_count(F.col("w"), two).alias("pairs"), tg.run_count(F.col("w"), one).alias("singles"), tg.has_run(F.col("w"), F.reverse(two)).alias("reversed"))
+    return turns.select("conv_id", "turn", tg.run_count(F.col("w"), two).alias("pairs"), tg.run_count(F.col("w"), one).alias("singles"), tg.has_run(F.col("w"), F.reverse(two)).alias("reversed"))
 
 
 _RUNS = f"""with {_TURNS}
@@ -153,11 +156,41 @@ def _graph_edges(spark, d):
     return _graph(spark, d)[1].select("conv_id", "type", "head", "tail", F.round("confidence", 6).alias("confidence"))
 
 
+def _cells(spark, d):
+    """One- and two-word spans of turns whose score by hash is high enough, stripped of the full stop's neighbour."""
+    c = table(spark, d, "conversations", "conv_id", "turn", "text").select(F.concat_ws(":", "conv_id", "turn").alias("doc"), "text")
+    pieces = c.select("doc", F.posexplode(F.split("text", " ", -1)).alias("pos", "w"))
+    end = F.sum(F.length("w") + 1).over(Window.partitionBy("doc").orderBy("pos")) - 1
+    tokens = pieces.withColumn("end", end.cast("int")).withColumn("start", F.col("end") - F.length("w"))
+    width = F.explode(F.array(F.lit(1), F.lit(2))).alias("width")
+    cells = tokens.select("doc", F.col("pos").alias("first"), width).withColumn("label", F.when(F.col("width") == 1, "one").otherwise("two")).withColumn("p", F.round(hash_uniform(131, F.col("doc"), F.col("first"), F.col("width")), 6))
+    return cells_to_spans(cells, tokens, c, "doc", 0.9)
+
+
+_CELLS = f"""with t as (select conv_id || ':' || turn as doc, text, unnest(string_split(text, ' ')) as w, generate_subscripts(string_split(text, ' '), 1) - 1 as pos from conversations),
+o as (select *, cast(sum(length(w) + 1) over (partition by doc order by pos) - 1 as int) as e from t),
+c as (select a.doc, a.text, a.pos, 1 as k, a.e - length(a.w) as s, a.e from o a union all select a.doc, a.text, a.pos, 2, a.e - length(a.w), b.e from o a join o b on b.doc = a.doc and b.pos = a.pos + 1),
+p as (select *, round({u_sql(131, "doc || '|' || pos || '|' || k")}, 6) as p from c)
+select doc, case k when 1 then 'one' else 'two' end as label, cast(s as int) as "start", e as "end", trim(substr(text, cast(s as int) + 1, cast(e - s as int))) as surface, p from p where p >= 0.9 and trim(substr(text, cast(s as int) + 1, cast(e - s as int))) <> ''"""
+
+
+def _aligned(spark, d):
+    """Sentences with their white space squeezed, sought in the text again: how many, where they start, and whether each says the same."""
+    docs = documents(spark, d, "doc_id", "text")
+    said = F.transform(t.sentences(F.col("text")), lambda s: t.squeeze(s))
+    places = t.align_sentences(F.col("text"), said)
+    rows = docs.select("doc_id", said.alias("said"), places.alias("at"), "text")
+    same = F.forall(F.arrays_zip("said", "at"), lambda x: F.length(F.regexp_replace(x["said"], r"\s", "")) <= x["at"]["end"] - x["at"]["start"])
+    return rows.select("doc_id", F.size("at").alias("sentences"), F.aggregate("at", F.lit(0).cast("long"), lambda a, x: a + x["start"]).alias("starts"), same.alias("fits"))
+
+
 ITEMS = {
     "token_run_counts": Item(_runs, _RUNS),
     "whole_word_places": Item(_find, _FIND),
     "token_boundaries": Item(_boundaries, _BOUNDARIES),
     "untagged_repair": Item(_repair, _REPAIR),
+    "span_cells": Item(_cells, _CELLS),
+    "sentence_alignment": Item(_aligned),
     "chunk_remap": Item(_remap, _REMAP),
     "chunk_votes": Item(_votes, _VOTES),
     "chunk_graph_entities": Item(lambda s, d: _graph(s, d)[0].withColumn("confidence", F.round("confidence", 6)), _GRAPH.rstrip(",") + ' select conv_id, id, type, cast(s as int) as "start", cast(s + 2 as int) as "end", round(c, 6) as confidence from one'),

@@ -176,3 +176,12 @@ def test_suffixes_are_fixed_in_place(spark):
     docs = spark.createDataFrame([(1, text), (2, "nothing"), (3, None)], "doc int, text string")
     out = {r.doc: (r.text, r.fixes) for r in tr.fix_suffixes(docs, spark.createDataFrame(spans_, "doc int, start int, end int"), "doc").collect()}
     assert out == {1: ("é Yılmaz'ın ve Zeynep’te, Ali'xyz 2005'te.", 3), 2: ("nothing", 0), 3: (None, 0)}
+
+
+def test_sentences_are_found_again(spark):
+    text = "Ab  c. De\n f? Xy c. (x) Gh"
+    got = one(spark, t.align_sentences(F.lit(text), F.array(F.lit("Ab c."), F.lit(" "), F.lit("De f?"), F.lit("Xy c."), F.lit("(x) Gh"))))
+    assert [text[x.start : x.end] for x in got] == ["Ab  c.", "De\n f?", "Xy c.", "(x) Gh"]
+    assert one(spark, t.align_sentences(F.lit(None).cast("string"), F.array().cast("array<string>"))) == []
+    with pytest.raises(Exception, match="not found"):
+        one(spark, t.align_sentences(F.lit(text), F.array(F.lit("absent"))))
