@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers.models import BPE
 
-from tagmill.llm.common import slices
+from tagmill.llm.common import bounded_batches, slices
 from tagmill.llm.packing import byte_alphabet
 
 SCHEMA = "doc_id long, ids binary, decoded string"
@@ -129,6 +129,8 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     to the empty text; long texts are encoded whole; equal and repeated rows each get their row; a null doc_id stays null;
     extra columns are ignored; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = bpe_of(tokenizer)
         for batch in slices(batches):

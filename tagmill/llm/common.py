@@ -7,18 +7,30 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """``batches`` in pieces of few rows, so that what a task makes of them stays small.
+#: Bytes of an Arrow batch: Spark's own default, and what the operators ask for where that is untouched.
+DEFAULT_BYTES, BATCH_BYTES = 64 << 20, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's bytes of an Arrow batch, unless its user has chosen a number; rows are left to the user.
 
-    Spark bounds the bytes of a batch (64 MB, or one row) and the user's session bounds its rows; neither setting is touched.
+    A frame is planned when its result is asked for, so the setting can't be put back before. It changes no result.
     """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).rstrip("b") == str(DEFAULT_BYTES):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """``batches`` in pieces of few rows, so that what a task makes of them stays small; a batch goes before the next one comes."""
     for batch in batches:
         for at in range(0, len(batch), rows):
             yield batch.slice(at, rows)
+        del batch
 
 
 def ascii_lower(col: Column) -> Column:

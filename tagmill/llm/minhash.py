@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import HashCache, byte_words, mix64, slices
+from tagmill.llm.common import HashCache, bounded_batches, byte_words, mix64, slices
 from tagmill.operators.graph import components
 from tagmill.written import cut, forget
 
@@ -301,6 +301,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     null doc_id can't be named in a link: its row is alone, with a null component, and kept. Ties need no rule, as the
     smallest id names a group. Extra columns are ignored; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     feats = cut(docs.mapInArrow(_features(words), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary"), "features")
     named = feats.filter("n_shingles > 0 and doc_id is not null")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tagmill.llm.common import slices
+from tagmill.llm.common import bounded_batches, slices
 
 #: Tokens of a sequence; tokens of a block; penalties in tokens; least distance of sentence cuts; distance of inner cuts.
 LENGTH, BLOCK, SENTENCE, INNER, APART, STEP = 2048, 1 << 18, 4.0, 24.0, 12, 64
@@ -216,6 +216,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = 1,
     a task; equal and repeated rows are packed each. A null doc_id is packed under null. Extra columns are ignored;
     an empty table gives an empty result. A sequence's id is its task's number times 2**36 plus its place there.
     """
+    bounded_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
         packer, held = _Packer(encoder, length, TaskContext.get().partitionId() << 36), 0

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import fold, mix64, slices
+from tagmill.llm.common import bounded_batches, fold, mix64, slices
 from tagmill.llm.learning import labelled_sample, log_loss, one_a_document, sigmoid, temperature
 from tagmill.written import cut
 
@@ -229,6 +229,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED,
     doc_id are scored each, and one of them is learned from. Rows with a null doc_id are scored and not held out; equal
     rows get equal scores; extra columns are ignored; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     table = term_table(docs)
     model = docs.sparkSession.sparkContext.broadcast(train(table, labels, most))
 

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import byte_words, slices
+from tagmill.llm.common import bounded_batches, byte_words, slices
 
 #: (UTF-8 bytes from, lowest ratio, highest ratio); short texts carry the frame's bytes besides.
 BANDS = ((0, 0.42, 1.4), (128, 0.42, 1.05), (256, 0.42, 0.86), (512, 0.42, 0.78), (1024, 0.42, 0.72), (2048, 0.42, 0.68), (4096, 0.405, 0.66), (8192, 0.395, 0.66), (16384, 0.38, 0.66), (32768, 0.36, 0.66))
@@ -94,6 +94,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null and empty texts have no words and fail the base rule. Ties and repeated rows are judged each for itself; extra
     columns are ignored; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_rows, f"doc_id long, {METRICS}")
 
@@ -104,6 +105,7 @@ def keep_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Null and empty texts fail; texts are judged whole; equal and repeated rows stay or go together; rows without an id are
     judged; columns of any name are kept; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

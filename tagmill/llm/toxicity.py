@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import fold, slices
+from tagmill.llm.common import bounded_batches, fold, slices
 from tagmill.llm.learning import MOST_LABELLED, labelled_sample, one_a_document, sigmoid, temperature
 from tagmill.written import cut
 
@@ -153,6 +153,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED
     kinds every score is the prior. Rows with a null doc_id are scored and not held out; equal and repeated rows get
     equal scores; extra columns are ignored; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,6 +171,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, th
     Null and empty texts get the bias's score; texts are scored whole; equal and repeated rows stay or go together; rows
     without an id are scored; columns of any name are kept; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most))
     at = docs.columns.index("text")
 
