@@ -11,7 +11,10 @@ from tagmill.written import cut
 
 
 def keep_first(rows: DataFrame, by: list[Column], order: list) -> DataFrame:
-    """The first row of each group by ``order``; ranked before and after the shuffle, so a hot group sends few rows."""
+    """The first row of each group by ``order``; ranked before and after the shuffle, so a hot group sends few rows.
+
+    Null keys are a group; of rows equal in ``order`` any stays; no row gives no row.
+    """
     nth = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return rows.withColumn("_n", nth).filter("_n = 1").drop("_n")
 
@@ -44,7 +47,10 @@ def conflict_drop(rows: DataFrame, key: Column, tag: Column, order: str) -> Data
 
 
 def catalogue_collapse(rows: DataFrame, by: list[str], first: list[str], modal: list[str], order: str) -> DataFrame:
-    """One row for each group: the first row's ``first`` columns, the most frequent ``modal`` values (ties: seen first), and n."""
+    """One row for each group: the first row's ``first`` columns, the most frequent ``modal`` values (ties: seen first), and n.
+
+    Null keys are a group and null values count as a value; rows without an order don't come first.
+    """
     out = rows.groupBy(*by).agg(*(F.min_by(c, order).alias(c) for c in first), F.count("*").alias("n"))
     for c in modal:
         counted = rows.groupBy(*by, c).agg(F.count("*").alias("_n"), (-F.min(order)).alias("_o"))
@@ -88,7 +94,10 @@ def stratified_split(rows: DataFrame, stratum: str, key: str, shares: dict[str,
 
 
 def group_split(rows: DataFrame, group: str, cell: str, quota_share: float, seed: int = 42) -> DataFrame:
-    """``rows`` with ``split``: whole groups go to test in hash order inside their cell while the rows taken before are under the cell's quota."""
+    """``rows`` with ``split``: whole groups go to test in hash order inside their cell while the rows taken before are under the cell's quota.
+
+    A null group or cell is one of its own; no row is lost; the window is over the groups of a cell, not over its rows.
+    """
     groups = rows.groupBy(cell, group).agg(F.count("*").alias("_n"))
     order = Window.partitionBy(cell).orderBy(hash_order(seed, F.col(group)), group)
     before = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -98,7 +107,7 @@ def group_split(rows: DataFrame, group: str, cell: str, quota_share: float, seed
 
 
 def weighted_choice(rows: DataFrame, by: list[str], weight: str, key: str, seed: int = 42) -> DataFrame:
-    """One row of each group, chosen with probability in proportion to its weight: the least -ln(u)/weight."""
+    """One row of each group, chosen with probability in proportion to its weight: the least -ln(u)/weight; null and other weights than positive ones never win."""
     race = -F.log(1 - hash_uniform(seed, F.col(key))) / F.col(weight)
     return keep_first(rows.filter(F.col(weight) > 0).withColumn("_r", race), [F.col(c) for c in by], ["_r", key]).drop("_r")
 
@@ -125,7 +134,8 @@ def round_robin_reused(rows: DataFrame, domain: str, size: str, key: str, n: int
 def length_batches(rows: DataFrame, length: str, key: str, batch: int, pool: int = 50, seed: int = 42) -> DataFrame:
     """``rows`` with pool and batch: hash buckets of about ``pool`` batches, sorted by length inside, cut into batches.
 
-    Buckets replace one global shuffle, so no task sees more than a pool; the last batch of a pool may be short.
+    Buckets replace one global shuffle, so no task sees more than a pool; the last batch of a pool may be short. Null lengths
+    come first; rows that share a key share a pool; no row gives no batch.
     """
     total = rows.count()
     pools = max(1, -(-total // (batch * pool)))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def constrain_edges(edges: DataFrame, keys: list[str], per_head: int | None = None, per_tail: int | None = None, directed: bool = True) -> DataFrame:
     """Edges (keys, head, tail, relation, p) without self loops, one for each pair and relation, at most so many a head and a tail.
 
-    The most probable stay; undirected pairs count both ways as one; ties by head and tail.
+    The most probable stay; undirected pairs count both ways as one; ties by head and tail. Edges with a null end go as
+    self loops do; repeated edges are one; a null p comes last; extra columns are kept; no edge gives no edge.
     """
     order = [F.desc("p"), "head", "tail"]
     a, b = ("head", "tail") if directed else (F.least("head", "tail"), F.greatest("head", "tail"))
@@ -21,12 +22,12 @@ def constrain_edges(edges: DataFrame, keys: list[str], per_head: int | None = No
 
 
 def cap_mentions(mentions: DataFrame, keys: list[str], cap: int) -> DataFrame:
-    """``mentions`` with ``kept``: whether they are among the first ``cap`` of their keys by position."""
+    """``mentions`` with ``kept``: whether they are among the first ``cap`` of their keys by position; of mentions at one place any may be."""
     return mentions.withColumn("kept", F.row_number().over(Window.partitionBy(*keys).orderBy("start", "end")) <= cap)
 
 
 def fill_template(template: Column, head: Column, tail: Column) -> Column:
-    """struct<text,head_start,tail_start> of a template with one ``{head}`` and one ``{tail}``."""
+    """struct<text,head_start,tail_start> of a template with one ``{head}`` and one ``{tail}``; a null template or value gives nulls."""
     first = F.replace(template, F.lit("{head}"), head)
     text = F.replace(first, F.lit("{tail}"), tail)
     at_head, at_tail = F.instr(template, "{head}") - 1, F.instr(template, "{tail}") - 1
@@ -37,7 +38,7 @@ def fill_template(template: Column, head: Column, tail: Column) -> Column:
 def render_marks(docs: DataFrame, marks: DataFrame, key: str) -> DataFrame:
     """(key, rendered): the text of ``docs`` with every mark (start, end, label) as ``[surface](label)``.
 
-    Marks must not overlap. The text between marks is cut by the end of the mark before, so a document's marks are
+    Marks must not overlap; documents without a mark or with a null text give no row. The text between marks is cut by the end of the mark before, so a document's marks are
     sorted once and its pieces joined once.
     """
     by = Window.partitionBy(key).orderBy("start")

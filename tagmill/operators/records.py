@@ -11,14 +11,15 @@ from tagmill.functions.text import with_starts
 
 
 def first_wins(dimension: DataFrame, name: str, order: str) -> DataFrame:
-    """One row for each ``name``, the first by ``order``."""
+    """One row for each ``name``, the first by ``order``; a null name is a name, null orders come first, of equal ones any stays."""
     return dimension.withColumn("_n", F.row_number().over(Window.partitionBy(name).orderBy(order))).filter("_n = 1").drop("_n")
 
 
 def closed_grid(mentions: DataFrame, key: str, labels: list[str]) -> DataFrame:
     """(key, label, surfaces) for every label of the declared space, empty where a record has none: a map lookup, no grid join.
 
-    The order of the surfaces is that of their first start.
+    The order of the surfaces is that of their first start; repeated ones count once; labels that are not declared are
+    left out; records without a mention give no row.
     """
     per_label = mentions.groupBy(key, "label").agg(F.transform(F.sort_array(F.collect_list(F.struct("start", "surface"))), lambda x: x["surface"]).alias("surfaces"))
     maps = per_label.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("label", F.array_distinct("surfaces")))).alias("m"))
@@ -27,7 +28,7 @@ def closed_grid(mentions: DataFrame, key: str, labels: list[str]) -> DataFrame:
 
 
 def parse_tags(text: Column) -> Column:
-    """array<struct<start,end,label,value>> of ``[value]label`` tags; offsets count in the text without tags."""
+    """array<struct<start,end,label,value>> of ``[value]label`` tags; offsets count in the text without tags; a null text has none."""
     pattern = r"\[([^\[\]]+)\]([a-z_]+)"
     values, labels = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
@@ -40,7 +41,7 @@ def strip_tags(text: Column) -> Column:
 
 
 def page_slices(offsets: DataFrame, key: str, length: str) -> DataFrame:
-    """(key, page, start, end) of page starts (key, start): 0 is always one; a page ends where the next begins."""
+    """(key, page, start, end) of page starts (key, start): 0 is always one, repeated starts count once; a page ends where the next begins."""
     starts = offsets.select(key, length, "start").union(offsets.select(key, length, F.lit(0))).distinct()
     by = Window.partitionBy(key).orderBy("start")
     return starts.select(key, (F.row_number().over(by) - 1).alias("page"), "start", F.coalesce(F.lead("start").over(by), F.col(length)).cast("int").alias("end"))
@@ -71,7 +72,10 @@ def writer_gate(value: Column, label: Column, formats: dict[str, str], offered:
 
 
 def assemble_relations(scores: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """One row for each instance slot of (keys, slot, side, surface, p) whose best head and best tail both pass: confidence is their geometric mean."""
+    """One row for each instance slot of (keys, slot, side, surface, p) whose best head and best tail both pass: confidence is their geometric mean.
+
+    Ties go to the larger surface; a null p never passes; null keys are keys; no score gives no row.
+    """
     passed = scores.filter(F.col("p") >= threshold)
     best = passed.groupBy(*keys, "slot", "side").agg(F.max(F.struct("p", "surface")).alias("b"))
     sides = best.groupBy(*keys, "slot").agg(F.max(F.when(F.col("side") == "head", F.col("b"))).alias("h"), F.max(F.when(F.col("side") == "tail", F.col("b"))).alias("t"))
