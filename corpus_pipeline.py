@@ -45,7 +45,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the table documents; all but the last are written and read back."""
+    """The stages over the table documents; all but the last are written and read back.
+
+    Rows with null or empty texts go in the first stage; rows without an id are judged, kept and packed under null; texts of
+    any length pass whole; equal rows of one id stay or go together; columns besides doc_id and text are carried along up
+    to the packing, whatever their names; empty tables give an empty result.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name)

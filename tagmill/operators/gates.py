@@ -97,3 +97,25 @@ def outside_entities(findings: DataFrame, docs: DataFrame, spans: DataFrame, key
     at = findings.filter("quote <> ''").join(docs.select(key, "text"), key).withColumn("start", F.expr("locate(quote, text) - 1")).filter("start >= 0")
     held = at.withColumn("_end", F.col("start") + F.length("quote")).join(spans.select(key, F.col("start").alias("_s"), F.col("end").alias("_e")), key).filter("_s <= start and _end <= _e").select(key, "quote").distinct()
     return at.join(held, [key, "quote"], "left_anti").select(*findings.columns, "start")
+
+
+def copied_hints(docs: DataFrame, hints: DataFrame, values: DataFrame, key: str, n: int = 5) -> DataFrame:
+    """(key, hint) of the ``hints`` (key, hint) of which ``n`` words in a row stand in the text of ``docs`` (key, text).
+
+    ``values`` (key, value) are taken out of both sides first, the longer before the shorter, as a long value would count
+    as copying. Words are compared in lower case; hints with fewer words are never copies; null texts hold nothing.
+    """
+    longest = F.transform(F.array_sort(F.collect_set(F.struct((-F.length("value")).alias("n"), "value"))), lambda v: v["value"])
+    taken = values.filter("value <> ''").groupBy(key).agg(longest.alias("_v"))
+    bare = lambda c: F.aggregate(F.coalesce("_v", F.array().cast("array<string>")), F.coalesce(c, F.lit("")), lambda t, v: F.replace(t, v, F.lit(" ")))
+    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+", -1), lambda w: w != "")
+    both = hints.join(docs.select(key, "text"), key).join(taken, key, "left")
+    both = both.select(key, "hint", words(bare(F.col("hint"))).alias("_h"), F.concat(F.lit(" "), F.array_join(words(bare(F.col("text"))), " "), F.lit(" ")).alias("_t"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_h") - n + 1, F.lit(1))), lambda i: F.concat(F.lit(" "), F.array_join(F.slice("_h", i, n), " "), F.lit(" ")))
+    return both.filter((F.size("_h") >= n) & F.exists(runs, lambda r: F.contains(F.col("_t"), r))).select(key, "hint").distinct()
+
+
+def lines_missing(part: DataFrame, whole: DataFrame) -> DataFrame:
+    """The distinct lines of ``part`` (text) that stand in no text of ``whole`` (text) as a line; none means ``part`` is made of it. Null texts have no lines."""
+    lines = lambda f: f.select(F.explode(F.split("text", "\n", -1)).alias("line")).distinct()
+    return lines(part).join(lines(whole), "line", "left_anti")

@@ -208,6 +208,28 @@ s as (select *, list_filter(['a', 'b', 'c'], lambda l: case when m < 0 then case
 v as (select *, list_transform(s, lambda l: case l when 'a' then z121 when 'b' then z122 else z123 end) as v from s)
 select doc_id, array_to_string(s, ',') as selected, round(round(1 / (1 + exp(-list_min(v))), 9), 7) as confidence, round(list_sum(v), 6) as utility, case when len(s) > 2 then 'too many' else '' end as violations, case when z121 = m then 'a' when z122 = m then 'b' else 'c' end as top, round(round(exp(m) / (exp(z121) + exp(z122) + exp(z123)), 9), 7) as top_p from v"""
 
+def _copies(spark, d):
+    """Hints of a document: words four to eleven of its own text, and of the text of the document before; its third word is a value."""
+    w = F.filter(F.split(F.lower("text"), r"[^a-z0-9]+", -1), lambda x: x != "")
+    docs = documents(spark, d, "doc_id", "text").select("doc_id", F.array_join(w, " ").alias("text"), w.alias("w"))
+    hint = F.array_join(F.slice("w", 4, 8), " ")
+    hints = docs.select("doc_id", hint.alias("hint")).unionByName(docs.select((F.col("doc_id") + 1).alias("doc_id"), hint.alias("hint")))
+    values = docs.filter(F.size("w") > 5).select("doc_id", F.concat(F.lit(" "), F.element_at("w", 6), F.lit(" ")).alias("value"))
+    return g.copied_hints(docs, hints, values, "doc_id").groupBy("doc_id").agg(F.count("*").alias("copied"))
+
+
+_COPIES = """with d as (select doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') as w from documents),
+h as (select doc_id, array_to_string(w[4:11], ' ') as h from d union select doc_id + 1, array_to_string(w[4:11], ' ') from d), v as (select doc_id, ' ' || w[6] || ' ' as v from d where len(w) > 5),
+b as (select h.doc_id, h.h, list_filter(string_split_regex(replace(h.h, coalesce(v, chr(1)), ' '), '[^a-z0-9]+'), lambda x: x <> '') as w, ' ' || trim(regexp_replace(replace(array_to_string(d.w, ' '), coalesce(v, chr(1)), ' '), '[^a-z0-9]+', ' ', 'g')) || ' ' as t from h join d using (doc_id) left join v using (doc_id))
+select doc_id, count(*) as copied from b where len(w) > 4 and len(list_filter(range(1, len(w) - 3), lambda i: contains(t, ' ' || array_to_string(w[i:i + 4], ' ') || ' '))) > 0 group by doc_id"""
+
+
+def _lines(spark, d):
+    """Which benchmark lines stand in no document, by their length."""
+    missing = g.lines_missing(table(spark, d, "benchmark", "text"), documents(spark, d, "text"))
+    return missing.groupBy((F.length("line") % 10).alias("class")).agg(F.count("*").alias("n"))
+
+
 ITEMS = {
     "label_bridge": Item(_bridge, "select lower(n_name) as label, count(*) as n, case when n_nationkey % 2 = 0 then count(*) else 0 end as even from customer join nation on c_nationkey = n_nationkey group by n_name, n_nationkey"),
     "vocabulary_merge": Item(_vocabulary, _VOCABULARY),
@@ -222,5 +244,7 @@ ITEMS = {
     "candidate_decode": Item(_candidate_spans, _CANDIDATE_SPANS),
     "span_attributes": Item(_attributes, _ATTRIBUTES),
     "structure_assembly": Item(_structures, _STRUCTURES),
+    "ngram_copy_guard": Item(_copies, _COPIES),
+    "lines_missing": Item(_lines, "with b as (select distinct unnest(string_split(text, chr(10))) as l from benchmark), d as (select distinct unnest(string_split(text, chr(10))) as l from documents) select cast(length(l) % 10 as int) as class, count(*) as n from b where l not in (select l from d) group by 1"),
     "classification_result": Item(_classified, _CLASSIFIED),
 }
