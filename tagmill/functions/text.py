@@ -26,8 +26,7 @@ def find_all(text: Column, pattern: str) -> Column:
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
     # both arrays in one, made once: a lambda's variable is not planned again for each use
     held = F.filter(F.array(hits), lambda h: F.size(h) > 0)
-    placed = F.transform(held, lambda h: with_starts(h, gaps))
-    return F.when(F.size(placed) > 0, F.element_at(placed, 1)).otherwise(F.slice(with_starts(F.array(F.lit("")), F.array(F.lit(0))), 1, 0))
+    return F.flatten(F.transform(held, lambda h: with_starts(h, gaps)))
 
 
 def with_starts(pieces: Column, gaps: Column, most: int = 64) -> Column:
@@ -42,7 +41,8 @@ def with_starts(pieces: Column, gaps: Column, most: int = 64) -> Column:
     tables = F.array(F.struct(steps.alias("s"), pieces.alias("p")))
     summed = F.transform(tables, lambda t: F.struct(t["s"].alias("s"), t["p"].alias("p"), blocks(t["s"]).alias("b")))
     start = lambda t, i: total(F.slice(t["b"], F.lit(1), F.floor(i / most).cast("int"))) + total(F.slice(t["s"], F.floor(i / most).cast("int") * most + 1, F.pmod(i, F.lit(most)) + 1))
-    return F.flatten(F.transform(summed, lambda t: F.transform(t["p"], lambda x, i: F.struct(start(t, i).alias("start"), (start(t, i) + F.length(x)).alias("end"), x.alias("text")))))
+    begun = F.flatten(F.transform(summed, lambda t: F.transform(t["p"], lambda x, i: F.struct(start(t, i).alias("start"), x.alias("text")))))
+    return F.transform(begun, lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["text"])).alias("end"), m["text"].alias("text")))
 
 
 def sentences(text: Column) -> Column:
