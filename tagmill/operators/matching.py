@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagmill.written import cut
+
 
 def ratio(part: Column, whole: Column) -> Column:
     """``part / whole``, 0 for an empty whole."""
@@ -55,7 +57,7 @@ def offset_statuses(gold: DataFrame, pred: DataFrame, key: str) -> DataFrame:
     neighbouring buckets of positions, and only overlapping pairs are ranked.
     """
     numbered = lambda f, name: f.select(key, "start", "end", "label", F.struct(F.col(key), F.row_number().over(Window.partitionBy(key).orderBy("start", "end", "label")).alias("i")).alias(name))
-    g, p = numbered(gold, "g"), numbered(pred, "p")
+    g, p = cut(numbered(gold, "g"), "gold"), cut(numbered(pred, "p"), "pred")  # each step below reads them again
     match = _pair_up(g, p, [key, "start", "end", "label"]).withColumn("status", F.lit("match"))
     g1, p1 = g.join(match, "g", "left_anti"), p.join(match, "p", "left_anti")
     label = _pair_up(g1, p1, [key, "start", "end"]).withColumn("status", F.lit("label_mismatch"))
@@ -71,7 +73,7 @@ def offset_statuses(gold: DataFrame, pred: DataFrame, key: str) -> DataFrame:
     clash = lambda x, y: (x["gi"] == y["gi"]) | (x["pi"] == y["pi"])
     kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda y: clash(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
     boundary = ranked.select(key, F.explode(kept).alias("m")).select(F.struct(F.col(key), F.col("m.gi").alias("i")).alias("g"), F.struct(F.col(key), F.col("m.pi").alias("i")).alias("p"), F.lit("boundary_mismatch").alias("status"))
-    paired = match.unionByName(label).unionByName(boundary)
+    paired = cut(match.unionByName(label).unionByName(boundary), "paired")
     gl, pl = g.select("g", F.col("label").alias("gold_label")), p.select("p", F.col("label").alias("pred_label"))
     found = paired.join(gl, "g").join(pl, "p").select(F.col(f"g.{key}").alias(key), "status", "gold_label", "pred_label")
     fn = g.join(paired, "g", "left_anti").select(key, F.lit("fn").alias("status"), F.col("label").alias("gold_label"), F.lit(None).cast("string").alias("pred_label"))
