@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tagmill.llm.ann import nearest
 from tagmill.llm.bpe import encode_decode
 from tagmill.llm.chat import format_chats, parse, under_mask
+from tagmill.llm.language_id import language_id
 from tagmill.llm.minhash import near_duplicates
 from tagmill.llm.packing import pack
 from tagmill.llm.quality import score_quality
@@ -111,6 +112,11 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=4, percent=80)
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents."""
+    return language_id(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_chat": op2_chat,
@@ -122,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_bpe": op9_bpe,
     "op10_minhash": op10_minhash,
+    "op13_language_id": op13_language_id,
 }
 
 #: The other operators' results need hashing, learning or search that SQL lacks; their tests hold them against brute force.
