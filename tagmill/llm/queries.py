@@ -19,6 +19,7 @@ from tagmill.llm.quality_rules import quality_rules
 from tagmill.llm.sharding import shard
 from tagmill.llm.toxicity import score_toxicity
 from tagmill.llm.url_filter import judge_urls, labels_of_pages
+from tagmill.llm.whitening import whiten
 from tagmill.sources import table
 
 PACKING_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -112,6 +113,11 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=4, percent=80)
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on the 16 components of largest variance."""
+    return whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents."""
     return language_id(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
@@ -128,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_bpe": op9_bpe,
     "op10_minhash": op10_minhash,
+    "op12_whitening": op12_whitening,
     "op13_language_id": op13_language_id,
 }
 
