@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tagmill.llm.ann import nearest
 from tagmill.llm.bpe import encode_decode
 from tagmill.llm.chat import format_chats, parse, under_mask
+from tagmill.llm.conversation_repair import repair, report
 from tagmill.llm.language_id import language_id
 from tagmill.llm.minhash import near_duplicates
 from tagmill.llm.packing import pack
@@ -20,6 +21,7 @@ from tagmill.llm.sharding import shard
 from tagmill.llm.toxicity import score_toxicity
 from tagmill.llm.url_filter import judge_urls, labels_of_pages
 from tagmill.llm.whitening import whiten
+from tagmill.operators.corpus import beside
 from tagmill.sources import table
 
 PACKING_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -113,6 +115,25 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=4, percent=80)
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with a twentieth of their turns each dropped, emptied, without ends of sentences, repeated or said by the user."""
+    spaced = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(spaced("conv_id"), F.lit(":"), spaced("turn")).cast("binary")) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.translate(spaced("text"), ".!?", "")).otherwise(spaced("text"))
+    role = F.when(kind == 4, "user").otherwise(spaced("role"))
+    copies = F.explode(F.sequence(F.lit(1), F.when(kind == 3, 2).otherwise(1)))
+    return rows.filter(kind != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), copies).select("conv_id", "turn", "role", "text")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repairs of all conversations after damage; one without a row left has zeros and nothing to hash."""
+    rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    hurt = damaged(rows)
+    said = beside(rows.select("conv_id").distinct(), report(repair(hurt), hurt), ["conv_id"], "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return said.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings on the 16 components of largest variance."""
     return whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
@@ -134,6 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_bpe": op9_bpe,
     "op10_minhash": op10_minhash,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_whitening": op12_whitening,
     "op13_language_id": op13_language_id,
 }
