@@ -190,14 +190,3 @@ def rank_shards(rows: DataFrame, order: list, world: int) -> DataFrame:
     """``rows`` with ``shard``: places in ``order`` dealt in turn to ``world`` disjoint shards."""
     placed = ranked(rows.withColumn("_all", F.lit(0)), ["_all"], order, "_r")
     return placed.withColumn("shard", F.pmod(F.col("_r") - 1, F.lit(world)).cast("int")).drop("_r", "_all")
-
-
-def spread_choice(rows: DataFrame, options: str, key: str, seed: int = 42) -> DataFrame:
-    """``rows`` with ``chosen``, one of the array ``options``, so that all options are used about equally often.
-
-    Two passes instead of a counter for each row: rows with the same options are dealt over these in turn, starting at
-    a hash of the options; the more rows, the nearer the uses of options that stand together.
-    """
-    placed = ranked(rows.withColumn("_o", F.array_join(options, "\x1f")), ["_o"], [hash_order(seed, F.col(key)), key], "_r")
-    at = F.pmod(F.xxhash64("_o") + F.col("_r"), F.size(options)) + 1
-    return placed.withColumn("chosen", F.when(F.size(options) > 0, F.element_at(options, at.cast("int")))).drop("_o", "_r")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagmill.operators.spans import SMALL, clustered
 from tagmill.written import cut
 
 
@@ -49,12 +53,27 @@ def _pair_up(gold: DataFrame, pred: DataFrame, on: list[str]) -> DataFrame:
     return g.join(p, [*on, "_n"]).select("g", "p")
 
 
+def _taken_in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each row's pairs (o, gi, pi), in order, those neither of whose sides is taken."""
+    for batch in batches:
+        for n in range(len(batch)):
+            key, pairs = batch.column(0).slice(n, 1), batch.column(1).slice(n, 1).flatten().to_pylist()
+            golds, preds, found = set(), set(), []
+            for pair in pairs:
+                if pair["gi"] not in golds and pair["pi"] not in preds:
+                    golds.add(pair["gi"])
+                    preds.add(pair["pi"])
+                    found.append(pair)
+            own = key.take(pa.array([0] * len(found), pa.int64()))
+            yield pa.RecordBatch.from_arrays([own, pa.array([f["gi"] for f in found], pa.int32()), pa.array([f["pi"] for f in found], pa.int32())], [batch.schema.names[0], "gi", "pi"])
+
+
 def offset_statuses(gold: DataFrame, pred: DataFrame, key: str) -> DataFrame:
     """(key, status, gold_label, pred_label, same_label) of spans (key, start, end, label).
 
     First equal spans of equal label match, then equal spans of other labels mismatch, then of what is left the pairs of
-    largest overlap, one to one, ties to the later spans; the rest are misses. Overlaps are found per document by
-    neighbouring buckets of positions, and only overlapping pairs are ranked.
+    largest overlap, one to one, ties to the later spans; the rest are misses. Overlaps are found inside clusters of touching
+    spans, by neighbouring buckets of positions; only overlapping pairs are ranked, a cluster's at a time.
     """
     numbered = lambda f, name: f.select(key, "start", "end", "label", F.struct(F.col(key), F.row_number().over(Window.partitionBy(key).orderBy("start", "end", "label")).alias("i")).alias(name))
     g, p = cut(numbered(gold, "g"), "gold"), cut(numbered(pred, "p"), "pred")  # each step below reads them again
@@ -62,17 +81,23 @@ def offset_statuses(gold: DataFrame, pred: DataFrame, key: str) -> DataFrame:
     g1, p1 = g.join(match, "g", "left_anti"), p.join(match, "p", "left_anti")
     label = _pair_up(g1, p1, [key, "start", "end"]).withColumn("status", F.lit("label_mismatch"))
     g2, p2 = g1.join(label, "g", "left_anti"), p1.join(label, "p", "left_anti")
+    # overlaps lie inside clusters of what is left on both sides; in a long cluster, in neighbouring buckets of positions
+    left = clustered(g2.select(key, "start", "end", F.lit(0).alias("side"), F.col("g.i").alias("i")).unionByName(p2.select(key, "start", "end", F.lit(1).alias("side"), F.col("p.i").alias("i"))), [key])
     width = 64
-    bucket = lambda f: f.withColumn("b", F.explode(F.sequence((F.col("start") / width).cast("int"), (F.greatest(F.col("end") - 1, F.col("start")) / width).cast("int"))))
-    a = bucket(g2).select(key, "b", "g", F.col("start").alias("gs"), F.col("end").alias("ge"))
-    c = bucket(p2).select(key, "b", "p", F.col("start").alias("ps"), F.col("end").alias("pe"))
+    bucket = F.explode(F.sequence((F.col("start") / width).cast("int"), (F.greatest(F.col("end") - 1, F.col("start")) / width).cast("int")))
+    placed = left.withColumn("b", bucket)
+    a = placed.filter("side = 0").select(key, "_cluster", "b", F.col("i").alias("gi"), F.col("start").alias("gs"), F.col("end").alias("ge"))
+    c = placed.filter("side = 1").select(key, "_cluster", "b", F.col("i").alias("pi"), F.col("start").alias("ps"), F.col("end").alias("pe"))
     size = F.least("ge", "pe") - F.greatest("gs", "ps")
-    pairs = a.join(c, [key, "b"]).withColumn("o", size).filter("o > 0").select(key, "g", "p", "o").distinct()
-    order = F.sort_array(F.collect_list(F.struct(F.col("o"), F.col("g.i").alias("gi"), F.col("p.i").alias("pi"))), asc=False)
-    ranked = pairs.groupBy(key).agg(order.alias("all"))
+    pairs = a.join(c, [key, "_cluster", "b"]).withColumn("o", size).filter("o > 0").select(key, "_cluster", F.struct("o", "gi", "pi").alias("pair")).distinct()
+    ranked = pairs.groupBy(key, "_cluster").agg(F.sort_array(F.collect_list("pair"), asc=False).alias("all"))
     clash = lambda x, y: (x["gi"] == y["gi"]) | (x["pi"] == y["pi"])
     kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda y: clash(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
-    boundary = ranked.select(key, F.explode(kept).alias("m")).select(F.struct(F.col(key), F.col("m.gi").alias("i")).alias("g"), F.struct(F.col(key), F.col("m.pi").alias("i")).alias("p"), F.lit("boundary_mismatch").alias("status"))
+    few = ranked.filter(F.size("all") <= SMALL).select(key, F.explode(kept).alias("m")).select(key, "m.gi", "m.pi")
+    kind = gold.schema[key].dataType.simpleString()
+    many = ranked.filter(F.size("all") > SMALL).select(key, "all").mapInArrow(_taken_in_turn, f"`{key}` {kind}, gi int, pi int")
+    both = few.unionByName(many)
+    boundary = both.select(F.struct(F.col(key), F.col("gi").alias("i")).alias("g"), F.struct(F.col(key), F.col("pi").alias("i")).alias("p"), F.lit("boundary_mismatch").alias("status"))
     paired = cut(match.unionByName(label).unionByName(boundary), "paired")
     gl, pl = g.select("g", F.col("label").alias("gold_label")), p.select("p", F.col("label").alias("pred_label"))
     found = paired.join(gl, "g").join(pl, "p").select(F.col(f"g.{key}").alias(key), "status", "gold_label", "pred_label")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,24 +21,130 @@ def _rank_struct(columns: list[str]) -> Column:
     return F.struct((-F.col("confidence")).alias("_c"), (F.col("start") - F.col("end")).alias("_l"), F.col("start"), F.col("end"), F.col("confidence"), *rest)
 
 
-def _fold(spans: DataFrame, keys: list[str], order: Column, clash) -> DataFrame:
-    """Per document: spans in ``order``, each kept unless it clashes with one kept before. Only the span list of a document is gathered."""
+#: Spans of a cluster that are folded inside Spark; larger clusters go to a sorted structure in Python.
+SMALL = 64
+
+
+def clustered(spans: DataFrame, keys: list[str], name: str = "_cluster") -> DataFrame:
+    """``spans`` with ``name``: numbers of the runs of spans in a document that can touch each other.
+
+    In order of starts a run ends where the next span starts at or after the largest end so far; no span overlaps one of
+    another run, so whatever is decided by overlaps is decided inside a run. One sort of a document's spans, no gathering.
+    """
+    by = Window.partitionBy(*keys).orderBy("start", "end")
+    reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    opened = spans.withColumn("_new", F.coalesce(F.col("start") >= reach, F.lit(True)).cast("int"))
+    return opened.withColumn(name, F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
+class _Apart:
+    """Kept spans of which none overlaps another, by start: a new one can only touch the last that starts before its end."""
+
+    def __init__(self):
+        self.starts, self.ends = [], []
+
+    def admits(self, span: dict) -> bool:
+        at = bisect_left(self.starts, span["end"])
+        if at and self.ends[at - 1] > span["start"]:
+            return False
+        at = bisect_right(self.starts, span["start"], hi=at)
+        while at and self.starts[at - 1] == span["start"] and self.ends[at - 1] > span["end"]:
+            at -= 1
+        self.starts.insert(at, span["start"])
+        self.ends.insert(at, span["end"])
+        return True
+
+
+class _Behind(_Apart):
+    """As ``_Apart`` for spans with ``_p`` = 1; those with 0 are all kept, come first and are found by the largest end before a start."""
+
+    def __init__(self):
+        super().__init__()
+        self.firsts, self.reach = [], []
+
+    def admits(self, span: dict) -> bool:
+        if span["_p"] == 0:  # in order of their starts
+            self.firsts.append(span["start"])
+            self.reach.append(max(span["end"], self.reach[-1]) if self.reach else span["end"])
+            return True
+        at = bisect_left(self.firsts, span["end"])
+        return not (at and self.reach[at - 1] > span["start"]) and super().admits(span)
+
+
+class _Uncrossed:
+    """Kept spans of which none crosses another: the furthest end of those that start, and the first start of those that end, inside a new one.
+
+    Both are asked of trees over the places that spans have at all, so each question costs the logarithm of their number.
+    """
+
+    def __init__(self, spans: list[dict]):
+        self.place = {p: i for i, p in enumerate(sorted({s[e] for s in spans for e in ("start", "end")}))}
+        self.size = max(1, len(self.place))
+        self.furthest, self.first = [-1] * (2 * self.size), [self.size] * (2 * self.size)
+
+    def _between(self, tree: list[int], low: int, high: int, pick, worst: int) -> int:
+        low, high = low + self.size, high + self.size
+        while low < high:
+            if low & 1:
+                worst, low = pick(worst, tree[low]), low + 1
+            if high & 1:
+                high -= 1
+                worst = pick(worst, tree[high])
+            low, high = low >> 1, high >> 1
+        return worst
+
+    def _set(self, tree: list[int], at: int, value: int, pick) -> None:
+        at += self.size
+        while at:
+            tree[at] = pick(tree[at], value)
+            at >>= 1
+
+    def admits(self, span: dict) -> bool:
+        a, b = self.place[span["start"]], self.place[span["end"]]
+        if self._between(self.furthest, a + 1, b, max, -1) > b or self._between(self.first, a + 1, b, min, self.size) < a:
+            return False
+        self._set(self.furthest, a, b, max)
+        self._set(self.first, b, a, min)
+        return True
+
+
+def _fold(spans: DataFrame, keys: list[str], order: Column, clash, kept_by) -> DataFrame:
+    """Per document: spans in ``order``, each kept unless it clashes with one kept before.
+
+    Only spans of one overlap cluster are gathered. Small clusters are folded inside Spark, span against span by
+    ``clash``; large ones in Python by ``kept_by``, which asks a sorted structure instead, so no cluster costs its square.
+    """
     columns = [c for c in spans.columns if c not in keys]
-    grouped = spans.groupBy(*keys).agg(F.sort_array(F.collect_list(order)).alias("all"))
+    grouped = clustered(spans, keys).groupBy(*keys, "_cluster").agg(F.sort_array(F.collect_list(order)).alias("all"))
+    few = grouped.filter(F.size("all") <= SMALL)
     none = F.slice("all", 1, 0)
     kept = F.aggregate("all", none, lambda acc, x: F.when(F.exists(acc, lambda y: clash(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
-    return grouped.select(*keys, F.explode(kept).alias("s")).select(*keys, *(F.col(f"s.{c}").alias(c) for c in columns))
+    folded = few.select(*keys, F.explode(kept).alias("s")).select(*keys, *(F.col(f"s.{c}").alias(c) for c in columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(len(batch)):
+                row = batch.slice(n, 1)
+                rest = row.column(len(keys)).flatten()
+                held = kept_by(rest.to_pylist())
+                at = pa.array([i for i, span in enumerate(rest.to_pylist()) if held.admits(span)], pa.int64())
+                own = [row.column(i).take(pa.array([0] * len(at), pa.int64())) for i in range(len(keys))]
+                yield pa.RecordBatch.from_arrays([*own, *(rest.field(c).take(at) for c in columns)], [*keys, *columns])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spans.select(*keys, *columns).schema)
+    many = grouped.filter(F.size("all") > SMALL).select(*keys, "all").mapInArrow(run, schema)
+    return folded.select(*keys, *columns).unionByName(many)
 
 
 def greedy(spans: DataFrame, keys: list[str]) -> DataFrame:
     """No overlaps: the more confident span wins, then the longer, then the earlier."""
-    return _fold(spans, keys, _rank_struct([c for c in spans.columns if c not in keys]), _overlap)
+    return _fold(spans, keys, _rank_struct([c for c in spans.columns if c not in keys]), _overlap, lambda _: _Apart())
 
 
 def longest_first(spans: DataFrame, keys: list[str]) -> DataFrame:
     """No overlaps: the longer span wins, then the earlier."""
     rest = [c for c in spans.columns if c not in keys and c not in ("start", "end")]
-    return _fold(spans, keys, F.struct((F.col("start") - F.col("end")).alias("_l"), "start", "end", *rest), _overlap)
+    return _fold(spans, keys, F.struct((F.col("start") - F.col("end")).alias("_l"), "start", "end", *rest), _overlap, lambda _: _Apart())
 
 
 def allow(spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,7 +159,7 @@ def nested(spans: DataFrame, keys: list[str]) -> DataFrame:
     unique = allow(spans, keys)
     rest = [c for c in spans.columns if c not in keys and c not in ("start", "end", "confidence")]
     order = F.struct((-F.col("confidence")).alias("_c"), "start", "end", "confidence", *rest)
-    return _fold(unique, keys, order, crosses)
+    return _fold(unique, keys, order, crosses, _Uncrossed)
 
 
 def outermost(spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -98,7 +208,7 @@ def priority_merge(primary: DataFrame, secondary: DataFrame, keys: list[str]) ->
     rest = [c for c in columns if c not in ("start", "end")]
     both = primary.withColumn("_p", F.lit(0)).unionByName(secondary.withColumn("_p", F.lit(1)))
     clash = lambda a, b: (a["_p"] == 1) & _overlap(a, b)
-    return _fold(both, keys, F.struct("_p", "start", "end", *rest), clash).select(*keys, *columns)
+    return _fold(both, keys, F.struct("_p", "start", "end", *rest), clash, lambda _: _Behind()).select(*keys, *columns)
 
 
 def chunk_windows(docs: DataFrame, n_tokens: str, size: int = 384, overlap: int = 64) -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from tagmill.functions.hashing import hash_uniform
 from tagmill.operators import corpus as c
+from tagmill.operators.balance import least_used
 from tagmill.plans import Item
 from tagmill.plans.derived import documents, u_sql
 from tagmill.sources import table
+from tagmill.written import cut
 
 
 def _sorted_sample(spark, d):
@@ -81,11 +83,35 @@ def _shards(spark, d):
 
 
 def _spread(spark, d):
-    """Uses of each of the options that a language has, dealt over its documents: no two differ by more than one."""
+    """Each document with one of the sources of its language, dealt so that these are used evenly."""
     docs = documents(spark, d, "doc_id", "lang", "source")
-    options = docs.groupBy("lang").agg(F.sort_array(F.collect_set("source")).alias("options"))
-    used = c.spread_choice(docs.join(options, "lang"), "options", "doc_id").groupBy("lang", "chosen").agg(F.count("*").alias("n"))
-    return used.groupBy("lang").agg((F.max("n") - F.min("n") <= 1).alias("even"), F.sum("n").alias("rows"))
+    options = docs.groupBy("lang").agg(F.collect_set("source").alias("options"))
+    return least_used(docs.join(options, "lang"), "options", "doc_id", ["lang"]).select("doc_id", "lang", "chosen")
+
+
+_SPREAD = """with o as (select lang, source, cast(row_number() over (partition by lang order by source) as int) as place, count(*) over (partition by lang) as k from (select distinct lang, source from documents)),
+n as (select lang, count(*) as n from documents group by lang), x as (select o.lang, source, sum(n // k + case when place <= n % k then 1 else 0 end) over (partition by o.lang order by place) as upto, n // k + case when place <= n % k then 1 else 0 end as x from o join n using (lang)),
+r as (select doc_id, lang, row_number() over (partition by lang order by md5('42|' || doc_id), doc_id) as r from documents)
+select doc_id, r.lang, source as chosen from r join x on x.lang = r.lang and r.r <= upto and r.r > upto - x"""
+
+
+def _least_used(spark, d):
+    """For each order one of the depots of its own lines, inside its priority: the most and the least that a depot is used, and the greatest lead over a depot that the same orders could have taken."""
+    li = table(spark, d, "lineitem", "l_orderkey", "l_suppkey").groupBy("l_orderkey").agg(F.collect_set((F.col("l_suppkey") % 7).cast("string")).alias("depots"))
+    o = table(spark, d, "orders", "o_orderkey", "o_orderpriority")
+    rows = o.join(li, o["o_orderkey"] == li["l_orderkey"]).select("o_orderkey", "o_orderpriority", "depots")
+    dealt = cut(least_used(rows, "depots", "o_orderkey", ["o_orderpriority"]), "dealt")
+    uses = dealt.groupBy("o_orderpriority", F.col("chosen").alias("depot")).agg(F.count("*").alias("n"))
+    classes = dealt.groupBy("o_orderpriority", "depots", "chosen").agg(F.count("*").alias("orders"))
+    each = classes.select("o_orderpriority", "chosen", "orders", F.explode("depots").alias("depot")).join(uses, ["o_orderpriority", "depot"], "left").na.fill(0, ["n"])
+    led = each.join(uses.withColumnsRenamed({"depot": "chosen", "n": "used"}), ["o_orderpriority", "chosen"])
+    return led.groupBy("o_orderpriority").agg(F.sum(F.when(F.col("depot") == F.col("chosen"), F.col("orders"))).alias("orders"), F.max("n").alias("most"), F.min("n").alias("least"), F.max(F.col("used") - F.col("n")).alias("lead"))
+
+
+# Whatever is dealt, the depots of a set T carry the orders that have no other depot, and no more than those that have one of T.
+_LEAST_USED = """with s as (select o_orderpriority, o_orderkey, bit_or(1 << cast(l_suppkey % 7 as int)) as mask from orders join lineitem on l_orderkey = o_orderkey group by all), c as (select o_orderpriority, mask, count(*) as n from s group by all),
+t as (select unnest(range(1, 128)) as t), u as (select o_orderpriority, t, sum(n) filter ((mask & ~t) = 0) as inside, sum(n) filter ((mask & t) <> 0) as touching from c, t group by all)
+select o_orderpriority, cast(max(touching) as bigint) as orders, cast(max(ceil(coalesce(inside, 0) / bit_count(t))) as bigint) as most, cast(min(floor(touching / bit_count(t))) as bigint) as least, case when max(ceil(coalesce(inside, 0) / bit_count(t))) > min(floor(touching / bit_count(t))) then 1 else 0 end as lead from u group by o_orderpriority"""
 
 
 def _leaks(spark, d):
@@ -107,6 +133,7 @@ ITEMS = {
     "alias_flip": Item(_renamed, _RENAMED),
     "schema_expansion": Item(_expand, "with u as (select count(distinct user_id) as n from events), t as (select event_type, count(distinct user_id) as there from events group by 1) select event_type, there, n - there as absent from t, u"),
     "rank_shards": Item(_shards, "select cast((r - 1) % 7 as int) as shard, count(*) as n, cast(sum(n_chars) as bigint) as chars from (select n_chars, row_number() over (order by n_chars, doc_id) as r from documents) group by 1"),
-    "spread_choice": Item(_spread, "select lang, true as even, count(*) as rows from documents group by lang"),
+    "spread_choice": Item(_spread, _SPREAD),
+    "least_used_options": Item(_least_used, _LEAST_USED),
     "variant_leaks": Item(_leaks, _LEAKS),
 }
