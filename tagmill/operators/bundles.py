@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagmill.functions.hashing import hash_uniform
 from tagmill.operators.graph import reachable
+from tagmill.operators.ranking import running_total
+from tagmill.written import complete, cut
 
 
 def bundle_problems(entities: DataFrame, relations: DataFrame, kinds: DataFrame, subjects: DataFrame, key: str) -> DataFrame:
@@ -57,6 +59,44 @@ def once_each(rows: DataFrame, column: str, compute: Callable[[Column], Column],
     return rows.join(known, column, "left").select(*rows.columns, name)
 
 
+def cached_each(rows: DataFrame, column: str, compute: Callable[[Column], Column], name: str, path: str) -> tuple[DataFrame, int]:
+    """(``rows`` with ``name``, how many values were computed): as ``once_each``, with what was computed before kept at ``path``.
+
+    The table there has (key, value, result), the key being the SHA-256 of the value. Values whose key is not in it are computed and
+    appended as one more run of files; a second run over the same rows computes none. Null values stay null.
+    """
+    spark = rows.sparkSession
+    keyed = lambda f: f.withColumn("_key", F.sha2(F.col(column).cast("string"), 256))
+    known = keyed(rows.select(column).filter(F.col(column).isNotNull()).distinct())
+    if complete(spark, path):
+        known = known.join(spark.read.parquet(path).select(F.col("key").alias("_key")), "_key", "left_anti")
+    fresh = cut(known.select(F.col("_key").alias("key"), F.col(column).alias("value"), compute(F.col(column)).alias("result")), "fresh")
+    count = fresh.count()
+    if count or not complete(spark, path):
+        fresh.write.mode("append").parquet(path)
+    there = spark.read.parquet(path).select(F.col("key").alias("_key"), F.col("result").alias(name))
+    return keyed(rows).join(there, "_key", "left").select(*rows.columns, name), count
+
+
+def staged(spark, path: str, stages: list[tuple[str, Callable[[DataFrame | None], DataFrame]]], start: str | None = None) -> tuple[DataFrame, list[str]]:
+    """(the last stage's table, the names of the stages that ran): each stage's result is written under ``path`` and read as the next one's input.
+
+    A stage whose table is complete is not run again, unless ``start`` names it or one before it; a stage after one that ran
+    runs too. A table without its success mark, left by a run that failed, counts as not there.
+    """
+    if start is not None and start not in dict(stages):
+        raise ValueError(f"no stage is called {start}")
+    ran: list[str] = []
+    table: DataFrame | None = None
+    for name, run in stages:
+        folder = f"{path}/{name}"
+        if ran or name == start or not complete(spark, folder):
+            run(table).write.mode("overwrite").parquet(folder)
+            ran.append(name)
+        table = spark.read.parquet(folder)
+    return table, ran
+
+
 def gated(rows: DataFrame, order: list, size: int, passes: Callable[[DataFrame], bool]) -> tuple[DataFrame, DataFrame | None]:
     """(first ``size`` rows by ``order``, the rest): the rest is given only if the first block ``passes``; else there is none."""
     first = rows.orderBy(*order).limit(size)
@@ -70,13 +110,21 @@ def gated(rows: DataFrame, order: list, size: int, passes: Callable[[DataFrame],
 def star_pick(levels: list[tuple[DataFrame, str, str]], start: DataFrame, seed_columns: list[str], seed: int = 42) -> DataFrame:
     """``start`` with a place of each level, drawn by weight among those of the place above: ``levels`` are (table, its key, the column of the place above), each with ``weight``.
 
-    A draw is the least -ln(u) / weight over the level's rows, with u hashed from the row of ``start`` and the place; places
-    above without any below leave the row out.
+    One random number a row and level, hashed from its ``seed_columns`` and the level's key, times the weights' sum is looked
+    up in the running sums of the place above. These are cut into as many buckets as it has places, and a row meets
+    the places of its bucket only: two on average, however many the place above has. Places above without any below leave the row
+    out; places without a positive weight are never drawn.
     """
     out = start
     for table, own, above in levels:
-        joined = out.join(table.filter("weight > 0").select(above, own, "weight"), above)
-        race = -F.log(1 - hash_uniform(seed, *(F.col(c) for c in seed_columns), F.col(own))) / F.col("weight")
-        best = Window.partitionBy(*seed_columns).orderBy("_race", own)
-        out = joined.withColumn("_race", race).withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_race", "_n", "weight")
+        there = table.filter("weight > 0").select(F.col(above).alias("_above"), F.col(own).alias(own), F.col("weight").cast("double").alias("_weight"))
+        summed = running_total(there, ["_above"], [own], "_weight", "_upto")
+        counts = summed.groupBy("_above").agg(F.count("*").alias("_n"), F.max("_upto_all").alias("_all"))
+        low = F.col("_upto") - F.col("_weight")
+        at = lambda c: F.least(F.floor(c / F.col("_all") * F.col("_n")), F.col("_n") - 1)
+        sized = cut(counts, "counts")
+        bucketed = summed.join(sized, "_above").select("_above", own, low.alias("_low"), F.col("_upto").alias("_high"), F.explode(F.sequence(at(low), at(F.col("_upto")))).alias("_bucket"))
+        asked = out.join(sized, F.col(above) == F.col("_above")).withColumn("_t", hash_uniform(seed, *(F.col(c) for c in seed_columns), F.lit(own)) * F.col("_all"))
+        asked = asked.withColumn("_bucket", at(F.col("_t"))).drop("_n", "_all")
+        out = asked.join(bucketed, ["_above", "_bucket"]).filter("_low <= _t and _t < _high").select(*out.columns, own)
     return out

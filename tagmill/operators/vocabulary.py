@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagmill.operators.ranking import ranked
+
 
 def bridge(rows: DataFrame, names: DataFrame, column: str, strict: bool = True) -> DataFrame:
     """``rows`` with ``column`` renamed by ``names`` (old, new); a name that is not there fails the job, or leaves the row out if not ``strict``.
@@ -28,9 +30,12 @@ def merge_vocabularies(first: DataFrame, second: DataFrame) -> tuple[DataFrame,
 
 
 def unique_names(nodes: DataFrame, id_col: str, name: str) -> DataFrame:
-    """``nodes`` with ``unique_name``: the name, and after a name that came before, in any case, a number from 2; ids say what comes first."""
-    nth = F.row_number().over(Window.partitionBy(F.lower(name)).orderBy(id_col))
-    return nodes.withColumn("_n", nth).withColumn("unique_name", F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat_ws(" ", F.col(name), F.col("_n").cast("string")))).drop("_n")
+    """``nodes`` with ``unique_name``: the name, and after a name that came before, in any case, a number from 2; ids say what comes first.
+
+    A name's nodes are counted over range partitions, so that one name may have any number of them.
+    """
+    placed = ranked(nodes.withColumn("_low", F.lower(name)), ["_low"], [id_col], "_n")
+    return placed.withColumn("unique_name", F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat_ws(" ", F.col(name), F.col("_n").cast("string")))).drop("_n", "_low")
 
 
 def canonical_relations(offers: DataFrame) -> DataFrame:

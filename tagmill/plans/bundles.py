@@ -10,6 +10,7 @@ from tagmill.operators import bundles as b
 from tagmill.plans import Item
 from tagmill.plans.derived import documents, u_sql
 from tagmill.sources import table
+from tagmill.written import cut, new_folder
 
 
 def _problems(spark, d):
@@ -59,9 +60,13 @@ select case when r then 'rejected' when flags <> '' then 'flagged' else 'accepte
 
 
 def _cache(spark, d):
-    """Sentences scored once each, however often they stand; and what is left to do after a first block that passed a gate."""
-    s = documents(spark, d, "doc_id", "text").select("doc_id", F.explode(t.sentences(F.col("text"))).alias("s"))
-    scored = b.once_each(s, "s", lambda c: F.length(F.regexp_replace(c, "[^aeiou]", "")), "score").groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum("score").alias("score"))
+    """Sentences scored once each, however often they stand, into a table that a second run finds; and what is left to do after a first block that passed a gate."""
+    sentences = documents(spark, d, "doc_id", "text").select("doc_id", F.explode(t.sentences(F.col("text"))).alias("s"))
+    s, path = cut(sentences, "sentences"), new_folder(spark, "scores")
+    vowels = lambda c: F.length(F.regexp_replace(c, "[^aeiou]", ""))
+    b.cached_each(s.filter("doc_id % 2 = 0"), "s", vowels, "score", path)
+    found, _ = b.cached_each(s, "s", vowels, "score", path)
+    scored = cut(found.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum("score").alias("score")), "scored")
     first, rest = b.gated(scored, ["sentences", "doc_id"], 50, lambda f: f.filter("sentences > 0").count() == 50)
     return first.withColumn("part", F.lit("first")).unionByName(rest.withColumn("part", F.lit("rest")) if rest is not None else first.limit(0).withColumn("part", F.lit("rest")))
 
@@ -109,8 +114,10 @@ def _star(spark, d):
     return b.star_pick([(n, "n_nationkey", "n_regionkey"), (c, "c_custkey", "n_nationkey")], s, ["s_suppkey"]).select("s_suppkey", "n_regionkey", "n_nationkey", "c_custkey")
 
 
-_STAR = f"""with a as (select s_suppkey, n_regionkey, n_nationkey from (select s_suppkey, n_regionkey, n_nationkey, row_number() over (partition by s_suppkey order by -ln(1 - {u_sql(42, "s_suppkey || '|' || n_nationkey")}) / (n_nationkey % 4), n_nationkey) as k from supplier join nation on n_regionkey = s_suppkey % 5 where n_nationkey % 4 > 0) where k = 1)
-select s_suppkey, n_regionkey, n_nationkey, c_custkey from (select a.*, c_custkey, row_number() over (partition by s_suppkey order by -ln(1 - {u_sql(42, "s_suppkey || '|' || c_custkey")}) / (c_custkey % 3 + 1), c_custkey) as k from a join customer on c_nationkey = n_nationkey) where k = 1"""
+_STAR = f"""with n as (select n_nationkey, n_regionkey, n_nationkey % 4 as w, sum(n_nationkey % 4) over (partition by n_regionkey order by n_nationkey) as upto, sum(n_nationkey % 4) over (partition by n_regionkey) as total from nation where n_nationkey % 4 > 0),
+c as (select c_custkey, c_nationkey, c_custkey % 3 + 1 as w, sum(c_custkey % 3 + 1) over (partition by c_nationkey order by c_custkey) as upto, sum(c_custkey % 3 + 1) over (partition by c_nationkey) as total from customer),
+a as (select s_suppkey, n_regionkey, n_nationkey from (select *, {u_sql(42, "s_suppkey || '|n_nationkey'")} * total as t from supplier join n on n_regionkey = s_suppkey % 5) where upto - w <= t and t < upto)
+select s_suppkey, n_regionkey, n_nationkey, c_custkey from (select *, {u_sql(42, "s_suppkey || '|c_custkey'")} * total as t from a join c on c_nationkey = n_nationkey) where upto - w <= t and t < upto"""
 
 
 def _predicates(spark, d):

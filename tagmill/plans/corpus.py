@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tagmill.functions.hashing import hash_order, hash_uniform
 from tagmill.operators import corpus as c
+from tagmill.operators.leakage import shared_passages
 from tagmill.operators.ranking import ranked
 from tagmill.plans import Item
 from tagmill.plans.derived import documents, u_sql
@@ -198,22 +199,9 @@ select *, offered >= 50 and expressed / offered < 0.02 as pool_broken, named >=
 
 
 def _leak(spark, d):
-    """Documents that hold a benchmark item's five-word shingle, with the numbers of items and of shingles.
-
-    Shingles travel as 64-bit hashes; those that hit an item's hash are compared word by word once more. The items'
-    hashes are written, so Spark knows their size and broadcasts them only under its own threshold.
-    """
-    w = F.split(F.trim(F.regexp_replace(F.lower(F.translate("text", "\n\t\r", "   ")), " +", " ")), " ")
-    words = lambda t, key: table(spark, d, t, key, "text").select(key, w.alias("w")).filter(F.size("w") >= 5)
-    five = lambda i: F.array_join(F.slice("w", i, 5), " ")
-    # each word hashed once; a shingle's hash is made of its five words' hashes
-    hashed = F.transform("w", lambda x: F.xxhash64(x))
-    at = F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.struct(F.xxhash64(*(F.element_at("h", i + k) for k in range(5))).alias("hash"), i.alias("i")))
-    items = words("benchmark", "item_id").withColumn("h", hashed).select("item_id", F.inline(at), "w").select("item_id", "hash", five(F.col("i")).alias("said")).distinct()
-    items = cut(items, "items")
-    docs = words("documents", "doc_id").withColumn("h", hashed)
-    hits = docs.select("doc_id", "w", F.inline(at)).join(items.select("hash").distinct(), "hash", "left_semi").select("doc_id", "hash", five(F.col("i")).alias("said")).distinct()
-    return hits.join(items, ["hash", "said"]).groupBy("doc_id").agg(F.count_distinct("item_id").alias("items"), F.count_distinct("said").alias("shared"))
+    """Documents that hold a benchmark item's five words in a row, with the numbers of items and of passages."""
+    shared = shared_passages(documents(spark, d, "doc_id", "text"), table(spark, d, "benchmark", "item_id", "text"), "doc_id", "item_id")
+    return shared.groupBy("doc_id").agg(F.count_distinct("item_id").alias("items"), F.count_distinct("said").alias("shared"))
 
 
 _SH = "trim(regexp_replace(lower(translate(text, chr(10) || chr(9) || chr(13), '   ')), ' +', ' ', 'g'))"

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagmill.operators.ranking import ranked
+
 #: Rows of a report that may come to the driver.
 REPORT_ROWS = 10_000
 
@@ -17,9 +19,9 @@ def write_splits(rows: DataFrame, path: str) -> None:
 
 
 def write_files_of(rows: DataFrame, path: str, size: int, by: str, order: str) -> None:
-    """JSON lines, ``size`` rows a file in ``order``, counted inside each value of ``by``."""
-    nth = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
-    rows.withColumn("file", F.floor(nth / size).cast("int")).repartition(by, "file").sortWithinPartitions(by, "file", order).write.mode("overwrite").partitionBy(by, "file").json(path)
+    """JSON lines, ``size`` rows a file in ``order``, counted inside each value of ``by`` over range partitions."""
+    placed = ranked(rows, [by], [order], "_nth").withColumn("file", F.floor((F.col("_nth") - 1) / size).cast("int")).drop("_nth")
+    placed.repartition(by, "file").sortWithinPartitions(by, "file", order).write.mode("overwrite").partitionBy(by, "file").json(path)
 
 
 def report(rows: DataFrame) -> str:

@@ -48,3 +48,9 @@ def forget(*frames: DataFrame | None) -> None:
             spark = frame.sparkSession
             folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table is at ``path`` and its last write was finished; any store that Spark reads will do."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
