@@ -37,6 +37,8 @@ def assignments(candidates: DataFrame, keys: list[str], least: int = 0, most: in
 def decode(tasks: dict[str, DataFrame], keys: list[str], rules: dict[str, Callable[[dict[str, Column]], Column]]) -> DataFrame:
     """(keys, a column of labels for each task, utility, broken): the assignment of all tasks that breaks the fewest ``rules``, then is worth most.
 
+    A key that lacks an assignment in some task has no labels there, worth 0. Beyond a dozen candidates see ``searching``.
+
     ``tasks`` holds the tables of ``assignments``; a rule sees each task's labels and is broken where it is false. The search
     is exact: a row's assignments are joined on its keys, so its size is the product of its tasks' choices, which ``retain``
     bounds. ``broken`` are the names of the rules that even the best one breaks. Ties go to the labels earlier in order.
@@ -44,7 +46,9 @@ def decode(tasks: dict[str, DataFrame], keys: list[str], rules: dict[str, Callab
     joined: DataFrame | None = None
     for name, table in tasks.items():
         own = table.select(*keys, F.col("labels").alias(name), F.col("utility").alias(f"_u_{name}"))
-        joined = own if joined is None else joined.join(own, keys)
+        joined = own if joined is None else joined.join(own, keys, "full_outer")
+    none = F.array().cast("array<string>")
+    joined = joined.select(*keys, *(F.coalesce(n, none).alias(n) for n in tasks), *(F.coalesce(f"_u_{n}", F.lit(0.0)).alias(f"_u_{n}") for n in tasks))
     chosen = {n: F.col(n) for n in tasks}
     broken = F.filter(F.array(*(F.when(~F.coalesce(rule(chosen), F.lit(True)), n) for n, rule in rules.items())), lambda x: x.isNotNull())
     total = F.round(reduce(lambda a, b: a + b, (F.col(f"_u_{n}") for n in tasks)), 9)

@@ -8,6 +8,7 @@ from tagmill.functions.hashing import hash_uniform
 from tagmill.operators import decoding as dc
 from tagmill.operators.constraints import any_other_selected, any_selected, at_level, at_most_level, exactly_one
 from tagmill.operators.graph import broken_inverse, neighbourhoods
+from tagmill.operators.searching import Rule, decode_by_search
 from tagmill.plans import Item
 from tagmill.plans.derived import documents, u_sql
 from tagmill.sources import table
@@ -73,6 +74,36 @@ b as (select *, row_number() over (partition by doc_id order by len(broken), u d
 select doc_id, tone, array_to_string(ls, ',') as topic, round(u, 6) as utility, array_to_string(broken, ',') as broken from b where n = 1"""
 
 
+_MANY = ("art", "code", "food", "long", "news", "play", "spam", "work")
+
+
+def _searched(spark, d):
+    """One tone and one to three of eight topics by search; rules as numbers of labels that hold, some against each other."""
+    tone = _candidates(spark, d, _TONES, 70).withColumn("task", F.lit("tone"))
+    topic = _candidates(spark, d, _MANY, 80).withColumn("task", F.lit("topic"))
+    rules = [
+        Rule("spam_not_calm", ("topic:spam", "tone:calm"), most=1),
+        Rule("code_is_long", ("!topic:code", "topic:long"), least=1),
+        Rule("work_or_play", ("topic:work", "topic:play"), 1, 1),
+        Rule("art_needs_two", ("!topic:art", "topic:food", "topic:news"), least=1),
+        Rule("sad_has_no_play", ("tone:sad", "topic:play"), most=1),
+        Rule("angry_works_not", ("!tone:angry", "!topic:work"), least=1),
+        Rule("angry_plays_not", ("tone:angry", "topic:play"), most=1),
+    ]
+    out = decode_by_search(tone.unionByName(topic), ["doc_id"], {"tone": (1, 1), "topic": (1, 3)}, rules)
+    return out.select("doc_id", F.array_join("tone", ",").alias("tone"), F.array_join("topic", ",").alias("topic"), F.round("utility", 6).alias("utility"), F.array_join("broken", ",").alias("broken"), "how")
+
+
+_SEARCHED = f"""with t as (select doc_id, unnest([{", ".join(f"{{'l': '{n}', 'u': round({u_sql(70 + i, 'doc_id')} * 2 - 1, 6)}}" for i, n in enumerate(_TONES))}]) as c from documents),
+k as (select doc_id, c.l as l, c.u as u from (select doc_id, unnest([{", ".join(f"{{'l': '{n}', 'u': round({u_sql(80 + i, 'doc_id')} * 2 - 1, 6)}}" for i, n in enumerate(_MANY))}]) as c from documents)),
+s as (select doc_id, [l] as ls, u from k union all select a.doc_id, [a.l, b.l], a.u + b.u from k a join k b on a.doc_id = b.doc_id and a.l < b.l union all select a.doc_id, [a.l, b.l, c.l], a.u + b.u + c.u from k a join k b on a.doc_id = b.doc_id and a.l < b.l join k c on c.doc_id = a.doc_id and b.l < c.l),
+h as (select s.doc_id, t.c.l as tone, ls, round(t.c.u + s.u, 9) as u, list_contains(ls, 'spam') as spam, list_contains(ls, 'code') as code, list_contains(ls, 'long') as long, list_contains(ls, 'work') as work, list_contains(ls, 'play') as play, list_contains(ls, 'art') as art, list_contains(ls, 'food') or list_contains(ls, 'news') as two from s join t on t.doc_id = s.doc_id),
+j as (select *, list_filter([case when spam and tone = 'calm' then 'spam_not_calm' end, case when code and not long then 'code_is_long' end, case when work = play then 'work_or_play' end, case when art and not two then 'art_needs_two' end,
+  case when tone = 'sad' and play then 'sad_has_no_play' end, case when tone = 'angry' and work then 'angry_works_not' end, case when tone = 'angry' and play then 'angry_plays_not' end], lambda x: x is not null) as broken from h),
+b as (select *, row_number() over (partition by doc_id order by len(broken), u desc, tone, ls) as n from j)
+select doc_id, tone, array_to_string(ls, ',') as topic, round(u, 6) as utility, array_to_string(broken, ',') as broken, 'exact' as how from b where n = 1"""
+
+
 def _inverse(spark, d):
     """Part-supplier edges named by return flag: A and R should be each other's inverse."""
     li = table(spark, d, "lineitem", "l_partkey", "l_suppkey", "l_returnflag").select((F.col("l_partkey") % 37).alias("a"), (F.col("l_suppkey") % 37).alias("b"), F.col("l_returnflag").alias("relation")).distinct()
@@ -95,6 +126,7 @@ ITEMS = {
     "constraint_nodes": Item(_nodes, _NODES),
     "retained_candidates": Item(_retained, _RETAINED),
     "joint_decode": Item(_joint, _JOINT),
+    "searched_decode": Item(_searched, _SEARCHED),
     "inverse_relation_check": Item(_inverse, _INVERSE),
     "neighbourhoods": Item(_neighbours, _NEIGHBOURS),
 }
