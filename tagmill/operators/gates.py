@@ -1,48 +1,10 @@
-"""Guards of documents, verdicts joined to claims, and what is kept, flagged or dropped for them."""
+"""Verdicts joined to claims, tags bound to entities, and what is kept, flagged or dropped for them."""
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.functions.text import find_all
-
-
-class Guard(NamedTuple):
-    """A pattern that must not occur untagged; ``spared`` are patterns of matches that are no harm ('' for none)."""
-
-    problem: str
-    pattern: str
-    spared: str = ""
-
-
-#: Numbers of ten digits and more but for dates with times, grouped amounts and net masks; identifiers; brackets.
-GUARDS = (
-    Guard("unlisted number", r"(?<![0-9.])(?:[0-9][ .\-]?){10,}(?![0-9.])", r"\A[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}[ .\-][0-9]{1,2}\b|\A(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}[ T][0-9]{1,2}\b|\A[0-9]{1,3}(?:\.[0-9]{3}){3,}\z|\A(?:255|0)(?:\.(?:255|0)){3}\z"),
-    Guard("unlisted identifier", r"\b(?:[A-HJ-NPR-Z0-9]{17}|[0-9]{2} [A-Z]{1,3} [0-9]{2,4}|TR[0-9]{2}(?: ?[0-9]{4}){5} ?[0-9]{2})\b"),
-    Guard("stray bracket", r"[\[\]]"),
-)
-
-
-def guard_problems(docs: DataFrame, spans: DataFrame, known: DataFrame, key: str, guards: tuple[Guard, ...] = GUARDS) -> DataFrame:
-    """(key, problem, surface, start): the first match of each guard in ``docs`` (key, text) that no span covers and no known value explains.
-
-    ``spans`` has (key, start, end), ``known`` (key, value): a match is explained if its letters and digits are part of a
-    value's, or a value's of six or more are part of its. Null texts have no problems.
-    """
-    bare = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
-    said = lambda g: F.transform(find_all(F.col("text"), g.pattern), lambda m: F.struct(F.lit(g.problem).alias("problem"), m["text"].alias("surface"), m["start"].alias("start"), m["end"].alias("end"), (F.trim(m["text"]).rlike(g.spared) if g.spared else F.lit(False)).alias("spared")))
-    hits = docs.select(key, F.inline(F.concat(*(said(g) for g in guards)))).filter("not spared")
-    covers = spans.groupBy(key).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    values = known.filter("value is not null").groupBy(key).agg(F.collect_set(bare(F.col("value"))).alias("_values"))
-    m = hits.join(covers, key, "left").join(values, key, "left").withColumn("_m", bare(F.col("surface")))
-    covered = F.exists("_spans", lambda s: (s["start"] <= F.col("start")) & (F.col("end") <= s["end"]))
-    explained = F.exists("_values", lambda v: (F.col("_m") != "") & (F.contains(v, F.col("_m")) | ((F.length(v) >= 6) & F.contains(F.col("_m"), v))))
-    open_ = m.filter(~F.coalesce(covered, F.lit(False)) & ~F.coalesce(explained, F.lit(False)))
-    return open_.groupBy(key, "problem").agg(F.min(F.struct("start", "surface")).alias("f")).select(key, "problem", "f.surface", "f.start")
-
 
 def verdict_gate(claims: DataFrame, verdicts: DataFrame, keys: list[str]) -> DataFrame:
     """``claims`` with ``outcome`` and ``evidence`` by ``verdicts`` (keys, verdict, evidence).

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tagmill.functions.hashing import hash_uniform
 from tagmill.functions.text import find_all
 from tagmill.operators import gates as g
+from tagmill.operators import guards as gd
 from tagmill.operators import structures as st
 from tagmill.operators import vocabulary as vo
 from tagmill.plans import Item
@@ -72,12 +73,67 @@ select distinct * from (select 'label format' as problem, label as name from l w
   union all select 'no template', relation from r where trim(coalesce(template, '')) = '' union all select 'uncovered', label from l where label not in (select label from e))"""
 
 
+#: What is added to documents by turns, so that every guard has something to find; half of it is a known value of the document.
+_TAILS = (
+    "", "\nCall 0532 111 22 33 or 14.05.2025 09:30, 1.148.600.000 TL, 255.255.255.0", "\nPlate 34 ABC 123, WVWZZZ1JZXW000001 x34 AB 12", "\nYeni Mahallesi Gül Sokak No: 12", "\nAnadolu Gıda San. Tic. ve Kuzey A.Ş.",
+    "\nMedeni Durum: evli, Yaş: 40", "\nsee [1]", "\nTek yönlü olarak etiket", "\nHolder: kisisinin tam adinin ilki", "\nthe phone_number of ipv4", "\nTR33 0006 1005 1978 6457 8413 26",
+)
+_GUARDED = (*gd.GUARDS, gd.label_guard(["phone_number", "ipv4"]))
+
+
+def _guarded(spark, d):
+    tail = F.element_at(F.array(*(F.lit(t) for t in _TAILS)), (F.col("doc_id") % len(_TAILS) + 1).cast("int"))
+    return documents(spark, d, "doc_id", "text").withColumn("text", F.concat("text", tail))
+
+
 def _guards(spark, d):
-    """Documents with a long number, a plate or a bracket that no recognised mention covers, but for numbers of the document's own id."""
-    docs = documents(spark, d, "doc_id", "text")
+    """The first open match of each of the nine guards, with every other recognised mention as a span or as a known value."""
     spans = cut(gold(spark, d).select("doc_id", "start", "end", "surface"), "spans")
-    found = g.guard_problems(docs, spans.filter("start % 2 = 0"), spans.filter("start % 2 = 1").select("doc_id", F.col("surface").alias("value")), "doc_id")
-    return found.groupBy("problem").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
+    known = spans.filter("start % 2 = 1").select("doc_id", F.col("surface").alias("value"))
+    planted = table(spark, d, "documents", "doc_id").filter("doc_id % 2 = 0").select("doc_id", F.explode(F.array(F.lit("0532-111-22-33"), F.lit("34 ABC 123"), F.lit("TR33 0006 1005 1978 6457 8413 26"))).alias("value"))
+    return gd.guard_problems(_guarded(spark, d), spans.filter("start % 2 = 0"), known.unionByName(planted), "doc_id", _GUARDED).select("doc_id", "problem", F.md5("surface").alias("surface"), "start")
+
+
+def _guard_sql(g) -> str:
+    text = "lower(text)" if g.folded else "text"
+    q = g.pattern.replace("'", "''")
+    where = [f"length(regexp_replace(surface, '[^0-9]', '', 'g')) >= {g.least_digits}"] if g.least_digits else []
+    where += [f"not regexp_matches(surface, '^{g.spared}')"] if g.spared else []
+    word = r"[\p{L}\p{N}_]"
+    where += [f"not regexp_matches(case when s > 0 then substr({text}, s, 1) else '' end, '{word}') and not regexp_matches(substr({text}, s + length(surface) + 1, 1), '{word}')"] if g.edges else []
+    if g.closed_by == "inside":
+        where.append("not exists (select 1 from sp where sp.doc_id = h.doc_id and sp.s <= h.s and sp.e >= h.s + length(surface))")
+    if g.closed_by == "value":
+        where.append(r"not exists (select 1 from sp where sp.doc_id = h.doc_id and sp.s <= h.s + length(regexp_extract(surface, '^[^:]*:[ \t]*')) and sp.e > h.s + length(regexp_extract(surface, '^[^:]*:[ \t]*')))")
+    num = lambda c: f"regexp_replace({c}, '[^0-9]', '', 'g')"
+    if g.explained_by == "digits":
+        where.append(f"not exists (select 1 from kn where kn.doc_id = h.doc_id and {num('value')} <> '' and (contains({num('value')}, {num('surface')}) or contains({num('surface')}, {num('value')})))")
+    if g.explained_by == "text":
+        where.append("not exists (select 1 from kn where kn.doc_id = h.doc_id and contains(value, trim(surface)))")
+    return f"""select doc_id, '{g.problem}' as problem, surface, s from (select doc_id, text, ms[i] as surface, cast(coalesce(list_sum(list_transform(ps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) as int) as s
+  from (select *, unnest(range(1, len(ms) + 1)) as i from (select doc_id, text, regexp_extract_all({text}, '{q}') as ms, string_split_regex({text}, '{q}') as ps from docs))) h{' where ' + ' and '.join(where) if where else ''}"""
+
+
+_TAILS_SQL = "[" + ", ".join("'" + t.replace("\n", "' || chr(10) || '") + "'" for t in _TAILS) + "]"
+_GUARDS = f"""with recursive {MENTIONS_SQL}, docs as (select doc_id, text || {_TAILS_SQL}[cast(doc_id % {len(_TAILS)} as int) + 1] as text from documents),
+sp as (select doc_id, "start" as s, "end" as e from mentions where "start" % 2 = 0), kn as (select doc_id, surface as value from mentions where "start" % 2 = 1 union all select doc_id, unnest(['0532-111-22-33', '34 ABC 123', 'TR33 0006 1005 1978 6457 8413 26']) from documents where doc_id % 2 = 0),
+open as ({" union all ".join(_guard_sql(g) for g in _GUARDED)})
+select doc_id, problem, md5(surface) as surface, s as "start" from (select *, row_number() over (partition by doc_id, problem order by s, surface) as k from open) where k = 1"""
+
+
+def _zero(spark, d):
+    """Documents as ones that must hold no personal data: how many fail, and why."""
+    spans = gold(spark, d).select("doc_id", "start", "end")
+    return gd.zero_problems(_guarded(spark, d), spans, "doc_id").groupBy(F.array_join("problems", "/").alias("problems")).agg(F.count("*").alias("docs"))
+
+
+def _bare(g):
+    return g._replace(closed_by="", explained_by="")
+
+
+_ZERO = f"""with recursive {MENTIONS_SQL}, docs as (select doc_id, text || {_TAILS_SQL}[cast(doc_id % {len(_TAILS)} as int) + 1] as text from documents),
+p as (select distinct doc_id, problem from ({" union all ".join(_guard_sql(_bare(g)) for g in gd.GUARDS if g.problem in gd.ZERO)}) union select distinct doc_id, 'tagged span' from mentions)
+select problems, count(*) as docs from (select doc_id, string_agg(problem, '/' order by problem) as problems from p group by doc_id) group by 1"""
 
 
 def _verdicts(spark, d):
@@ -236,7 +292,8 @@ ITEMS = {
     "unique_names": Item(_unique, "select p_partkey, case when k = 1 then p_type else p_type || ' ' || k end as unique_name from (select *, row_number() over (partition by lower(p_type) order by p_partkey) as k from part)"),
     "canonical_relations": Item(_canonical, _CANONICAL),
     "taxonomy_validate": Item(_taxonomy, _TAXONOMY),
-    "document_guards": Item(_guards),
+    "document_guards": Item(_guards, _GUARDS),
+    "zero_data_gate": Item(_zero, _ZERO),
     "verdict_gate": Item(_verdicts, _VERDICTS),
     "verdict_parse": Item(_answers, _ANSWERS),
     "tag_binding": Item(_tags, _TAGS),
