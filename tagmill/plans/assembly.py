@@ -17,12 +17,12 @@ _WORD_SQL = WORD.replace("'", "''")
 
 
 def _turns(spark, d):
-    """Turns as documents; entities are letter runs cut at fixed places, some inside a word, some under a wrong span."""
-    c = table(spark, d, "conversations", "conv_id", "turn", "text").select(F.concat_ws(":", "conv_id", "turn").alias("doc"), "text").filter("length(text) > 40")
+    """Turns as documents; entities are letter runs at the beginning and places near the end, some inside a word, some under a wrong span."""
+    c = table(spark, d, "conversations", "conv_id", "turn", "text").select(F.concat_ws(":", "conv_id", "turn").alias("doc"), "text")
     n = F.length(F.regexp_extract("text", "^[A-Za-z]+", 0))
     ent = lambda i, label, a, e, span=None: F.struct(F.lit(i).alias("id"), F.lit(label).alias("label"), a.cast("int").alias("start"), e.cast("int").alias("end"), (span if span is not None else F.substring("text", a + 1, e - a)).alias("span"))
-    zero = F.lit(0)
-    es = F.array(ent("x", "first", zero, n), ent("y", "next", n + 1, n + 6), ent("z", "first", zero, n, F.lit("other")), ent("w", "blank", n, n + 1), ent("y", "tail", F.lit(20), F.lit(30)))
+    zero, late = F.lit(0), F.greatest(F.length("text") - 11, F.lit(0))
+    es = F.array(ent("x", "first", zero, n), ent("y", "next", n + 1, n + 6), ent("z", "first", zero, n, F.lit("other")), ent("w", "blank", n, n + 1), ent("y", "tail", late, F.greatest(F.length("text") - 1, late)))
     ents = c.filter(n > 0).select("doc", F.inline(es))
     rel = lambda i, name, h, t: F.struct(F.lit(i).alias("i"), F.lit(name).alias("relation"), F.lit(h).alias("head"), F.lit(t).alias("tail"))
     rels = c.filter(n > 0).select("doc", F.inline(F.array(rel(0, "follows", "x", "y"), rel(1, "follows", "z", "y"), rel(2, "holds", "w", "x"))))
@@ -38,8 +38,8 @@ def _built(spark, d):
 _SEP = "chr(31)"
 _J = lambda w: f"{_SEP} || array_to_string({w}, {_SEP} || {_SEP}) || {_SEP}"
 _LOW = lambda x: f"list_transform(regexp_extract_all({x}, '{_WORD_SQL}'), lambda q: lower(q))"
-_BUILT = f"""c as (select conv_id || ':' || turn as doc, text, length(regexp_extract(text, '^[A-Za-z]+')) as n from conversations where length(text) > 40),
-e0 as (select doc, text, unnest([{{'id': 'x', 'l': 'first', 'a': 0, 'e': n, 'sp': null}}, {{'id': 'y', 'l': 'next', 'a': n + 1, 'e': n + 6, 'sp': null}}, {{'id': 'z', 'l': 'first', 'a': 0, 'e': n, 'sp': 'other'}}, {{'id': 'w', 'l': 'blank', 'a': n, 'e': n + 1, 'sp': null}}, {{'id': 'y', 'l': 'tail', 'a': 20, 'e': 30, 'sp': null}}]) as e from c where n > 0),
+_BUILT = f"""c as (select conv_id || ':' || turn as doc, text, length(regexp_extract(text, '^[A-Za-z]+')) as n from conversations),
+e0 as (select doc, text, unnest([{{'id': 'x', 'l': 'first', 'a': 0, 'e': n, 'sp': null}}, {{'id': 'y', 'l': 'next', 'a': n + 1, 'e': n + 6, 'sp': null}}, {{'id': 'z', 'l': 'first', 'a': 0, 'e': n, 'sp': 'other'}}, {{'id': 'w', 'l': 'blank', 'a': n, 'e': n + 1, 'sp': null}}, {{'id': 'y', 'l': 'tail', 'a': greatest(length(text) - 11, 0), 'e': greatest(length(text) - 1, length(text) - 11, 0), 'sp': null}}]) as e from c where n > 0),
 e1 as (select doc, text, e.id, e.l as label, e.a, substr(text, e.a + 1, e.e - e.a) as surface, e.sp from e0),
 ents as (select *, len({_LOW('surface')}) > 0 and contains({_J(_LOW('text'))}, {_J(_LOW('surface'))}) as ok from e1),
 rels as (select doc, unnest([{{'i': 0, 'r': 'follows', 'h': 'x', 't': 'y'}}, {{'i': 1, 'r': 'follows', 'h': 'z', 't': 'y'}}, {{'i': 2, 'r': 'holds', 'h': 'w', 't': 'x'}}]) as r from c where n > 0),
@@ -73,7 +73,7 @@ def _negatives(spark, d):
     return _built(spark, d).relations.filter("negative").select("doc", "relation")
 
 
-_NEGATIVES = """with c as (select conv_id || ':' || turn as doc from conversations where length(text) > 40), g as (select doc, lower(n_name) as relation from (select distinct doc from c), nation)
+_NEGATIVES = """with c as (select conv_id || ':' || turn as doc from conversations), g as (select doc, lower(n_name) as relation from (select distinct doc from c), nation)
 select doc, relation from (select *, row_number() over (partition by doc order by md5('42|' || doc || '|' || relation), relation) as k from g) where k <= 2"""
 
 

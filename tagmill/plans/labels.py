@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from tagmill.functions.hashing import hash_uniform
 from tagmill.operators import graph, matching
+from tagmill.operators.constraints import at_least_level, cardinality, excludes, iff, implies
 from tagmill.operators.corpus import beside
 from tagmill.operators.ranking import ranked
-from tagmill.operators.constraints import at_least_level, cardinality, excludes, iff, implies
 from tagmill.plans import Item
-from tagmill.plans.derived import documents, u_sql
+from tagmill.plans.derived import MENTIONS_SQL, documents, gold, u_sql
 from tagmill.sources import table
+from tagmill.written import cut
 
 
 def _kleene(spark, d):
@@ -150,17 +151,17 @@ select conv_id, label, p from r where p >= 0.5 or (best < 0.5 and r = 1)"""
 
 
 def _components(spark, d):
-    """Documents whose first or whose last sixty characters are equal are coreferent, through others too; the component is the smallest doc_id.
+    """Documents that mention the same surface of a label are coreferent, through others too; the component is the smallest doc_id.
 
-    A document points at the least one of its beginning and at the least one of its end; both minima are pre-aggregated.
+    A document points at the least one that shares a surface; minima are pre-aggregated, so a frequent surface makes no pairs.
     """
-    docs = documents(spark, d, "doc_id", "text").select("doc_id", F.substring("text", 1, 60).alias("t"), F.substring("text", -60, 60).alias("s"))
-    edge = lambda k: docs.join(docs.groupBy(k).agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).filter("n > 1"), k).select(F.col("doc_id").alias("a"), "b")
-    return graph.components(edge("t").union(edge("s")))
+    m = cut(gold(spark, d).select("doc_id", "label", "surface").distinct(), "mentions")
+    least = m.groupBy("label", "surface").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).filter("n > 1")
+    return graph.components(m.join(least, ["label", "surface"]).select(F.col("doc_id").alias("a"), "b"))
 
 
-_COMPONENTS = """with recursive k as (select doc_id, substr(text, 1, 60) as t, right(text, 60) as s from documents),
-e as (select doc_id as a, min(doc_id) over (partition by t) as b, count(*) over (partition by t) as n from k union all select doc_id, min(doc_id) over (partition by s), count(*) over (partition by s) from k),
+_COMPONENTS = f"""with recursive {MENTIONS_SQL}, k as (select distinct doc_id, label, surface from mentions),
+e as (select doc_id as a, min(doc_id) over (partition by label, surface) as b, count(*) over (partition by label, surface) as n from k),
 both_ways as (select distinct a, b from e where n > 1 union select b, a from e where n > 1),
 r as (select a as id, a as seen from both_ways union select r.id, e.b from r join both_ways e on e.a = r.seen)
 select id, min(seen) as component from r group by id"""

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from tagmill.functions.hashing import hash_uniform
 from tagmill.functions.text import WORD, junk_reason, words
+from tagmill.operators.formatting import format_results
 from tagmill.operators.relations import match_records
+from tagmill.operators.sanitize import RECORD, sanitize
 from tagmill.operators.tokens import collapse_dots, detokenise, pack_sentences
 from tagmill.plans import Item
-from tagmill.plans.derived import documents, u_sql
+from tagmill.plans.derived import MENTIONS_SQL, documents, gold, u_sql
 from tagmill.sources import table
+from tagmill.written import cut
 
 _WORD_SQL = WORD.replace("'", "''")
 
@@ -93,18 +96,56 @@ select lang, cast(sum(n) as bigint) as raw, cast(sum(n - 1) as bigint) as repeat
 
 
 def _sanitize(spark, d):
-    """Records whose mentions must occur in their text: a type goes if one of its mentions is missing, a record if no type is left."""
-    docs = documents(spark, d, "doc_id", "text", "source", "lang")
-    first = F.regexp_extract("text", r"^[^ \t\n\r\f\x0B]+", 0)
-    kinds = F.array(F.struct(F.lit("first").alias("kind"), F.array(first, F.lower(first)).alias("mentions")), F.struct(F.lit("lang").alias("kind"), F.array(F.col("lang")).alias("mentions")), F.struct(F.lit("source").alias("kind"), F.array(F.col("source"), first).alias("mentions")))
-    low = F.lower("text")
-    good = F.filter(kinds, lambda k: F.forall(k["mentions"], lambda m: F.contains(low, F.lower(m))))
-    return docs.select("doc_id", F.size(good).alias("kinds"), F.array_join(F.transform(good, lambda k: k["kind"]), ",").alias("kept")).filter("kinds > 0")
-
-
-_SANITIZE = r"""with f as (select doc_id, lower(text) as t, lower(regexp_extract(text, '^[^ \t\n\r\f\v]+')) as w, lang, source from documents),
-k as (select doc_id, list_filter([case when contains(t, w) then 'first' end, case when contains(t, lang) then 'lang' end, case when contains(t, source) and contains(t, w) then 'source' end], lambda x: x is not null) as k from f)
-select doc_id, cast(len(k) as int) as kinds, array_to_string(k, ',') as kept from k where len(k) > 0"""
+    """Recognised mentions as nested records, with planted mentions, choices, values and relation ends that are not in the text."""
+    m = cut(gold(spark, d).select("doc_id", "start", "label", "surface"), "mentions")
+    k = F.col("doc_id")
+    per = m.groupBy("doc_id", "label").agg(F.array_sort(F.collect_set("surface")).alias("said"))
+    lied = per.withColumn("mentions", F.when((k % 7 == 0) & (F.col("label") == "email"), F.concat("said", F.array(F.lit("absent@mention")))).otherwise(F.transform("said", lambda x: F.upper(x))))
+    none = F.lit(None).cast("array<string>")
+    types = lied.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("label").alias("type"), "mentions")).alias("entities"), F.collect_list(F.struct(F.col("label").alias("name"), F.col("mentions").alias("values"), none.alias("choices"))).alias("own"))
+    after = Window.partitionBy("doc_id").orderBy("start")
+    pairs = m.withColumn("next", F.lead("surface").over(after)).withColumn("nth", F.row_number().over(after)).filter("next is not null")
+    ends = F.array(F.struct(F.lit("head").alias("name"), F.col("surface").alias("value")), F.struct(F.lit("tail").alias("name"), F.when((k % 3 == 0) & (F.col("nth") == 1), "nowhere to be found").otherwise(F.col("next")).alias("value")))
+    rels = pairs.groupBy("doc_id").agg(F.collect_list(F.struct(F.lit("before").alias("name"), ends.alias("fields"))).alias("relations"))
+    docs = documents(spark, d, "doc_id", "text", "lang", "n_chars").join(types, "doc_id").join(rels, "doc_id", "left")
+    size = F.when(k % 5 == 0, "odd").when(F.col("n_chars") > 3000, "long").otherwise("short")
+    more = F.array(F.struct(F.lit("lang").alias("name"), F.array("lang").alias("values"), none.alias("choices")), F.struct(F.lit("size").alias("name"), F.array(size).alias("values"), F.array(F.lit("short"), F.lit("long")).alias("choices")))
+    record = F.struct(
+        "entities", F.array(F.struct(F.lit("size").alias("task"), F.array(F.lit("short"), F.lit("long")).alias("labels"), F.array(size).alias("chosen"))).alias("classes"),
+        F.array(F.struct(F.lit("facts").alias("name"), F.concat("own", more).alias("fields"))).alias("structures"), "relations",
+    )
+    clean = sanitize(docs.withColumn("record", record.cast(RECORD)), "text", "record")
+    names = lambda c, f: F.array_join(F.array_sort(F.transform(c, f)), ",")
+    return clean.select("doc_id", names("record.entities", lambda e: e["type"]).alias("types"), F.size("record.classes").alias("classes"), names(F.flatten(F.transform("record.structures", lambda s: s["fields"])), lambda f: f["name"]).alias("fields"), F.size("record.relations").alias("relations"), "valid")
+
+
+_SANITIZE = f"""with recursive {MENTIONS_SQL}, m as (select doc_id, "start" as s, label, surface from mentions), t as (select distinct doc_id, label from m where not (doc_id % 7 = 0 and label = 'email')),
+o as (select *, lead(surface) over (partition by doc_id order by s) as nx, row_number() over (partition by doc_id order by s) as k from m),
+r as (select doc_id, count(*) as n from o where nx is not null and not (doc_id % 3 = 0 and k = 1) group by doc_id),
+f as (select doc_id, label as f from t union all select doc_id, 'lang' from documents where contains(lower(text), lang) union all select doc_id, 'size' from documents where doc_id % 5 <> 0)
+select *, types <> '' or classes > 0 or fields <> '' or relations > 0 as valid from (select d.doc_id, coalesce((select string_agg(label, ',' order by label) from t where t.doc_id = d.doc_id), '') as types, cast(case when d.doc_id % 5 = 0 then 0 else 1 end as int) as classes,
+  coalesce((select string_agg(f, ',' order by f) from f where f.doc_id = d.doc_id), '') as fields, cast(coalesce(r.n, 0) as int) as relations
+from documents d left join r on r.doc_id = d.doc_id where d.doc_id in (select doc_id from m))"""
+
+
+def _formatted(spark, d):
+    """Mentions, neighbouring pairs and labels of documents as formatted results, of which some were asked for in vain; one row a document and name."""
+    docs = documents(spark, d, "doc_id")
+    m = cut(gold(spark, d).select("doc_id", "label", F.col("surface").alias("text"), "start", "end", "confidence"), "mentions")
+    loud = m.withColumn("text", F.upper("text")).withColumn("confidence", F.col("confidence") - 0.01)
+    pairs = m.withColumn("tail", F.lead("text").over(Window.partitionBy("doc_id").orderBy("start"))).filter("tail is not null").select("doc_id", F.lit("before").alias("relation"), F.col("text").alias("head"), "tail", F.lit(1.0).alias("confidence"))
+    labels = table(spark, d, "labels", "doc_id", "quality").select("doc_id", F.lit("quality").alias("task"), F.when(F.col("quality") == 1, "good").otherwise("bad").alias("label"), F.lit(0.9).alias("confidence"))
+    out = format_results(docs, m.unionByName(loud), pairs, labels, "doc_id", {"entities": ["email", "passport"], "relations": ["before", "after"], "classes": ["quality", "tone"]})
+    each = lambda part, items: out.select("doc_id", F.lit(part).alias("part"), F.explode(items).alias("name", "items")).select("doc_id", "part", "name", F.size("items").cast("long").alias("n"), F.md5(F.array_join("items", "|")).alias("items"))
+    plain = F.transform_values("relations", lambda _, v: F.transform(v, lambda p: F.concat_ws(">", p["head"], p["tail"])))
+    return each("entities", F.col("entities")).unionByName(each("relations", plain)).unionByName(each("classes", F.col("classes")))
+
+
+_FORMATTED = f"""with recursive {MENTIONS_SQL}, o as (select doc_id, "start" as s, surface, lead(surface) over (partition by doc_id order by "start") as nx from mentions), p as (select distinct doc_id, surface || '>' || nx as x, surface as h, nx from o where nx is not null),
+i as (select doc_id, 'entities' as part, label as name, count(*) as n, string_agg(surface, '|' order by "start") as items from mentions group by all union all select doc_id, 'relations', 'before', count(*), string_agg(x, '|' order by h, nx) from p group by doc_id
+  union all select doc_id, 'classes', 'quality', count(distinct quality), string_agg(distinct case quality when 1 then 'good' else 'bad' end, '|') from labels where doc_id in (select doc_id from documents) group by doc_id),
+a as (select doc_id, unnest([{{'p': 'entities', 'n': 'email'}}, {{'p': 'entities', 'n': 'passport'}}, {{'p': 'relations', 'n': 'before'}}, {{'p': 'relations', 'n': 'after'}}, {{'p': 'classes', 'n': 'quality'}}, {{'p': 'classes', 'n': 'tone'}}]) as x from (select distinct doc_id from documents))
+select doc_id, part, name, n, md5(items) as items from i union all select doc_id, x.p, x.n, 0, md5('') from a where (doc_id, x.p, x.n) not in (select (doc_id, part, name) from i)"""
 
 ITEMS = {
     "detokenise": Item(_detokenise, _DETOKENISE),
@@ -112,4 +153,5 @@ ITEMS = {
     "relation_eval": Item(_relations, _RELATIONS),
     "conservation_check": Item(_conservation, _CONSERVATION),
     "sanitize_records": Item(_sanitize, _SANITIZE),
+    "formatted_results": Item(_formatted, _FORMATTED),
 }

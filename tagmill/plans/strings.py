@@ -37,7 +37,7 @@ select p_partkey, upper(translate(n, 'iı', 'İI')) as upper, array_to_string(w,
 
 def _fences(spark, d):
     c = table(spark, d, "conversations", "conv_id", "turn", "text")
-    raw = F.concat(F.lit("```json\n"), F.substring("text", 1, 50), F.lit("\n```\n"), F.when(F.col("turn") % 2 == 0, "==END==").otherwise(""))
+    raw = F.concat(F.lit("```json\n"), F.col("text"), F.lit("\n```\n"), F.when(F.col("turn") % 2 == 0, "==END==").otherwise(""))
     text, done = t.without_fences(raw, "==END==")
     return c.select("conv_id", "turn", F.md5(F.regexp_replace(text, r"\s", "")).alias("md5"), done.alias("complete"))
 
@@ -99,7 +99,7 @@ def _heat(spark, d):
 ITEMS = {
     "word_splitters": Item(_splitters, _SPLITTERS),
     "text_cases": Item(_cases, _CASES),
-    "fence_strip": Item(_fences, r"select conv_id, turn, md5(regexp_replace(substr(text, 1, 50), '\s', '', 'g')) as md5, turn % 2 = 0 as complete from conversations"),
+    "fence_strip": Item(_fences, r"select conv_id, turn, md5(regexp_replace(text, '\s', '', 'g')) as md5, turn % 2 = 0 as complete from conversations"),
     "junk_mentions": Item(_junk, _JUNK),
     "mention_context": Item(_context, _CONTEXT),
     "device_numbers": Item(_devices, _DEVICES),

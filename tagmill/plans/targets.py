@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tagmill.functions import text as t
 from tagmill.functions.hashing import hash_uniform
+from tagmill.functions.text import find_all
 from tagmill.operators import chunks as ch
 from tagmill.operators import targets as tg
 from tagmill.operators.structures import cells_to_spans
@@ -114,13 +115,13 @@ _CHUNKED = "c as (select doc_id, text, cast(s // 800 as int) as chunk, s, substr
 
 def _remap(spark, d):
     docs, chunks = _chunked(spark, d)
-    at = chunks.select("doc_id", "chunk", F.instr("piece", "@").alias("at")).filter("at > 0")
-    items = at.select("doc_id", "chunk", (F.col("at") - 1).alias("start"), (F.col("at") + 3).alias("end"), F.lit("?").alias("surface"))
+    at = chunks.select("doc_id", "chunk", F.inline(find_all(F.col("piece"), "@")))
+    items = at.select("doc_id", "chunk", "start", (F.col("start") + 4).alias("end"), F.lit("?").alias("surface"))
     return ch.remap(items, chunks, docs, "doc_id")
 
 
-_REMAP = f"""with {_CHUNKED}, i as (select *, instr(piece, '@') as a from c)
-select doc_id, chunk, cast(s + a - 1 as int) as "start", cast(s + a + 3 as int) as "end", case when s + a + 3 <= length(text) then substr(text, s + a, 4) else '?' end as surface from i where a > 0"""
+_REMAP = f"""with {_CHUNKED}, i as (select doc_id, chunk, s, text, unnest(list_filter(range(1, length(piece) + 1), lambda i: substr(piece, i, 1) = '@')) as a from c where contains(piece, '@'))
+select doc_id, chunk, cast(s + a - 1 as int) as "start", cast(s + a + 3 as int) as "end", case when s + a + 3 <= length(text) then substr(text, s + a, 4) else '?' end as surface from i"""
 
 
 def _votes(spark, d):
