@@ -25,6 +25,8 @@ from tagmill.written import cut, forget
 CURVES, DIMS, BITS = 16, 4, 8
 #: Vectors the grid is fitted on and queries the window is fitted on, at most; wanted recall on these; rows of a block at least and at most.
 FIT_ROWS, FIT_QUERIES, RECALL, BLOCK, BLOCK_MOST = 4096, 128, 0.96, 2048, 16384
+#: Queries that meet a block in one task, about.
+QUERIES_MOST = 4096
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -175,7 +177,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = R
     block = int(min(max(BLOCK, window), BLOCK_MOST))
     rows = ranked.filter("not asks").select((F.col("place") / block).cast("long").alias("block"), "rep").join(classes.select("rep", "embedding"), "rep")
     reach = F.sequence(F.floor(F.greatest(F.col("place") - window, F.lit(0)) / block), F.floor((F.col("place") + window) / block))
-    asked = ranked.filter("asks").select("rep", F.explode(reach).alias("block")).distinct().join(questions, "rep").select(F.col("block").alias("asked"), F.col("rep").alias("q"), F.col("embedding").alias("wanted"))
+    asked = ranked.filter("asks").select("rep", F.explode(reach).alias("block")).distinct()
+    # a block that many queries reach is dealt into parts, each with its share of the queries and all rows of the block
+    crowded = cut(asked.groupBy("block").agg(F.ceil(F.count("*") / QUERIES_MOST).cast("int").alias("parts")).filter("parts > 1"), "crowded")
+    part_of = F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1))).cast("int")
+    asked = asked.join(crowded, "block", "left").select("rep", F.col("block").alias("asked"), part_of.alias("asked_part")).join(questions, "rep").select("asked", "asked_part", F.col("rep").alias("q"), F.col("embedding").alias("wanted"))
+    rows = rows.join(crowded, "block", "left").select("block", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), "rep", "embedding")
 
     def scored(key: tuple, own: pa.Table, queries: pa.Table) -> pa.Table:
         q, ids = queries.column("q").to_numpy(), own.column("rep").to_numpy()
@@ -189,7 +196,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = R
             found.append((q[a + r], ids[c], s[r, c]))
         return pa.table({n: np.concatenate([f[i] for f in found]) for i, n in enumerate(("q", "rep", "score"))})
 
-    candidates = rows.groupBy("block").cogroup(asked.groupBy("asked")).applyInArrow(scored, "q long, rep long, score double")
+    candidates = rows.groupBy("block", "part").cogroup(asked.groupBy("asked", "asked_part")).applyInArrow(scored, "q long, rep long, score double")
     merged = candidates.groupBy("q", "rep").agg(F.max("score").alias("score"))
     top = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
     classes_found = cut(merged.withColumn("nth", F.row_number().over(top)).filter(F.col("nth") <= k + 1).drop("nth"), "found")

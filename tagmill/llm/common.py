@@ -68,6 +68,11 @@ class HashCache(dict):
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
+def lowered(text: str | None) -> bytes:
+    """The text in UTF-8, A-Z lower-cased; null is empty."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
+
+
 def byte_words(text: str | None, lower: bool = False) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` in UTF-8: bytes.split() cuts at exactly those six characters."""
     raw = (text or "").encode("utf-8", "surrogatepass")

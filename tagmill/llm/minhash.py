@@ -16,6 +16,7 @@ sample the union without replacement, share too little are not verified: at 5.5
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import HashCache, bounded_batches, byte_words, mix64, slices
+from tagmill.llm.common import HashCache, bounded_batches, lowered, mix64, slices
 from tagmill.operators.graph import components
 from tagmill.written import cut, forget
 
@@ -33,17 +34,28 @@ SLOTS, ROWS = 252, 6
 BLOCK, ERRORS = (256, 1024), 5.5
 #: Bins of a sketch.
 BINS = 512
-#: Elements whose steps are taken together.
-_CHUNK = 1 << 15
+#: Elements whose steps are taken together, and bytes of a text that are cut into words at a time.
+_CHUNK, _PIECE = 1 << 15, 1 << 20
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 _U = np.uint64
 
 
+def word_runs(text: str | None) -> Iterator[list[bytes]]:
+    """The text's lower-cased words in order, those of about _PIECE bytes at a time."""
+    raw = lowered(text)
+    at = 0
+    while at < len(raw):
+        gap = _GAP.search(raw, min(at + _PIECE, len(raw)))
+        end = gap.end() if gap else len(raw)
+        yield raw[at:end].split()
+        at = end
+
+
 def shingle_hashes(text: str | None, words: int, cache: HashCache) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles of ``words`` lower-cased words; fewer words make one shingle, none an empty set."""
-    found = byte_words(text, lower=True)
-    if not found:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(cache.__getitem__, found), np.uint64, len(found))
+    w = np.concatenate([np.fromiter(map(cache.__getitem__, found), np.uint64, len(found)) for found in word_runs(text)] or [np.empty(0, np.uint64)])
+    if not len(w):
+        return w
     k = min(words, len(w))
     h = np.full(len(w) - k + 1, k, np.uint64)
     for i in range(k):
@@ -52,7 +64,11 @@ def shingle_hashes(text: str | None, words: int, cache: HashCache) -> np.ndarray
 
 
 def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
-    """SuperMinHash of each set, one row of ``slots`` values; an entry is ``step << 32 | fraction``. Empty sets keep the largest value."""
+    """SuperMinHash of each set, one row of ``slots`` values; an entry is ``step << 32 | fraction``. Empty sets keep the largest value.
+
+    Small sets are taken together, a large one piece by piece into the same row: minima don't care, and a row that is
+    nearly filled ends the steps of later pieces early. So no more than _CHUNK elements have their permutations open.
+    """
     sig = np.full((len(sets), slots), np.iinfo(np.uint64).max, np.uint64)
     start = 0
     while start < len(sets):
@@ -60,7 +76,11 @@ def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
         while end < len(sets) and (end == start or size + len(sets[end]) <= _CHUNK):
             size += len(sets[end])
             end += 1
-        _fill(sig[start:end], sets[start:end], slots)
+        if end == start + 1:
+            for a in range(0, len(sets[start]), _CHUNK):
+                _fill(sig[start:end], [sets[start][a : a + _CHUNK]], slots)
+        else:
+            _fill(sig[start:end], sets[start:end], slots)
         start = end
     return sig
 
