@@ -49,16 +49,6 @@ def _dump(spark, d):
     return readers.read_dump(spark, path, ["key", "name", "region"])
 
 
-def _dimensions(spark, d):
-    """Nations by region as JSON arrays, a file each, read as one dimension; a name that two files hold is the first file's."""
-    path = new_folder(spark, "dims")
-    n = table(spark, d, "nation", "n_nationkey", "n_name", "n_regionkey").withColumn("file", F.concat(F.lit("r"), F.col("n_regionkey").cast("string")))
-    arrays = n.groupBy("file").agg(F.to_json(F.sort_array(F.collect_list(F.struct(F.col("n_nationkey").alias("id"), F.lower("n_name").alias("name"))))).alias("value"))
-    arrays.write.partitionBy("file").text(path)
-    rows = spark.read.schema("id long, name string, file string").option("multiLine", True).json(path)
-    return rows.groupBy("file").agg(F.count("*").alias("n"), F.min("name").alias("first"))
-
-
 def _splits(spark, d):
     """Documents in split files, and in review files of ten a language, counted as read back."""
     docs = documents(spark, d, "doc_id", "lang").withColumn("split", F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train"))
@@ -109,7 +99,6 @@ ITEMS = {
     "jsonl_quarantine": Item(_quarantine, _QUARANTINE),
     "csv_weights": Item(_weights, "select c_name as name, cast(c_custkey % 7 as double) as weight from customer where c_custkey % 4 <> 0 and c_custkey % 7 > 0"),
     "sql_dump": Item(_dump, "select cast(n_nationkey as varchar) as key, 'O''' || n_name || ' (a, b'')' as name, case when n_regionkey <> 2 then cast(n_regionkey as varchar) end as region from nation"),
-    "json_dimensions": Item(_dimensions, "select 'r' || n_regionkey as file, count(*) as n, min(lower(n_name)) as first from nation group by 1"),
     "split_files": Item(_splits, _SPLITS),
     "gold_files": Item(_gold, "select role as label, count(*) as gold, count(*) filter (turn % 2 = 0) as hits from conversations where role <> 'system' group by 1"),
     "appended_flags": Item(_appended, "select event_type, count(distinct user_id) as flags, count(distinct user_id) as degree from events group by 1"),
