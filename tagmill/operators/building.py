@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tagmill.functions.hashing import hash_order
 from tagmill.functions.text import closed, low_words
+from tagmill.operators.corpus import with_row
 from tagmill.operators.targets import has_run
 from tagmill.written import cut
 
@@ -58,11 +59,11 @@ def absent_types(docs: DataFrame, relations: DataFrame, key: str, types: DataFra
 
     The names are one small array, aggregated once, that goes beside each document; no grid of documents and names is joined.
     """
-    names = types.agg(F.sort_array(F.collect_set("relation")).alias("_all")).withColumn("_one", F.lit(1))
-    have = docs.select(key).distinct().join(relations.groupBy(key).agg(F.collect_set("relation").alias("_have")), key, "left").withColumn("_one", F.lit(1))
+    names = types.agg(F.sort_array(F.collect_set("relation")).alias("_all"))
+    have = docs.select(key).distinct().join(relations.groupBy(key).agg(F.collect_set("relation").alias("_have")), key, "left")
     lacking = F.array_except("_all", F.coalesce("_have", F.array().cast("array<string>")))
     ordered = F.array_sort(F.transform(lacking, lambda r: F.struct(hash_order(seed, F.col(key), r).alias("h"), r.alias("r"))))
-    chosen = have.join(F.broadcast(names), "_one").select(key, F.explode(F.slice(ordered, 1, most)).alias("s"))
+    chosen = with_row(have, names).select(key, F.explode(F.slice(ordered, 1, most)).alias("s"))
     return chosen.select(key, F.col("s.r").alias("relation"), F.lit("").alias("head"), F.lit("").alias("tail"), F.lit(True).alias("negative"))
 
 

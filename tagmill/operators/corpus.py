@@ -36,6 +36,18 @@ def beside(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner")
     return left.join(renamed, same, how).drop(*(f"_r_{c}" for c in on))
 
 
+def with_row(rows: DataFrame, row: DataFrame) -> DataFrame:
+    """``rows``, each with the columns of ``row``, a table of one row of any size.
+
+    The row is copied for as many salts as there are shuffle partitions and rows are dealt over these, so Spark may broadcast it if
+    it is small and else spreads the join evenly. No row in ``row`` gives no row.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(n)))
+    copies = row.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")).alias("_salt"))
+    return salted.join(copies, "_salt").drop("_salt")
+
+
 def conflict_drop(rows: DataFrame, key: Column, tag: Column, order: str) -> DataFrame:
     """Groups of equal ``key``: with one tag the first row by ``order`` stays, with several none does.
 

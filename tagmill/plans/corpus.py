@@ -92,8 +92,8 @@ def _negative_types(spark, d):
     """For each user with events of high value, one event type among the absent ones, chosen by hash."""
     e = table(spark, d, "events", "user_id", "event_type", "value").filter("value > 90")
     have = e.groupBy("user_id").agg(F.collect_set("event_type").alias("have"))
-    types = e.groupBy(F.lit(1).alias("one")).agg(F.sort_array(F.collect_set("event_type")).alias("types"))  # the vocabulary, one row
-    absent = have.withColumn("one", F.lit(1)).join(F.broadcast(types), "one").select("user_id", F.explode(F.array_except("types", "have")).alias("event_type"))
+    types = e.agg(F.sort_array(F.collect_set("event_type")).alias("types"))  # the vocabulary, one row
+    absent = c.with_row(have, types).select("user_id", F.explode(F.array_except("types", "have")).alias("event_type"))
     return c.keep_first(absent.withColumn("h", hash_order(7, F.col("user_id"), F.col("event_type"))), [F.col("user_id")], ["h", "event_type"]).select("user_id", "event_type")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tagmill.functions.hashing import hash_uniform
 from tagmill.operators import graph, matching
 from tagmill.operators.constraints import at_least_level, cardinality, excludes, iff, implies
-from tagmill.operators.corpus import beside
+from tagmill.operators.corpus import beside, with_row
 from tagmill.operators.ranking import ranked
 from tagmill.plans import Item
 from tagmill.plans.derived import MENTIONS_SQL, documents, gold, u_sql
@@ -91,9 +91,9 @@ def _centred(spark, d):
     e = table(spark, d, "embeddings", "vec_id", "embedding", "label")
     long_ = e.select("label", F.posexplode("embedding").alias("i", "x"))
     means = long_.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m")).groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
-    nodes = means.groupBy(F.lit(1).alias("one")).agg(F.sort_array(F.collect_list(F.struct("label", "mean"))).alias("nodes"))
+    nodes = means.agg(F.sort_array(F.collect_list(F.struct("label", "mean"))).alias("nodes"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0).cast("double"), lambda s, x: s + x)
-    scored = e.withColumn("one", F.lit(1)).join(F.broadcast(nodes), "one").select("vec_id", F.transform("nodes", lambda n: F.struct(n["label"].alias("node"), (dot(F.col("embedding"), n["mean"]) / F.sqrt(dot(n["mean"], n["mean"])) / F.sqrt(dot(F.col("embedding"), F.col("embedding")))).alias("c"))).alias("s"))
+    scored = with_row(e, nodes).select("vec_id", F.transform("nodes", lambda n: F.struct(n["label"].alias("node"), (dot(F.col("embedding"), n["mean"]) / F.sqrt(dot(n["mean"], n["mean"])) / F.sqrt(dot(F.col("embedding"), F.col("embedding")))).alias("c"))).alias("s"))
     mean = F.aggregate("s", F.lit(0.0).cast("double"), lambda a, x: a + x["c"]) / F.size("s")
     flat = scored.withColumn("mean", mean).select("vec_id", "mean", F.inline("s")).select("vec_id", "node", F.round(F.col("c") - F.col("mean"), 7).alias("centred"))
     nth = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("centred"), "vec_id"))
@@ -197,7 +197,7 @@ def _typed(spark, d):
     o = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderpriority")
     c = table(spark, d, "customer", "c_custkey", "c_mktsegment").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 11 != 0, F.col("c_mktsegment")))
     allowed = c.select(F.col("c_mktsegment").alias("head")).distinct().filter("head is not null").withColumn("tail", F.explode(F.array(F.lit("1-URGENT"), F.lit("2-HIGH")))).filter("head <> 'MACHINERY'").withColumn("ok", F.lit(True))
-    j = o.join(c, o["o_custkey"] == c["c_custkey"]).select("o_orderkey", F.col("c_mktsegment").alias("head"), F.col("o_orderpriority").alias("tail")).join(F.broadcast(allowed), ["head", "tail"], "left")
+    j = o.join(c, o["o_custkey"] == c["c_custkey"]).select("o_orderkey", F.col("c_mktsegment").alias("head"), F.col("o_orderpriority").alias("tail")).join(allowed, ["head", "tail"], "left")
     reason = F.when(F.col("head").isNull(), "unlabelled").when(F.col("ok").isNull(), "not allowed").otherwise("kept")
     return j.groupBy(reason.alias("outcome")).agg(F.count("*").alias("n"))
 

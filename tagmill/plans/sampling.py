@@ -72,8 +72,8 @@ _RENAMED = _renamed_sql("lang", "['language', 'tongue']") + " union all " + _ren
 def _expand(spark, d):
     """Every event type of the vocabulary for each user: those the user lacks with no value."""
     e = table(spark, d, "events", "user_id", "event_type", "value").groupBy("user_id", "event_type").agg(F.round(F.sum("value"), 4).alias("value"))
-    types = e.agg(F.sort_array(F.collect_set("event_type")).alias("types")).withColumn("one", F.lit(1))
-    have = e.groupBy("user_id").agg(F.collect_set("event_type").alias("have")).withColumn("one", F.lit(1)).join(F.broadcast(types), "one")
+    types = e.agg(F.sort_array(F.collect_set("event_type")).alias("types"))
+    have = c.with_row(e.groupBy("user_id").agg(F.collect_set("event_type").alias("have")), types)
     absent = have.select("user_id", F.explode(F.array_except("types", "have")).alias("event_type")).withColumn("value", F.lit(None).cast("double"))
     return e.unionByName(absent).groupBy("event_type").agg(F.count("value").alias("there"), F.count_if(F.col("value").isNull()).alias("absent"))
 

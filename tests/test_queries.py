@@ -1,4 +1,4 @@
-"""Every registered query with SQL gives DuckDB's rows on the smallest tables, under two partitionings."""
+"""Every registered query with SQL gives DuckDB's rows on tables with all cases, under two partitionings."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import pytest
 
 from tagmill.plans import registry
 
-DATA = Path("/root/testdata/sf0.001")
+DATA = Path("/root/testdata/sf0.01")
 ITEMS = registry()
 
 
