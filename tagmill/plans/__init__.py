@@ -18,9 +18,9 @@ class Item:
 
 def registry() -> dict[str, Item]:
     """All queries of the package outside ``llm``."""
-    from tagmill.plans import assembly, building, builds, bundles, corpus, decoding, edges, files, flows, labels, recognition, records, reports, sampling, strings, targets, text
+    from tagmill.plans import assembly, building, builds, bundles, corpus, decoding, edges, files, flows, labels, recognition, records, reports, sampling, strings, targets, text, variants
 
     found: dict[str, Item] = {}
-    for module in (recognition, text, corpus, labels, records, building, edges, targets, strings, assembly, sampling, reports, files, decoding, flows, bundles, builds):
+    for module in (recognition, text, corpus, labels, records, building, edges, targets, strings, assembly, sampling, reports, files, decoding, flows, bundles, builds, variants):
         found |= module.ITEMS
     return found

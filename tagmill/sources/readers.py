@@ -99,3 +99,9 @@ def read_gold(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def last_predictions(rows: DataFrame) -> DataFrame:
     """(docname, spans) with one row for each document of ``rows`` (docname, line, spans): the one of the last line."""
     return rows.groupBy("docname").agg(F.max_by("spans", "line").alias("spans"))
+
+
+def read_typed(spark: SparkSession, path: str, nested: dict[str, str]) -> DataFrame:
+    """A table whose ``nested`` columns (name to type) are JSON text, as ``write_typed`` leaves them, with these parsed; a text that doesn't fit fails the job."""
+    rows = spark.read.parquet(path)
+    return rows.select(*(F.from_json(c, nested[c], {"mode": "FAILFAST"}).alias(c) if c in nested else F.col(c) for c in rows.columns))

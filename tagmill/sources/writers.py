@@ -49,3 +49,9 @@ def graph_tables(edges: DataFrame, path: str) -> None:
     edges.write.mode("overwrite").parquet(f"{path}/edges")
     ends = edges.select(F.explode(F.array("a", "b")).alias("id"))
     ends.groupBy("id").agg(F.count("*").alias("degree")).write.mode("overwrite").parquet(f"{path}/vertices")
+
+
+def write_typed(rows: DataFrame, path: str) -> None:
+    """Parquet with plain columns as they are and nested ones (arrays, structs, maps) as JSON text, for readers that know no nesting; nulls stay null."""
+    nested = {f.name for f in rows.schema if f.dataType.typeName() in ("array", "struct", "map")}
+    rows.select(*(F.to_json(c).alias(c) if c in nested else F.col(c) for c in rows.columns)).write.mode("overwrite").parquet(path)
