@@ -169,7 +169,8 @@ def _faults(rows: DataFrame) -> DataFrame:
 
 
 def digest_of(text: Column) -> Column:
-    return F.unhex(F.sha2(text, 256))
+    """The first 128 bits of the SHA-256."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
 
 
 def ordered_rows(rows: DataFrame) -> DataFrame:
@@ -337,12 +338,19 @@ def repair(rows: DataFrame) -> DataFrame:
     return together(routed).mapInArrow(_edited, f"{own}, edits string, before array<string>, new_role string, after array<string>")
 
 
+_KEYS = ["conv_id", "turn", "role", "digest"]
+
+
+def _texts(rows: DataFrame) -> DataFrame:
+    """Texts under the keys of their edits."""
+    text, role = F.coalesce("text", F.lit(" ")), F.coalesce("role", F.lit(" "))
+    return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), digest_of(text).alias("digest"), text.alias("text"))
+
+
 def with_texts(edits: DataFrame, rows: DataFrame) -> DataFrame:
     """``edits`` with the texts of the rows that stay; each text travels once, whatever its copies."""
-    text, role = F.coalesce("text", F.lit(" ")), F.coalesce("role", F.lit(" "))
-    keys = ["conv_id", "turn", "role", "digest"]
-    said = rows.select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), digest_of(text).alias("digest"), text.alias("text"))
-    told = said.groupBy(*keys).agg(F.first("text").alias("text")).select(*(F.col(c).alias(f"_{c}") for c in keys), "text")
+    keys = _KEYS
+    told = _texts(rows).groupBy(*keys).agg(F.first("text").alias("text")).select(*(F.col(c).alias(f"_{c}") for c in keys), "text")
     same = F.col("new_role").isNotNull()
     for c in keys:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
@@ -362,8 +370,15 @@ _LEGAL = {"su", "ua", "au"}
 
 
 def _reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a conversation from its rows in order; a text is hashed and forgotten."""
-    last, told, kind, begun = None, [], None, False
+    """One row a conversation from its edits in order, each followed by its texts; a text is hashed and forgotten."""
+    last, told, kind, begun, waiting = None, [], None, False, None
+
+    def say(row: dict, text: str) -> None:
+        nonlocal first
+        own = [(row["new_role"], text)] if row["new_role"] is not None else []
+        for role, said in [*((r, "") for r in row["before"]), *own, *((r, "") for r in row["after"])]:
+            hashed.update(f"{'' if first else chr(10)}{role}:{said}".encode("utf-8", "surrogatepass"))
+            first = False
 
     def close() -> None:
         spread = n["high"] - n["low"] + 1 - n["turns"] if n["turns"] else 0
@@ -376,6 +391,11 @@ def _reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kind = batch.schema.field("conv_id").type
         for row in batch.to_pylist():
+            if row["edits"] is None:  # a text: that of the row before, or one more copy, or of a deleted row
+                if waiting is not None:
+                    say(waiting, row["text"])
+                    waiting = None
+                continue
             if not begun or row["conv_id"] != last:
                 if begun:
                     close()
@@ -393,10 +413,10 @@ def _reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             edits = row["edits"]
             n["cost"] += DELETE * edits.count("D") + INSERT * edits.count("I") + REROLE * edits.count("R") + (TRUNCATED if counts and row["new_role"] is not None else 0)
             audit.append(edits)
-            own = [(row["new_role"], row["text"])] if row["new_role"] is not None else []
-            for role, text in [*((r, "") for r in row["before"]), *own, *((r, "") for r in row["after"])]:
-                hashed.update(f"{'' if first else chr(10)}{role}:{text}".encode("utf-8", "surrogatepass"))
-                first = False
+            if row["new_role"] is None:
+                say(row, "")
+            else:
+                waiting = row
         if len(told) > GIVEN:
             yield batch_of()
             told.clear()
@@ -410,9 +430,14 @@ def report(edits: DataFrame, rows: DataFrame) -> DataFrame:
 
     A row's first fault counts. ``gaps`` are the turns missing between the least and the largest, as far as a long goes. The hash
     reads ``role:text`` of the repaired rows, joined by newlines, so one task reads a conversation through, row by row; the audit is one value.
+    Edits and texts have one order, so they meet by it and not in a join: texts travel once.
     """
     bounded_batches(rows.sparkSession)
     kind = rows.schema["conv_id"].dataType.simpleString()
-    full = with_texts(edits, rows).select("conv_id", "at", "turn", "role", "blank", "truncated", "duplicate", "copies", "edits", "before", "new_role", "after", "text")
+    own = ["blank", "truncated", "duplicate", "copies", "edits", "before", "new_role", "after"]
+    told = edits.select(*_KEYS, *own, F.lit(None).cast("string").alias("text"))
+    none = [F.lit(None).cast(told.schema[c].dataType).alias(c) for c in own]
+    both = told.unionByName(_texts(rows).select(*_KEYS, *none, "text"))
     counted = ", ".join(f"{c} long" for c in _REPORT[:6])
-    return full.repartition("conv_id").sortWithinPartitions("conv_id", "at").mapInArrow(_reported, f"conv_id {kind}, {counted}, audit string, repaired_sha256 string")
+    ordered = both.repartition("conv_id").sortWithinPartitions(*_KEYS, F.col("edits").isNull())
+    return ordered.drop("digest").mapInArrow(_reported, f"conv_id {kind}, {counted}, audit string, repaired_sha256 string")

@@ -152,7 +152,7 @@ def plain_damage(rows: list[tuple]) -> dict:
         mine = found.setdefault(conv, [])
         if kind:
             mine += [(turn, "user" if kind == 4 else role, text)] * (2 if kind == 3 else 1)
-    key = lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.sha256(r[2].encode()).digest())
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.sha256(r[2].encode()).digest()[:16])
     return {c: sorted(r, key=key) for c, r in found.items()}
 
 
