@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagmill.operators.corpus import equal_or_null
 from tagmill.operators.spans import allow, best_total, greedy, nested, outermost
 
 #: Names under which a policy may be asked for.
@@ -19,15 +20,23 @@ def policy(name: str):
     return found
 
 
-def decode_candidates(scores: DataFrame, keys: list[str], thresholds: dict[str, float], default: float = 0.5, overlap: str = "greedy", scalar: tuple[str, ...] = ()) -> DataFrame:
+def decode_candidates(scores: DataFrame, keys: list[str], thresholds: dict[str, float], default: float = 0.5, overlap: str = "greedy", scalar: tuple[str, ...] = (), gates: DataFrame | None = None, valid: dict[str, Column] | None = None) -> DataFrame:
     """Spans (keys, label, start, end, confidence, …) of ``scores`` (…, logit) that reach their label's threshold, resolved per label.
 
-    Labels in ``scalar`` give their best span alone. Place in the document's order, by confidence, start, end and label, is ``rank``.
+    ``gates`` (keys, label, open) shuts labels of some keys: where ``open`` is false there is no span; where it is null or there is
+    no gate, there may be. ``valid`` gives labels a condition on the candidate's columns, which holds before overlaps are
+    resolved, so an invalid span suppresses nothing. Labels in ``scalar`` give their best span alone. Place in the document's order, by confidence, start, end and label, is ``rank``.
     """
     limit = F.lit(default)
     for name, t in thresholds.items():
         limit = F.when(F.col("label") == name, F.lit(t)).otherwise(limit)
-    passed = scores.withColumn("confidence", F.round(1 / (1 + F.exp(-F.col("logit"))), 9)).filter(F.col("confidence") >= limit).drop("logit")
+    live = scores
+    if gates is not None:
+        shut = gates.filter("not open").select(*keys, "label").distinct()
+        live = live.join(shut, equal_or_null(live, shut, [*keys, "label"]), "left_anti")
+    for name, holds in (valid or {}).items():
+        live = live.filter((F.col("label") != name) | F.coalesce(holds, F.lit(False)))
+    passed = live.withColumn("confidence", F.round(1 / (1 + F.exp(-F.col("logit"))), 9)).filter(F.col("confidence") >= limit).drop("logit")
     kept = policy(overlap)(passed, [*keys, "label"])
     order = [F.desc("confidence"), "start", "end"]
     first = F.row_number().over(Window.partitionBy(*keys, "label").orderBy(*order))

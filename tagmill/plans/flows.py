@@ -220,6 +220,22 @@ y as (select *, row_number() over (partition by doc_id, label order by c desc, s
 select doc_id, label, cast(s as int) as "start", cast(e as int) as "end", row_number() over (partition by doc_id order by c desc, s, e, label) as rank from y where label <> 'year' or n = 1"""
 
 
+def _gated_spans(spark, d):
+    """The same candidates with amounts shut for every fourth document and years that must have four digits at most, counted by document and label."""
+    docs = documents(spark, d, "doc_id", "text")
+    s = docs.select("doc_id", F.inline(find_all(F.col("text"), "[0-9]+"))).withColumn("label", F.when(F.col("start") % 3 == 0, "year").otherwise("amount")).withColumn("logit", F.round(hash_uniform(95, F.col("doc_id"), F.col("start")) * 6 - 3, 6))
+    wide = s.withColumn("end", F.col("end") + 2).withColumn("text", F.concat("text", F.lit("00000"))).withColumn("logit", F.col("logit") + 0.5)
+    gates = docs.select("doc_id", F.lit("amount").alias("label"), (F.col("doc_id") % 4 != 0).alias("open"))
+    out = st.decode_candidates(s.unionByName(wide), ["doc_id"], {"year": 0.3}, 0.6, "allow", gates=gates, valid={"year": F.length("text") <= 4})
+    return out.groupBy("doc_id", "label").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("chars"))
+
+
+_GATED_SPANS = rf"""with p as (select doc_id, regexp_extract_all(text, '[0-9]+') as ms, string_split_regex(text, '[0-9]+') as ps from documents where regexp_matches(text, '[0-9]')), i as (select *, unnest(range(1, len(ms) + 1)) as i from p),
+h as (select doc_id, cast(list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) as int) as s, length(ms[i]) as n from i),
+l as (select doc_id, n, n as digits, case when s % 3 = 0 then 'year' else 'amount' end as label, round({u_sql(95, "doc_id || '|' || s")} * 6 - 3, 6) as z from h), b as (select * from l union all select doc_id, n + 2, digits + 5, label, z + 0.5 from l)
+select doc_id, label, count(*) as n, cast(sum(n) as bigint) as chars from b where not (label = 'amount' and doc_id % 4 = 0) and not (label = 'year' and digits > 4) and round(1 / (1 + exp(-z)), 9) >= case label when 'year' then 0.3 else 0.6 end group by all"""
+
+
 def _attributes(spark, d):
     """Parts as spans of their brand; size class is one of three, marks are any of two; marks are asked of some brands only."""
     p = table(spark, d, "part", "p_partkey", "p_brand")
@@ -298,6 +314,7 @@ ITEMS = {
     "verdict_parse": Item(_answers, _ANSWERS),
     "tag_binding": Item(_tags, _TAGS),
     "scan_findings": Item(_findings, _FINDINGS),
+    "gated_decode": Item(_gated_spans, _GATED_SPANS),
     "candidate_decode": Item(_candidate_spans, _CANDIDATE_SPANS),
     "span_attributes": Item(_attributes, _ATTRIBUTES),
     "structure_assembly": Item(_structures, _STRUCTURES),
