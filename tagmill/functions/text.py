@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The word splitter's alternatives in their order, and where a sentence may end. Character classes are
-#: written out, so that the pattern says the same in every engine.
-WORD = r"(?:https?://[^\s]+|www\.[^\s]+)|[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}|@[A-Za-z0-9_]+|[\p{L}\p{N}_]+(?:[-_][\p{L}\p{N}_]+)*|[^\s]"
+#: The word splitter's alternatives in their order, and where a sentence may end.
+WORD = r"(?:https?://\S+|www\.\S+)|[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}|@[A-Za-z0-9_]+|[\p{L}\p{N}_]+(?:[-_][\p{L}\p{N}_]+)*|\S"
 SENTENCE_GAP = r"(?<=[.!?])\s+(?=[A-ZÇĞİÖŞÜ0-9\"(])"
 
 
@@ -92,7 +91,7 @@ def trim_span(start: Column, text: Column) -> tuple[Column, Column]:
 
 
 #: The character splitter, and the pretokeniser's apostrophes.
-CHARS = r"[A-Za-z0-9@._\-+]+|[^\s]"
+CHARS = r"[A-Za-z0-9@._\-+]+|\S"
 APOSTROPHES = "'’"
 
 

@@ -25,6 +25,11 @@ def spoken_end(value: Column) -> Column:
 
 
 def _spoken_end(v: Column) -> Column:
+    """The vowel a value's spoken form ends with, and whether its end sounds hard (t) or soft (d).
+
+    By what stands last: a number ends like its last spoken digit, ten, hundred or thousand; an abbreviation, in capitals
+    and short or without a vowel, like its last letter's name; any other word like its last vowel and last letter.
+    """
     number, last = F.regexp_extract(v, r"([0-9]+)\z", 1), F.substring(v, -1, 1)
     pick = lambda table, digit: F.element_at(F.array(*(F.lit(x) for x in table)), digit.cast("int"))
     ten = F.substring(number, -2, 1)

@@ -19,8 +19,8 @@ def _splitters(spark, d):
 
 
 _SPLITTERS = rf"""with x as (select conv_id, turn, replace(text, 'e s', 'e''s') as t from conversations)
-select conv_id, turn, md5(array_to_string(regexp_extract_all(t, '[A-Za-z0-9@._\-+]+|[^\s]'), chr(10))) as chars, md5(array_to_string(list_transform(regexp_extract_all(t, '{t.WORD.replace("'", "''")}'), lambda y: lower(y)), chr(10))) as low,
-  md5(array_to_string(regexp_extract_all(t, '[^\s''’][^\s''’]*|[''’][^\s]*'), chr(10))) as clitics from x"""
+select conv_id, turn, md5(array_to_string(regexp_extract_all(t, '[A-Za-z0-9@._\-+]+|\S'), chr(10))) as chars, md5(array_to_string(list_transform(regexp_extract_all(t, '{t.WORD.replace("'", "''")}'), lambda y: lower(y)), chr(10))) as low,
+  md5(array_to_string(regexp_extract_all(t, '[^\s''’][^\s''’]*|[''’]\S*'), chr(10))) as clitics from x"""
 
 
 def _cases(spark, d):
