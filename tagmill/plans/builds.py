@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tagmill.functions.kinds import FORMS, PLACEHOLDER_PHRASES, PLACEHOLDERS, by_words, refusal
 from tagmill.functions.text import WORD, find_all
 from tagmill.operators import events as ev
 from tagmill.operators import reviewing as rv
@@ -187,6 +188,42 @@ w as (select *, case r || s when '0f' then 'is the mother of' when '0m' then 'is
 select c_custkey, case when v is null then '' else c_name || ' ' || v || ' Customer ' || (c_custkey + 1) || '.' end as sentence from w"""
 
 
+#: Values by turns for customers: what a writer might add, good and bad, of kinds told by form or by words.
+_OFFERED = (
+    ("nickname", "Deli Ali"), ("nickname", "one two three four"), ("salary_info", "45.000 TL"), ("salary_info", "12000 lira"), ("salary_info", "much"), ("workplace_location", "Levent Plaza"), ("workplace_location", "Plaza No: 4"),
+    ("medical_condition", "Hastalık"), ("medical_condition", "migren"), ("medication", "5 mg"), ("medication", "Parol"), ("job_title", "kıdemli mühendis"), ("job_title", "mühendis 2"), ("work_history", "2015-2019 depo"), ("work_history", "kısaca iş"),
+    ("company_name", "Kuzey Gıda"), ("company_name", "küçük yer"), ("company_name", "demir Holding"), ("tax_office_name", "Kadıköy vergi dairesi"), ("tax_office_name", "vergi"), ("union", "Memur Sendikası üyesi"), ("union", "yok"), ("ghost", "what"),
+    ("nickname", "xxx"), ("nickname", "12345"), ("nickname", " "), ("company_name", "<firma>"), ("medical_procedure", "CUSTOMER"), ("medical_procedure", "test"), ("mental_health_info", None), ("medical_procedure", "cus"), ("medical_procedure", "ameliyat"),
+)
+_UNION = ("Sendika", "-iş")
+
+
+def _kinds(spark, d):
+    """Offered values with why they are refused; a customer's own name is known already."""
+    c = table(spark, d, "customer", "c_custkey", "c_name")
+    offered = F.element_at(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(v).cast("string").alias("value")) for k, v in _OFFERED)), (F.col("c_custkey") % len(_OFFERED) + 1).cast("int"))
+    rows = c.withColumn("o", offered)
+    why = refusal(F.col("o.value"), F.col("o.kind"), F.array("c_name"), FORMS | {"union": by_words(_UNION)}, lowered=("union",))
+    return rows.select("c_custkey", F.col("o.kind").alias("kind"), F.coalesce(why, F.lit("ok")).alias("outcome"))
+
+
+def _kinds_sql() -> str:
+    rows = ", ".join(f"({i}, '{k}', {'null' if v is None else repr(v)})" for i, (k, v) in enumerate(_OFFERED))
+    read = {"union": "low"}
+    fits = []
+    for name, k in (FORMS | {"union": by_words(_UNION)}).items():
+        q = lambda p: p.replace("'", "''")
+        own = [f"length(v) between {k.least} and {k.most}", f"len(ws) <= {k.words}"]
+        own += [f"regexp_matches({read.get(name, 'v')}, '{q(k.pattern)}')"] if k.pattern else []
+        own += [f"not regexp_matches(v, '{q(k.unlike)}')"] if k.unlike else []
+        own += [f"low not in ({', '.join(repr(n) for n in k.never)})"] if k.never else []
+        fits.append(f"when kind = '{name}' then {' and '.join(own)}")
+    odd = f"len(list_filter(ws, lambda w: w in ({', '.join(repr(p) for p in PLACEHOLDERS)}) or regexp_full_match(w, 'x{{3,}}|[?]{{2,}}|[.]{{3,}}'))) > 0 or regexp_matches(v, '\\[[^\\]]*\\]|<[^>]*>')" + "".join(f" or contains(low, '{p}')" for p in PLACEHOLDER_PHRASES)
+    return f"""with o(i, kind, value) as (values {rows}), x as (select c_custkey, lower(c_name) as known, kind, trim(coalesce(value, '')) as v, lower(trim(coalesce(value, ''))) as low, string_split_regex(lower(trim(coalesce(value, ''))), ' +') as ws from customer join o on i = c_custkey % {len(_OFFERED)}),
+y as (select *, case {' '.join(fits)} end as fits from x)
+select c_custkey, kind, case when fits is null then 'unknown kind' when v = '' or length(v) > 160 then 'length' when {odd} then 'placeholder' when regexp_full_match(v, '[0-9]+') then 'digits only' when known = low or (length(v) > 3 and contains(known, low)) then 'known value' when not fits then 'format' else 'ok' end as outcome from y"""
+
+
 def _rules_left(spark, d):
     """Pairs of event types that users have as rules, under a schema cut to some of the types; spans of the rest stripped to what was asked for."""
     e = table(spark, d, "events", "user_id", "event_type", "value").filter("value > 40")
@@ -219,6 +256,7 @@ ITEMS = {
     "priority_merge": Item(_merged, _MERGED),
     "review_rows": Item(_review_rows, _REVIEW_ROWS),
     "kinship_sentences": Item(_told, _TOLD),
+    "value_kinds": Item(_kinds, _kinds_sql()),
     "surviving_rules": Item(_rules_left, _RULES_LEFT),
     "stripped_spans": Item(_stripped, _STRIPPED),
 }

@@ -42,3 +42,21 @@ def test_nested_columns_travel_as_text(spark):
     assert sorted(map(str, back.collect())) == sorted(map(str, rows.collect()))
     with pytest.raises(Exception, match="(?i)malformed|failfast|cannot parse|bad_record"):
         readers.read_typed(spark, path, {"spans": "int", "counts": "map<string,int>"}).collect()
+
+
+def test_why_values_are_refused(spark):
+    from tagmill.functions.kinds import FORMS, by_words, refusal
+
+    cases = [
+        ("nickname", "Deli Ali", None), ("nickname", "a", "format"), ("nickname", "bir iki üç dört", "format"), ("salary_info", "45.000", None), ("salary_info", "maaş", "format"), ("workplace_location", "Levent No: 3", "format"),
+        ("medical_condition", "RAHATSIZLIK", None), ("medical_condition", "rahatsızlık", "format"), ("medication", "1 hap", "format"), ("job_title", "baş-mühendis / şef", None), ("job_title", "Personel", "format"), ("work_history", "on yıl boyunca depo", None),
+        ("company_name", "Ak Market", None), ("company_name", "ak market", "format"), ("company_name", "Öz ve Ak", None), ("company_name", "Tek", "format"), ("tax_office_name", "Şişli Vergi Dairesi", None), ("union", "Eğitim SENDİKA", "format"), ("union", "öz-iş", None),
+        ("union", "bir sendikası", None), ("medication", "Şirket Adı", "placeholder"), ("medication", "xxxx", "placeholder"), ("medication", "[ilaç]", "placeholder"), ("medication", "77", "digits only"), ("medication", "", "length"), ("medication", None, "length"), ("medication", "m" * 161, "length"),
+        ("medication", "Parol", "known value"), ("medication", "paro", "known value"), ("medication", "par", None), (None, "x", "unknown kind"), ("ghost", "x", "unknown kind"),
+    ]
+    table = spark.createDataFrame([(i, k, v) for i, (k, v, _) in enumerate(cases)], "i int, kind string, value string").withColumn("known", F.array(F.lit("PAROL"), F.lit(None).cast("string")))
+    kinds = FORMS | {"union": by_words(("Sendika", "-iş"))}
+    found = {r.i: r.why for r in table.select("i", refusal(F.col("value"), F.col("kind"), F.col("known"), kinds, ("union",)).alias("why")).collect()}
+    assert [found[i] for i in range(len(cases))] == [w for _, _, w in cases]
+    nothing = table.select(refusal(F.col("value"), F.col("kind"), F.lit(None).cast("array<string>"), kinds).alias("why")).filter("why = 'known value'")
+    assert nothing.count() == 0
