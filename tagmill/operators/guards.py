@@ -36,21 +36,22 @@ def any_of(parts: tuple[str, ...]) -> str:
 class Guard(NamedTuple):
     """What must not stand open in a text.
 
-    A match counts if it has ``least_digits``, does not begin with ``spared`` and, with ``edges``, touches no letter, digit or
+    A match counts if it does not begin with ``spared`` and, with ``edges``, touches no letter, digit or
     underscore outside. It is closed if it lies inside one span ("inside"), if its value, after the colon, begins in one
     ("value"), or never (""); and if a known value explains it: by its digits ("digits"), its text ("text"), or never ("").
-    ``folded`` guards read the text in lower case. A text with none of the words in ``needs``, if there are any, is not searched.
+    ``folded`` guards read the text in lower case. A text with none of the texts in ``needs``, if there are any, or no
+    match of the cheap pattern ``hint`` is not searched.
     """
 
     problem: str
     pattern: str
-    least_digits: int = 0
     spared: str = ""
     edges: bool = False
     closed_by: str = "inside"
     explained_by: str = ""
     folded: bool = False
     needs: tuple[str, ...] = ()
+    hint: str = ""
 
 
 _DAY, _YEAR = f"{_DIGIT}{{1,2}}", f"(?:19|20){_DIGIT}{{2}}"
@@ -62,13 +63,13 @@ _ACCOUNT = f"TR{_DIGIT}{{2}}(?: ?{_DIGIT}{{4}}){{5}} ?{_DIGIT}{{2}}"
 _CAPITALISED = rf"{_UPPER}[{_LETTER}0-9_&.-]*{_SPACE}+"
 
 GUARDS = (
-    Guard("unlisted number", f"{_DIGIT}(?:[ .-]?{_DIGIT})*", 10, rf"(?:(?:{'|'.join(_DATE_AND_HOUR)})(?:[^0-9]|$)|{_AMOUNT}|{_MASK})", explained_by="digits"),
-    Guard("unlisted identifier", f"(?:{_VEHICLE}|{_PLATE}|{_ACCOUNT})", edges=True, explained_by="text"),
+    Guard("unlisted number", f"{_DIGIT}(?:[ .-]?{_DIGIT}){{9,}}", rf"(?:(?:{'|'.join(_DATE_AND_HOUR)})(?:[^0-9]|$)|{_AMOUNT}|{_MASK})", explained_by="digits", hint=f"{_DIGIT}[ .-]?{_DIGIT}"),
+    Guard("unlisted identifier", f"(?:{_VEHICLE}|{_PLATE}|{_ACCOUNT})", edges=True, explained_by="text", hint="[A-Z0-9]{2}"),
     Guard("untagged address", rf"[^ \t\n]+ {any_of(STREET_WORDS)}[^\n]{{0,40}}?No:?[ \t]?{_DIGIT}+", needs=STREET_WORDS),
     Guard("untagged organisation", f"(?:{_CAPITALISED}){{1,4}}{any_of(LEGAL_FORMS)}", explained_by="text", needs=LEGAL_FORMS),
     Guard("untagged personal field", rf"{any_of(PERSONAL_FIELDS)}[ \t]*:[ \t]*[^\n,;]+", closed_by="value", needs=PERSONAL_FIELDS),
-    Guard("stray bracket", r"[\[\]]", closed_by=""),
-    Guard("meta-language", any_of(META_PHRASES), closed_by="", folded=True),
+    Guard("stray bracket", r"[\[\]]", closed_by="", needs=("[", "]")),
+    Guard("meta-language", any_of(META_PHRASES), closed_by="", folded=True, needs=META_PHRASES),
     Guard("folded word", rf"(?:{any_of(FOLDED_BEGINNINGS)}[a-z0-9_]*|{any_of(FOLDED_WORDS)})", edges=True, closed_by="", folded=True, needs=(*FOLDED_BEGINNINGS, *FOLDED_WORDS)),
 )
 #: What a document that must hold no personal data may not have at all.
@@ -77,17 +78,20 @@ ZERO = ("unlisted number", "unlisted identifier", "untagged address", "untagged
 
 def label_guard(labels: list[str]) -> Guard:
     """The ninth guard: a label's name as a word of the text. ``labels`` is a vocabulary."""
-    return Guard("label words leaked", any_of(tuple(labels)), edges=True, closed_by="")
+    return Guard("label words leaked", any_of(tuple(labels)), edges=True, closed_by="", needs=tuple(labels))
 
 
-def _hits(docs: DataFrame, key: str, guard: Guard) -> Column:
+def _hits(guard: Guard) -> Column:
     """array<struct<problem,surface,start,end,at>> of a guard's matches that count; ``at`` is where a span must begin to close it."""
-    text = F.lower(F.coalesce("text", F.lit(""))) if guard.folded else F.coalesce("text", F.lit(""))
+    text = F.col("_low") if guard.folded else F.col("_text")
     found = find_all(text, guard.pattern)
-    if guard.needs:
-        found = F.when(text.rlike(any_of(guard.needs)), found).otherwise(F.slice(find_all(F.lit(""), guard.pattern), 1, 0))
-    if guard.least_digits:
-        found = F.filter(found, lambda m: F.length(F.regexp_replace(m["text"], "[^0-9]", "")) >= guard.least_digits)
+    may = F.lit(not guard.needs)
+    for word in guard.needs:
+        may = may | F.contains(text, F.lit(word))
+    if guard.hint:
+        may = may & text.rlike(guard.hint)
+    if guard.needs or guard.hint:
+        found = F.when(may, found).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)"))
     if guard.spared:
         found = F.filter(found, lambda m: ~m["text"].rlike(f"^{guard.spared}"))
     if guard.edges:
@@ -121,7 +125,8 @@ def guard_problems(docs: DataFrame, spans: DataFrame, known: DataFrame, key: str
     texts have no problems; a null key is a key.
     """
     by = {g.problem: g for g in guards}
-    hits = docs.select(key, F.inline(F.concat(*(_hits(docs, key, g) for g in guards))))
+    read = docs.select(key, F.coalesce("text", F.lit("")).alias("_text")).withColumn("_low", F.lower("_text"))
+    hits = read.select(key, F.inline(F.concat(*(_hits(g) for g in guards))))
     never = [p for p, g in by.items() if not g.closed_by]
     value = [p for p, g in by.items() if g.closed_by == "value"]
     left = subtract_spans(hits.filter(~F.col("problem").isin(*never)), spans, key, ~F.col("problem").isin(*value)).unionByName(hits.filter(F.col("problem").isin(*never)))

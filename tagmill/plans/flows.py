@@ -97,8 +97,7 @@ def _guards(spark, d):
 def _guard_sql(g) -> str:
     text = "lower(text)" if g.folded else "text"
     q = g.pattern.replace("'", "''")
-    where = [f"length(regexp_replace(surface, '[^0-9]', '', 'g')) >= {g.least_digits}"] if g.least_digits else []
-    where += [f"not regexp_matches(surface, '^{g.spared}')"] if g.spared else []
+    where = [f"not regexp_matches(surface, '^{g.spared}')"] if g.spared else []
     word = r"[\p{L}\p{N}_]"
     where += [f"not regexp_matches(case when s > 0 then substr({text}, s, 1) else '' end, '{word}') and not regexp_matches(substr({text}, s + length(surface) + 1, 1), '{word}')"] if g.edges else []
     if g.closed_by == "inside":
