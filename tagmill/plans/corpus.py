@@ -11,7 +11,6 @@ from tagmill.operators.ranking import ranked
 from tagmill.plans import Item
 from tagmill.plans.derived import documents, u_sql
 from tagmill.sources import table
-from tagmill.written import cut
 
 
 def _labelled(spark, d):
