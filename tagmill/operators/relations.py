@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,46 +13,91 @@ from tagmill.operators.graph import components
 from tagmill.operators.matching import prf
 from tagmill.written import cut
 
+#: Pairs of a record's gold and predicted triples that are compared as lists; longer rows go through a table.
+SHORT = 64
+
 
 def surface_key(text: Column) -> Column:
     """White space squeezed, lower case."""
     return F.lower(F.trim(F.regexp_replace(text, r"[ \t\n\r\f\x0B]+", " ")))
 
 
-def match_records(gold: DataFrame, pred: DataFrame, swapped: bool = False) -> DataFrame:
-    """(record, relation, tp, fp, fn) of triples (record, relation, i, head[s], tail[s]): in order, each prediction takes the first free gold.
-
-    Gold ends are arrays of surfaces, predicted ends single surfaces. Candidates come from an equi-join on relation and
-    head surface; taking turns is sequential inside a record and relation, so that much goes to a grouped function.
-    ``swapped`` also accepts the ends the wrong way round.
+def _in_turn(pairs: Column) -> Column:
+    """Of ``pairs`` (p, g), in their order, those neither of whose sides is taken yet; for short lists."""
+    clash = lambda x, y: (x["p"] == y["p"]) | (x["g"] == y["g"])
+    return F.aggregate(pairs, F.slice(pairs, 1, 0), lambda acc, x: F.when(F.exists(acc, lambda y: clash(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
+
+
+def _long_counts(batches: Iterator[pa.RecordBatch], thresholds: list[float], modes: int) -> Iterator[pa.RecordBatch]:
+    """Pairs taken by threshold and mode, of rows (golds, preds) too long for lists: golds wait under their surfaces, least number first."""
+    for batch in batches:
+        counts = []
+        for golds, preds in zip(batch.column("golds").to_pylist(), batch.column("preds").to_pylist(), strict=True):
+            for mode in range(modes):
+                lines: dict = {}
+                for g in sorted(golds, key=lambda x: x["g"]):
+                    ends = {(h, t) for h in g["gh"] or () for t in g["gt"] or () if h is not None and t is not None}
+                    for end in ends | {(t, h) for h, t in ends} if mode else ends:
+                        lines.setdefault(end, []).append(g["g"])
+                asked: dict = {}
+                for p in sorted((p for p in preds if p["u"] is not None), key=lambda x: x["p"]):
+                    if (p["ph"], p["pt"]) in lines:
+                        asked.setdefault(p["p"], []).append((p["u"], (p["ph"], p["pt"])))
+                for least in thresholds:
+                    used, at = set(), dict.fromkeys(lines, 0)
+                    for offers in asked.values():
+                        first = []
+                        for end in {end for u, end in offers if u >= least}:
+                            line = lines[end]
+                            while at[end] < len(line) and line[at[end]] in used:
+                                at[end] += 1
+                            first += line[at[end] : at[end] + 1]
+                        if first:
+                            used.add(min(first))
+                    counts.append(len(used))
+        counts_ = pa.ListArray.from_arrays(pa.array(range(0, len(counts) + 1, modes * len(thresholds)), pa.int32()), pa.array(counts, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), counts_], [*batch.schema.names[:4], "taken"])
+
+
+def match_counts(gold: DataFrame, pred: DataFrame, thresholds: list[float] | None = None, swapped: bool = True) -> DataFrame:
+    """(record, relation, threshold, tp, fp, fn and, if ``swapped``, lenient_tp, lenient_fp, lenient_fn) of triples (record, relation, i, head[s], tail[s]).
+
+    In order, each prediction takes the first free gold. Gold ends are arrays of surfaces, predicted ends single surfaces; the lenient
+    counts also accept the ends the wrong way round. With ``thresholds``, predictions have a column ``u`` and those from the
+    threshold count. Taking turns is sequential inside a record and relation, so the triples of one meet in a row, by one
+    shuffle for all thresholds and both counts; short rows are matched by expressions, long ones through a table of surfaces.
     """
-    g = gold.select("record", "relation", F.col("i").alias("g"), F.transform("heads", surface_key).alias("gh"), F.transform("tails", surface_key).alias("gt"))
-    p = pred.select("record", "relation", F.col("i").alias("p"), surface_key(F.col("head")).alias("ph"), surface_key(F.col("tail")).alias("pt"))
-    straight = p.join(g.withColumn("ph", F.explode(F.array_distinct("gh"))).select("record", "relation", "g", "ph", "gt"), ["record", "relation", "ph"]).filter(F.array_contains("gt", F.col("pt")))
-    pairs = straight.select("record", "relation", "p", "g")
-    if swapped:
-        turned = p.join(g.withColumn("ph", F.explode(F.array_distinct("gt"))).select("record", "relation", "g", "ph", "gh"), ["record", "relation", "ph"]).filter(F.array_contains("gh", F.col("pt")))
-        pairs = pairs.union(turned.select("record", "relation", "p", "g")).distinct()
+    levels = thresholds or [0.0]
+    u = F.col("u").cast("double") if thresholds else F.lit(0.0)
+    g = F.struct(F.col("i").alias("g"), F.transform("heads", surface_key).alias("gh"), F.transform("tails", surface_key).alias("gt"))
+    p = F.struct(F.col("i").alias("p"), surface_key(F.col("head")).alias("ph"), surface_key(F.col("tail")).alias("pt"), u.alias("u"))
+    sides = gold.select("record", "relation", g.alias("gold")).unionByName(pred.select("record", "relation", p.alias("pred")), allowMissingColumns=True)
+    met = sides.groupBy("record", "relation").agg(F.collect_list("gold").alias("golds"), F.collect_list("pred").alias("preds"))
+    at_least = F.transform(F.array(*(F.lit(x) for x in levels)), lambda x: F.size(F.filter("preds", lambda y: y["u"] >= x)).cast("long"))
+    named = F.col("record").isNotNull() & F.col("relation").isNotNull()  # without both, nothing matches
+    met = met.select("record", "relation", F.size("golds").cast("long").alias("n_gold"), at_least.alias("n_pred"), *(F.when(named, F.col(c)).otherwise(F.slice(c, 1, 0)).alias(c) for c in ("golds", "preds")))
+    fits = lambda x, y, h, t: F.array_contains(x["gh"], y[h]) & F.array_contains(x["gt"], y[t])
+    pair = lambda x, y: F.struct(y["p"].alias("p"), x["g"].alias("g"), fits(x, y, "ph", "pt").alias("straight"), y["u"].alias("u"))
+    either = lambda x, y: fits(x, y, "ph", "pt") | fits(x, y, "pt", "ph") if swapped else fits(x, y, "ph", "pt")
+    pairs = F.sort_array(F.flatten(F.transform("preds", lambda y: F.transform(F.filter("golds", lambda x: either(x, y)), lambda x: pair(x, y)))))
+    held = lambda mode, x: F.filter("pairs", lambda y: (y["u"] >= x) & (F.lit(mode == 1) | y["straight"]))
+    modes = 2 if swapped else 1
+    taken = F.array(*(F.size(_in_turn(held(mode, F.lit(x)))).cast("long") for mode in range(modes) for x in levels))
+    short = F.size("golds") * F.size("preds") <= SHORT
+    known = ["record", "relation", "n_gold", "n_pred"]
+    few = met.filter(short).select(*known, pairs.alias("pairs")).select(*known, F.when(F.size("pairs") == 0, F.array_repeat(F.lit(0).cast("long"), modes * len(levels))).otherwise(taken).alias("taken"))
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in met.schema if f.name in known)
+    many = met.filter(~short).mapInArrow(lambda batches: _long_counts(batches, levels, modes), f"{own}, taken array<bigint>")
+    out = few.unionByName(many).select(*known, "taken", F.posexplode(F.array(*(F.lit(x) for x in levels))).alias("_at", "threshold"))
+    counts = lambda mode, name: [c.alias(f"{name}{n}") for n, c in (("tp", tp(mode)), ("fp", F.col("n_pred")[F.col("_at")] - tp(mode)), ("fn", F.col("n_gold") - tp(mode)))]
+    tp = lambda mode: F.col("taken")[F.col("_at") + mode * len(levels)]
+    return out.select("record", "relation", "threshold", *counts(0, ""), *(counts(1, "lenient_") if swapped else []))
 
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, done = set(), set()
-        for p_, g_ in sorted(zip(pdf["p"], pdf["g"], strict=True)):
-            if p_ not in done and g_ not in used:
-                used.add(g_)
-                done.add(p_)
-        return pd.DataFrame({"record": [pdf["record"].iloc[0]], "relation": [pdf["relation"].iloc[0]], "tp": [len(used)]})
 
-    kinds = dict(pred.dtypes)
-    # where every end has one partner, all pairs count; only the other groups need turns
-    shape = pairs.groupBy("record", "relation").agg(F.count("*").alias("tp"), F.count_distinct("p").alias("ps"), F.count_distinct("g").alias("gs"))
-    plain = shape.filter("tp = ps and tp = gs").select("record", "relation", "tp")
-    tangled = pairs.join(shape.filter("tp <> ps or tp <> gs").select("record", "relation"), ["record", "relation"], "left_semi")
-    turns = tangled.groupBy("record", "relation").applyInPandas(take, f"record {kinds['record']}, relation {kinds['relation']}, tp long")
-    tp = plain.union(turns)
-    n_gold = g.groupBy("record", "relation").agg(F.count("*").alias("n_gold"))
-    n_pred = p.groupBy("record", "relation").agg(F.count("*").alias("n_pred"))
-    every = n_gold.join(n_pred, ["record", "relation"], "full_outer").join(tp, ["record", "relation"], "left").na.fill(0, ["n_gold", "n_pred", "tp"])
-    return every.select("record", "relation", "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_gold") - F.col("tp")).alias("fn"))
+def match_records(gold: DataFrame, pred: DataFrame, swapped: bool = False) -> DataFrame:
+    """(record, relation, tp, fp, fn) of triples, as ``match_counts``; ``swapped`` also accepts the ends the wrong way round."""
+    name = "lenient_" if swapped else ""
+    return match_counts(gold, pred, swapped=swapped).select("record", "relation", *(F.col(f"{name}{c}").alias(c) for c in ("tp", "fp", "fn")))
 
 
 def best_label(sides: DataFrame, spans: DataFrame, key: str) -> DataFrame:

@@ -9,7 +9,7 @@ from tagmill.functions.hashing import hash_uniform
 from tagmill.functions.text import trim_span
 from tagmill.operators import matching, spans
 from tagmill.operators.ranking import running_total
-from tagmill.operators.relations import match_records
+from tagmill.operators.relations import match_counts
 from tagmill.operators.variants import name_problems, variants
 from tagmill.plans import Item
 from tagmill.plans.derived import MENTIONS_SQL, documents, gold, u_sql
@@ -63,15 +63,11 @@ def _relation_sweep(spark, d):
     nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     t = li.select(F.col("l_orderkey").alias("record"), F.col("l_returnflag").alias("relation"), nth.cast("long").alias("i"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("head"), F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string")).alias("tail"))
     u = F.round(hash_uniform(61, F.col("record"), F.col("i")), 6)
-    steps = F.explode(F.array(F.lit(0.2), F.lit(0.5), F.lit(0.8))).alias("threshold")
     turned = u * 10 - F.floor(u * 10) < 0.3
-    p = t.select("record", "relation", "i", F.when(turned, F.col("tail")).otherwise(F.col("head")).alias("head"), F.when(turned, F.col("head")).otherwise(F.col("tail")).alias("tail"), u.alias("u"), steps).filter("u >= threshold")
-    at = F.concat_ws("|", "record", "threshold")
-    g = t.select("record", "relation", "i", F.array("head").alias("heads"), F.array("tail").alias("tails"), steps).withColumn("record", at)
-    p = p.withColumn("record", at).select("record", "relation", "i", "head", "tail")
-    threshold = F.element_at(F.split("record", r"\|"), 2).cast("double").alias("threshold")
-    total = lambda f, name: f.select("relation", threshold, "tp", "fp", "fn").groupBy("threshold", "relation").agg(*(F.sum(c).alias(f"{name}_{c}") for c in ("tp", "fp", "fn")))
-    both = total(match_records(g, p), "strict").join(total(match_records(g, p, swapped=True), "lenient"), ["threshold", "relation"])
+    p = t.select("record", "relation", "i", F.when(turned, F.col("tail")).otherwise(F.col("head")).alias("head"), F.when(turned, F.col("head")).otherwise(F.col("tail")).alias("tail"), u.alias("u"))
+    g = t.select("record", "relation", "i", F.array("head").alias("heads"), F.array("tail").alias("tails"))
+    counts = match_counts(g, p, [0.2, 0.5, 0.8]).filter("relation is not null")
+    both = counts.groupBy("threshold", "relation").agg(*(F.sum(c).alias(f"strict_{c}") for c in ("tp", "fp", "fn")), *(F.sum(f"lenient_{c}").alias(f"lenient_{c}") for c in ("tp", "fp", "fn")))
     f1 = lambda n: F.round(matching.ratio(2 * F.col(f"{n}_tp"), 2 * F.col(f"{n}_tp") + F.col(f"{n}_fp") + F.col(f"{n}_fn")), 9).alias(f"{n}_f1")
     return both.select("*", f1("strict"), f1("lenient"))
 
