@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagmill.written import cut, forget
 
+#: Edges of a graph up to which it is labelled in one row; larger graphs go through rounds of joins.
+GATHERED = 10_000
+
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a is not null and b is not null").distinct()
@@ -33,6 +41,53 @@ def components(edges: DataFrame) -> DataFrame:
         labels = found
 
 
+def _labelled(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """(key, id, component) of rows (key, edges): all graphs of a batch at once, each node taking the least place it hears of."""
+    for batch in batches:
+        lists = batch.column(1)
+        ends, graph = lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+        if not len(ends):
+            continue
+        names = pa.chunked_array([ends.field("a"), ends.field("b")]).combine_chunks().dictionary_encode()
+        order = np.asarray(pc.sort_indices(names.dictionary))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        both = np.concatenate([graph, graph]) * len(order) + place[np.asarray(names.indices)]  # nodes by graph, then by name
+        nodes, at = np.unique(both, return_inverse=True)
+        a, b = at[: len(ends)], at[len(ends) :]
+        label = np.arange(len(nodes))
+        while True:
+            least = np.minimum(label[a], label[b])
+            found = label.copy()
+            np.minimum.at(found, label[a], least)
+            np.minimum.at(found, label[b], least)
+            found = found[found[label]]
+            if (found == label).all():
+                break
+            label = found
+        name = lambda x: names.dictionary.take(pa.array(order[x % len(order)]))  # noqa: E731, B023
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(nodes // len(order))), name(nodes), name(nodes[label])], [key, "id", "component"])
+
+
+def components_within(edges: DataFrame, key: str) -> DataFrame:
+    """(key, id, component) of many graphs' edges (key, a, b): the smallest id of the same graph that edges reach, in either direction.
+
+    Graphs of up to GATHERED edges are labelled in a row each, by one shuffle; larger ones in rounds, as ``components``. Edges
+    with a null key or end are left out.
+    """
+    real = edges.select(key, "a", "b").filter(F.col(key).isNotNull() & F.col("a").isNotNull() & F.col("b").isNotNull())
+    sized = cut(real.withColumn("_n", F.count("*").over(Window.partitionBy(key))), "sized")
+    kinds = dict(edges.dtypes)
+    small = sized.filter(F.col("_n") <= GATHERED).groupBy(key).agg(F.collect_list(F.struct("a", "b")).alias("edges"))
+    out = small.mapInArrow(lambda batches: _labelled(batches, key), f"`{key}` {kinds[key]}, id {kinds['a']}, component {kinds['a']}")
+    large = sized.filter(F.col("_n") > GATHERED)
+    if large.isEmpty():
+        return out
+    node = lambda c: F.struct(F.col(key).alias("k"), F.col(c).alias("v"))
+    rounds = components(large.select(node("a").alias("a"), node("b").alias("b")))
+    return out.unionByName(rounds.select(F.col("id.k").alias(key), F.col("id.v").alias("id"), F.col("component.v").alias("component")))
+
+
 def reachable(edges: DataFrame, anchors: DataFrame) -> DataFrame:
     """(id) of all nodes that directed edges (a, b) reach from ``anchors`` (id), these included; one join a level.
 

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.operators.graph import components
+from tagmill.operators.graph import components_within
 from tagmill.operators.matching import prf
 from tagmill.written import cut
 
@@ -100,6 +99,23 @@ def match_records(gold: DataFrame, pred: DataFrame, swapped: bool = False) -> Da
     return match_counts(gold, pred, swapped=swapped).select("record", "relation", *(F.col(f"{name}{c}").alias(c) for c in ("tp", "fp", "fn")))
 
 
+def _long_turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each row's pairs (turned, p, g), in order, those neither of whose sides is taken yet."""
+    for batch in batches:
+        row, at, before = [], [], 0
+        for n, pairs in enumerate(batch.column(2)):
+            used_p, used_g = set(), set()
+            for i, (a, b) in enumerate(zip(pairs.values.field("p").to_pylist(), pairs.values.field("g").to_pylist(), strict=True)):
+                if a not in used_p and b not in used_g:
+                    used_p.add(a)
+                    used_g.add(b)
+                    row.append(n)
+                    at.append(before + i)
+            before += len(pairs)
+        chosen, row = batch.column(2).flatten().take(pa.array(at, pa.int64())), pa.array(row, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *(chosen.field(c) for c in ("turned", "p", "g"))], [*batch.schema.names[:2], "turned", "p", "g"])
+
+
 def best_label(sides: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     """``sides`` (key, start, end) with ``label``: that of the span (key, i, start, end, label) of largest overlap, the earlier ``i`` on ties; null where none overlaps.
 
@@ -118,11 +134,10 @@ def best_label(sides: DataFrame, spans: DataFrame, key: str) -> DataFrame:
 def mention_classes(entities: DataFrame, key: str) -> DataFrame:
     """(key, id, class): entities (key, id, same_as) that name each other through same_as, also through others, are one class; unknown names don't count."""
     named = entities.select(key, "id", "same_as")
-    known = named.select(key, F.col("id").alias("same_as"))
-    node = lambda c: F.struct(F.col(key).alias("k"), F.col(c).alias("v"))
-    links = named.join(known, [key, "same_as"], "left_semi").select(node("id").alias("a"), node("same_as").alias("b"))
-    classes = components(links.unionByName(named.select(node("id").alias("a"), node("id").alias("b"))))
-    return classes.select(F.col("id.k").alias(key), F.col("id.v").alias("id"), F.col("component.v").alias("class"))
+    known = named.select(key, F.col("id").alias("same_as")).distinct()
+    links = named.filter("same_as is not null and same_as <> id").join(known, [key, "same_as"], "left_semi").select(key, F.col("id").alias("a"), F.col("same_as").alias("b"))
+    classes = components_within(links, key)
+    return named.filter(F.col(key).isNotNull() & F.col("id").isNotNull()).select(key, "id").distinct().join(classes, [key, "id"], "left").select(key, "id", F.coalesce("component", "id").alias("class"))
 
 
 def match_coreferent(entities: DataFrame, mentions: DataFrame, gold: DataFrame, pred: DataFrame, key: str) -> DataFrame:
@@ -133,39 +148,30 @@ def match_coreferent(entities: DataFrame, mentions: DataFrame, gold: DataFrame,
     its class. Predictions take gold relations in order, straight ones first (match), then with the sides exchanged
     (reversed); the rest are fp and fn. Hits come from joins; taking turns is sequential inside a document's relation.
     """
-    classes = mention_classes(entities, key)
-    of_class = classes.join(mentions, [key, "id"]).select(key, "class", "start", "end").distinct()
+    classes = cut(mention_classes(entities, key), "classes")
+    of_class = classes.join(mentions, [key, "id"]).select(key, "class", "start", "end")
     width = 64
     bucket = lambda a, b: F.explode(F.sequence(F.floor(a / width), F.floor(F.greatest(b - 1, a) / width)))
     m = of_class.select(key, "class", F.col("start").alias("ms"), F.col("end").alias("me"), bucket(F.col("start"), F.col("end")).alias("b"))
     side = lambda s: F.struct(F.lit(s).alias("side"), F.col(f"{s}_start").alias("s"), F.col(f"{s}_end").alias("e"))
-    sides = pred.select(key, F.col("i").alias("p"), F.inline(F.array(side("head"), side("tail")))).withColumn("b", bucket(F.col("s"), F.col("e")))
-    hits = sides.join(m, [key, "b"]).filter("least(e, me) > greatest(s, ms)").select(key, "p", "side", "class").distinct()
+    sides = pred.select(key, F.col("i").alias("p"), "relation", F.inline(F.array(side("head"), side("tail")))).withColumn("b", bucket(F.col("s"), F.col("e")))
+    hits = sides.join(m, [key, "b"]).filter("least(e, me) > greatest(s, ms)")
+    met = lambda s: F.collect_set(F.when(F.col("side") == s, F.col("class"))).alias(f"hit_{s}")
+    both = hits.groupBy(key, "relation", "p").agg(met("head"), met("tail")).withColumn("hit_head", F.explode("hit_head")).withColumn("hit_tail", F.explode("hit_tail"))
     end = lambda c: classes.select(key, F.col("id").alias(c), F.col("class").alias(f"{c}_class"))
-    g = gold.join(end("head"), [key, "head"], "left").join(end("tail"), [key, "tail"], "left").select(key, "relation", F.col("i").alias("g"), "head_class", "tail_class")
-    p = pred.select(key, "relation", F.col("i").alias("p"))
-    hit = lambda s: hits.filter(F.col("side") == s).select(key, "p", F.col("class").alias(f"hit_{s}"))
-    both = p.join(hit("head"), [key, "p"]).join(hit("tail"), [key, "p"])
-    meets = lambda h, t: both.join(g, [key, "relation"]).filter((F.col("hit_head") == F.col(h)) & (F.col("hit_tail") == F.col(t))).select(key, "relation", "p", "g").distinct()
-    pairs = meets("head_class", "tail_class").withColumn("turned", F.lit(0)).unionByName(meets("tail_class", "head_class").withColumn("turned", F.lit(1)))
-
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_p, used_g, out = set(), set(), []
-        for turned, a, b in sorted(zip(pdf["turned"], pdf["p"], pdf["g"], strict=True)):
-            if a not in used_p and b not in used_g:
-                used_p.add(a)
-                used_g.add(b)
-                out.append((pdf[key].iloc[0], pdf["relation"].iloc[0], "reversed" if turned else "match", b, a))
-        return pd.DataFrame(out, columns=[key, "relation", "status", "gold_i", "pred_i"])
-
-    kinds = dict(pred.dtypes)
-    pairs = cut(pairs, "pairs")
-    shape = pairs.groupBy(key, "relation").agg(((F.count("*") == F.count_distinct("p")) & (F.count("*") == F.count_distinct("g"))).alias("plain"))
-    marked = pairs.join(shape, [key, "relation"])
-    # where every end has one partner, all pairs count; only the other groups need turns
-    plain = marked.filter("plain").select(key, "relation", F.when(F.col("turned") == 1, "reversed").otherwise("match").alias("status"), F.col("g").cast("long").alias("gold_i"), F.col("p").cast("long").alias("pred_i"))
-    turns = marked.filter("not plain").drop("plain").groupBy(key, "relation").applyInPandas(take, f"{key} {kinds[key]}, relation string, status string, gold_i long, pred_i long")
-    taken = cut(plain.unionByName(turns), "taken")
+    g = gold.join(end("head"), [key, "head"]).join(end("tail"), [key, "tail"])
+    way = lambda turned, h, t: F.struct(F.lit(turned).alias("turned"), F.col(h).alias("hit_head"), F.col(t).alias("hit_tail"))
+    ways = g.select(key, "relation", F.col("i").alias("g"), F.inline(F.array(way(0, "head_class", "tail_class"), way(1, "tail_class", "head_class"))))
+    pairs = both.join(ways, [key, "relation", "hit_head", "hit_tail"]).select(key, "relation", "turned", "p", "g")
+
+    # turns are sequential inside a document's relation: short lists are folded by expressions, long ones in a task
+    listed = pairs.groupBy(key, "relation").agg(F.sort_array(F.collect_set(F.struct("turned", "p", "g"))).alias("pairs"))
+    own = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    short = F.size("pairs") <= SHORT
+    few = listed.filter(short).select(key, "relation", F.inline(F.when(F.size("pairs") == 1, F.col("pairs")).otherwise(_in_turn(F.col("pairs")))))
+    many = listed.filter(~short).mapInArrow(_long_turns, ", ".join(f"`{c}` {own[c]}" for c in (key, "relation", "turned", "p", "g")))
+    status = F.when(F.col("turned") == 1, "reversed").otherwise("match").alias("status")
+    taken = cut(few.unionByName(many).select(key, "relation", status, F.col("g").cast("long").alias("gold_i"), F.col("p").cast("long").alias("pred_i")), "taken")
     rest_g = gold.select(key, "relation", F.col("i").cast("long").alias("gold_i")).join(taken.select(key, "gold_i"), [key, "gold_i"], "left_anti")
     rest_p = pred.select(key, "relation", F.col("i").cast("long").alias("pred_i")).join(taken.select(key, "pred_i"), [key, "pred_i"], "left_anti")
     fn = rest_g.select(key, "relation", F.lit("fn").alias("status"), "gold_i", F.lit(None).cast("long").alias("pred_i"))
