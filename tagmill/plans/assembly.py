@@ -95,6 +95,7 @@ def _coref(spark, d):
     Gold relations go from a line to the next of the order; predictions point at places, some exchanged, some elsewhere.
     """
     li = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.min("l_returnflag").alias("relation"))
+    li = cut(li.filter("l_orderkey is not null and l_linenumber is not null"), "lines")  # every table below reads them
     key, n = F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("long")
     ents = li.select(key, n.alias("id"), F.when(n % 3 == 0, n - 1).alias("same_as"))
     at = (F.col("p") % 10 * 40 + F.col("s") % 4 * 10).cast("int")
@@ -111,7 +112,7 @@ def _coref(spark, d):
 
 
 def _coref_match(spark, d):
-    items = cut(r.match_coreferent(*_coref(spark, d), "doc"), "items")
+    items = r.match_coreferent(*_coref(spark, d), "doc")
     return items.groupBy("doc", "relation", "status").agg(F.count("*").alias("n"))
 
 
