@@ -119,16 +119,20 @@ def _long_turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def best_label(sides: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     """``sides`` (key, start, end) with ``label``: that of the span (key, i, start, end, label) of largest overlap, the earlier ``i`` on ties; null where none overlaps.
 
-    Both are dealt into buckets of positions, so only neighbours in a document are compared.
+    Equal places count once on both sides, the earliest span standing for its place; then both are dealt into buckets of
+    positions, so only different neighbouring places in a document are compared.
     """
     width = 64
     bucket = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.greatest(F.col("end") - 1, F.col("start")) / width))).alias("_b")
-    s = sides.withColumn("_id", F.monotonically_increasing_id())
-    a = s.select(key, "_id", F.col("start").alias("_s"), F.col("end").alias("_e"), bucket)
-    b = spans.select(key, "i", F.col("start").alias("_ps"), F.col("end").alias("_pe"), F.col("label").alias("_l"), bucket)
+    place = [key, "start", "end"]
+    probes = sides.select(*place).distinct()
+    first = spans.groupBy(*place).agg(F.max_by(F.struct("i", "label"), F.struct(-F.col("i"))).alias("_f")).select(*place, "_f.*")
+    a = probes.select(key, F.col("start").alias("_s"), F.col("end").alias("_e"), bucket)
+    b = first.select(key, "i", F.col("start").alias("_ps"), F.col("end").alias("_pe"), F.col("label").alias("_l"), bucket)
     size = F.least("_e", "_pe") - F.greatest("_s", "_ps")
-    best = a.join(b, [key, "_b"]).withColumn("_o", size).filter("_o > 0").groupBy("_id").agg(F.max_by("_l", F.struct("_o", -F.col("i"))).alias("label"))
-    return s.join(best, "_id", "left").drop("_id")
+    met = a.join(b, [key, "_b"]).withColumn("_o", size).filter("_o > 0")
+    best = met.groupBy(key, F.col("_s").alias("start"), F.col("_e").alias("end")).agg(F.max_by("_l", F.struct("_o", -F.col("i"))).alias("label"))
+    return sides.join(best, place, "left").select(*sides.columns, "label")
 
 
 def mention_classes(entities: DataFrame, key: str) -> DataFrame:
