@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagmill.functions.hashing import hash_uniform
-from tagmill.operators.graph import reachable
+from tagmill.operators.graph import reached_within
 from tagmill.operators.ranking import running_total
 from tagmill.written import complete, cut
 
@@ -22,20 +22,20 @@ def bundle_problems(entities: DataFrame, relations: DataFrame, kinds: DataFrame,
     """
     said = lambda f, p, d: f.select(key, F.lit(p).alias("problem"), d.cast("string").alias("detail"))
     twice = said(entities.groupBy(key, "id").agg(F.count("*").alias("n")).filter("n > 1"), "duplicate id", F.col("id"))
-    label = entities.groupBy(key, "id").agg(F.min("label").alias("label"))
+    label = cut(entities.groupBy(key, "id").agg(F.min("label").alias("label")), "labels")
     end = lambda s: label.select(key, F.col("id").alias(s), F.col("label").alias(f"{s}_label"))
+    relations = cut(relations.select(key, "relation", "head", "tail"), "relations")
     r = relations.join(end("head"), [key, "head"], "left").join(end("tail"), [key, "tail"], "left")
-    missing = said(r.filter("head_label is null or tail_label is null"), "missing end", F.col("relation"))
-    self_ = said(r.filter("head = tail"), "self-relation", F.col("relation"))
-    out = twice.unionByName(missing).unionByName(self_)
+    tests = {"missing end": (F.col("head_label").isNull() | F.col("tail_label").isNull(), F.col("relation")), "self-relation": (F.col("head") == F.col("tail"), F.col("relation"))}
     for side in ("head", "tail"):
-        may = kinds.filter(F.col("side") == side).select("relation", F.col("label").alias(f"{side}_label"))
-        out = out.unionByName(said(r.filter(F.col(f"{side}_label").isNotNull()).join(may, ["relation", f"{side}_label"], "left_anti"), f"{side} label", F.concat_ws("/", "relation", f"{side}_label")))
-    node = lambda c: F.struct(F.col(key).alias("k"), F.col(c).alias("v"))
-    both = relations.select(node("head").alias("a"), node("tail").alias("b")).unionByName(relations.select(node("tail").alias("a"), node("head").alias("b")))
-    met = reachable(both, subjects.select(node("id").alias("id"))).select(F.col("id.k").alias(key), F.col("id.v").alias("id"))
+        may = kinds.filter(F.col("side") == side).select("relation", F.col("label").alias(f"{side}_label"), F.lit(True).alias(f"{side}_may")).distinct()
+        r = r.join(may, ["relation", f"{side}_label"], "left")
+        tests[f"{side} label"] = (F.col(f"{side}_label").isNotNull() & F.col(f"{side}_may").isNull(), F.concat_ws("/", "relation", f"{side}_label"))
+    problems = F.array_compact(F.array(*(F.when(c, F.struct(F.lit(p).alias("problem"), d.cast("string").alias("detail"))) for p, (c, d) in tests.items())))
+    broken = r.select(key, F.inline(problems)).distinct()
+    met = reached_within(relations.select(key, F.col("head").alias("a"), F.col("tail").alias("b")), subjects, key)
     lost = said(label.join(met, [key, "id"], "left_anti"), "not connected", F.col("id"))
-    return out.unionByName(lost).distinct()
+    return twice.unionByName(broken).unionByName(lost)
 
 
 def field_inconsistencies(relations: DataFrame, order: str) -> DataFrame:

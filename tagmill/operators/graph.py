@@ -88,6 +88,14 @@ def components_within(edges: DataFrame, key: str) -> DataFrame:
     return out.unionByName(rounds.select(F.col("id.k").alias(key), F.col("id.v").alias("id"), F.col("component.v").alias("component")))
 
 
+def reached_within(edges: DataFrame, anchors: DataFrame, key: str) -> DataFrame:
+    """(key, id) of the nodes of many graphs' edges (key, a, b) that lead to or from an anchor (key, id) of the same graph, in either direction, and the anchors."""
+    classes = cut(components_within(edges, key), "classes")
+    start = anchors.select(key, "id").filter(F.col(key).isNotNull() & F.col("id").isNotNull()).distinct()
+    near = classes.join(start, [key, "id"], "left_semi").select(key, "component").distinct()
+    return classes.join(near, [key, "component"], "left_semi").select(key, "id").unionByName(start).distinct()
+
+
 def reachable(edges: DataFrame, anchors: DataFrame) -> DataFrame:
     """(id) of all nodes that directed edges (a, b) reach from ``anchors`` (id), these included; one join a level.
 
