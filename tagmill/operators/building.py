@@ -89,5 +89,7 @@ def preflight(docs: DataFrame, surfaces: DataFrame, key: str) -> tuple[DataFrame
 
 def token_spans(spans: Column, tokens: Column) -> Column:
     """Spans (start, end, label) as [first token, last token, label] over ``tokens`` (start, end): both arrays of one row, for short texts."""
-    place = lambda s, test: F.filter(F.transform(tokens, lambda t, i: F.when(test(t, s), i)), lambda i: i.isNotNull())
-    return F.transform(spans, lambda s: F.struct(F.array_min(place(s, lambda t, s: t["end"] > s["start"])).alias("first"), F.array_max(place(s, lambda t, s: t["start"] < s["end"])).alias("last"), s["label"].alias("label")))
+    place = lambda ts, test: F.filter(F.transform(ts, lambda t, i: F.when(test(t), i)), lambda i: i.isNotNull())
+    ends = lambda ts, s: F.struct(F.array_min(place(ts, lambda t: t["end"] > s["start"])).alias("first"), F.array_max(place(ts, lambda t: t["start"] < s["end"])).alias("last"), s["label"].alias("label"))
+    # the tokens are made once a row and held: an expression inside a lambda is worked out again for each span
+    return F.element_at(F.transform(F.array(tokens), lambda ts: F.transform(spans, lambda s: ends(ts, s))), 1)
