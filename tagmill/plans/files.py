@@ -13,7 +13,7 @@ from tagmill.written import new_folder
 
 def _jsonl(spark, d):
     path = new_folder(spark, "docs.jsonl")
-    documents(spark, d, "doc_id", "lang", "text").repartition(3).write.json(path)
+    documents(spark, d, "doc_id", "lang", "text").write.json(path)
     back = readers.normalise_shape(readers.read_jsonl(spark, [path], "doc_id long, lang string, text string").withColumn("schema", F.col("lang")))
     return back.groupBy("output").agg(F.count("*").alias("n"), F.sum(F.length("input")).alias("chars"), F.min(F.md5("input")).alias("least"))
 
