@@ -20,13 +20,16 @@ from tagmill.written import cut, new_folder
 
 def _events(spark, d):
     """Odd order lines as events, even ones near by as their parts; a part belongs to one event only, flags to all they fit."""
-    li = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice").groupBy("l_orderkey", F.col("l_linenumber").cast("long").alias("n")).agg(F.min("l_quantity").cast("double").alias("q"), F.min("l_extendedprice").cast("double").alias("p"))
-    anchors = li.filter("n % 2 = 1").select("l_orderkey", F.col("n").alias("anchor"), F.col("q").alias("aq"), F.col("p").alias("ap"))
-    parts = li.filter("n % 2 = 0").select("l_orderkey", F.col("n").alias("mention"), "q", "p")
-    near = anchors.join(parts, "l_orderkey").filter("abs(anchor - mention) <= 3")
-    score = lambda a, b: F.round(1 / (1 + F.abs(F.col(a) - F.col(b))), 6)
-    offers = near.select("l_orderkey", "anchor", "mention", F.inline(F.array(F.struct(F.lit("part").alias("field"), score("aq", "q").alias("score")), F.struct(F.lit("flag").alias("field"), score("ap", "p").alias("score")))))
-    out = ev.bind_fields(anchors, offers, ["l_orderkey"], [ev.Field("part", 1, 1), ev.Field("flag", 0, 2, exclusive=False)])
+    li = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice").repartition("l_orderkey")
+    lines = li.groupBy("l_orderkey", F.col("l_linenumber").cast("long").alias("n")).agg(F.min("l_quantity").cast("double").alias("q"), F.min("l_extendedprice").cast("double").alias("p"))
+    orders = lines.groupBy("l_orderkey").agg(F.collect_list(F.struct("n", "q", "p")).alias("lines"))
+    odd, even = F.filter("lines", lambda x: x["n"] % 2 == 1), F.filter("lines", lambda x: x["n"] % 2 == 0)
+    offer = lambda a, m, field, c: F.struct(a["n"].alias("anchor"), F.lit(field).alias("field"), m["n"].alias("mention"), F.round(1 / (1 + F.abs(a[c] - m[c])), 6).alias("score"))
+    near = lambda a: F.filter("even", lambda m: F.abs(a["n"] - m["n"]) <= 3)
+    offers = F.flatten(F.transform("odd", lambda a: F.flatten(F.transform(near(a), lambda m: F.array(offer(a, m, "part", "q"), offer(a, m, "flag", "p"))))))
+    sides = orders.select("l_orderkey", odd.alias("odd"), even.alias("even"))
+    rows = sides.select("l_orderkey", F.transform("odd", lambda a: a["n"]).alias("anchors"), F.when(F.col("l_orderkey").isNotNull(), offers).alias("offers"))
+    out = ev.bind_rows(rows, ["l_orderkey"], [ev.Field("part", 1, 1), ev.Field("flag", 0, 2, exclusive=False)])
     items = lambda f: F.coalesce(F.array_join(F.transform(F.try_element_at("fields", F.lit(f)), lambda x: x["mention"].cast("string")), ","), F.lit(""))
     return out.select("l_orderkey", "anchor", items("part").alias("part"), items("flag").alias("flags"), F.array_join("missing", ",").alias("missing"), "complete")
 
