@@ -19,9 +19,13 @@ def write_splits(rows: DataFrame, path: str) -> None:
 
 
 def write_files_of(rows: DataFrame, path: str, size: int, by: str, order: str) -> None:
-    """JSON lines, ``size`` rows a file in ``order``, counted inside each value of ``by`` over range partitions."""
+    """JSON lines, ``size`` rows a file in ``order``, counted inside each value of ``by`` over range partitions.
+
+    The files are dealt to a fixed number of tasks: a task's cost is its files, not its bytes, by which adaptive execution would put them all into one.
+    """
+    tasks = max(4, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     placed = ranked(rows, [by], [order], "_nth").withColumn("file", F.floor((F.col("_nth") - 1) / size).cast("int")).drop("_nth")
-    placed.repartition(by, "file").sortWithinPartitions(by, "file", order).write.mode("overwrite").partitionBy(by, "file").json(path)
+    placed.repartition(tasks, by, "file").sortWithinPartitions(by, "file", order).write.mode("overwrite").partitionBy(by, "file").json(path)
 
 
 def report(rows: DataFrame) -> str:

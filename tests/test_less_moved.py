@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tagmill.operators import events
 from tagmill.plans import registry
+from tagmill.sources.writers import write_files_of
 
 DATA = "/root/testdata/sf0.001"
 
@@ -18,3 +19,10 @@ def test_events_take_one_shuffle(spark):
     rows = spark.sql("select 1 as k, array('a', 'b', 'a') as anchors, array(named_struct('anchor', 'b', 'field', 'part', 'mention', 'm', 'score', 0.5d), named_struct('anchor', 'a', 'field', 'part', 'mention', 'm', 'score', 0.5d), named_struct('anchor', 'b', 'field', 'flag', 'mention', 'm', 'score', 0.2d), named_struct('anchor', 'b', 'field', 'flag', 'mention', 'm', 'score', 0.4d)) as offers union all select 2, array('c'), null union all select 3, null, array()")
     got = {(r.k, r.anchor): (r.fields, r.missing) for r in events.bind_rows(rows, ["k"], fields).collect()}
     assert got == {(1, "a"): ({"part": [("m", 0.5)]}, []), (1, "b"): ({"flag": [("m", 0.4)]}, ["part"]), (2, "c"): (None, ["part"])}
+
+
+def test_numbered_files_are_written_by_several_tasks(spark, tmp_path):
+    write_files_of(spark.range(400).selectExpr("id", "id % 2 as half"), f"file://{tmp_path}/f", 10, "half", "id")
+    files = [p for folder in (tmp_path / "f").glob("half=*/file=*") for p in folder.glob("*.json")]
+    assert len(files) == 40 and len({p.name.split("-")[1] for p in files}) > 1
+    assert all(len(p.read_text().splitlines()) == 10 for p in files)
