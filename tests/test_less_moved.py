@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tagmill.operators import events
+from tagmill.operators.tokens import detokenise, detokenise_rows
 from tagmill.plans import registry
 from tagmill.sources.writers import write_files_of
 
@@ -26,3 +27,19 @@ def test_numbered_files_are_written_by_several_tasks(spark, tmp_path):
     files = [p for folder in (tmp_path / "f").glob("half=*/file=*") for p in folder.glob("*.json")]
     assert len(files) == 40 and len({p.name.split("-")[1] for p in files}) > 1
     assert all(len(p.read_text().splitlines()) == 10 for p in files)
+
+
+def test_tokens_are_joined_without_windows(spark):
+    assert "Window" not in registry()["detokenise"].run(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    texts = {1: '" a . b " . . . . c', 2: ". .", 3: "", 4: 'x " 1 . 2', 5: "…"}
+    rows = spark.createDataFrame([(k, [(i + 10, t) for i, t in enumerate(x.split())]) for k, x in texts.items()] + [(6, None)], "k int, tokens array<struct<pos:int,token:string>>")
+    for dots, want in ((True, {1: '"a. b" ... c', 2: "..", 4: 'x "1.2', 5: "…"}), (False, {1: '"a. b".... c', 2: "..", 4: 'x "1.2', 5: "…"})):
+        out = detokenise_rows(rows, "k", dots).orderBy("k", "pos").collect()
+        said: dict = {}
+        for r in out:
+            said[r.k] = said.get(r.k, "") + r.sep + r.token
+            assert len(said[r.k]) == r.end and said[r.k][r.start :] == r.token
+        assert said == want
+    odd = detokenise(spark.createDataFrame([("d", 1, None, "x"), ("d", 2, "a", "y"), (None, 1, ",", "z")], "doc string, pos int, token string, note string"), "doc").collect()
+    assert sorted((str(r.doc), r.pos, r.token, r.note, r.start, r.end) for r in odd if r.token) == [("None", 1, ",", "z", 0, 1), ("d", 2, "a", "y", 1, 2)]
+    assert [(r.start, r.end, r.note) for r in odd if r.token is None] == [(None, 0, "x")]
