@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import duckdb
+
 from tagmill.operators import events
 from tagmill.operators.tokens import detokenise, detokenise_rows
 from tagmill.plans import registry
@@ -43,3 +45,21 @@ def test_tokens_are_joined_without_windows(spark):
     odd = detokenise(spark.createDataFrame([("d", 1, None, "x"), ("d", 2, "a", "y"), (None, 1, ",", "z")], "doc string, pos int, token string, note string"), "doc").collect()
     assert sorted((str(r.doc), r.pos, r.token, r.note, r.start, r.end) for r in odd if r.token) == [("None", 1, ",", "z", 0, 1), ("d", 2, "a", "y", 1, 2)]
     assert [(r.start, r.end, r.note) for r in odd if r.token is None] == [(None, 0, "x")]
+
+
+def same_on(spark, folder, name: str, documents: list[tuple]) -> bool:
+    """Whether the query gives DuckDB's rows on ``documents`` (doc_id, lang, text)."""
+    spark.createDataFrame(documents, "doc_id long, lang string, text string").coalesce(1).write.parquet(f"file://{folder}/documents.parquet")
+    item, con = registry()[name], duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
+    ours = item.run(spark, f"file://{folder}")
+    rows = lambda found: sorted(map(repr, found))
+    want = con.execute(f"select {', '.join(ours.columns)} from ({item.sql})").fetchall()
+    return rows(tuple(r) for r in ours.collect()) == rows(want) and bool(want)
+
+
+def test_words_of_a_document_are_counted_before_they_are_moved(spark, tmp_path):
+    plan = registry()["conservation_check"].run(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("Exchange ") > plan.rindex("Generate ")
+    docs = [(1, "tr", "Ev ev EVLER evler ... a,b,c,d x"), (1, "tr", "evler Kapılar"), (1, "en", "evler"), (2, "tr", ""), (3, "tr", None), (None, "tr", "Çiçekler çiçekler"), (4, None, "words Words"), (5, "de", None)]
+    assert same_on(spark, tmp_path, "conservation_check", docs)
