@@ -63,19 +63,22 @@ def cached_each(rows: DataFrame, column: str, compute: Callable[[Column], Column
     """(``rows`` with ``name``, how many values were computed): as ``once_each``, with what was computed before kept at ``path``.
 
     The table there has (key, value, result), the key being the SHA-256 of the value. Values whose key is not in it are computed and
-    appended as one more run of files; a second run over the same rows computes none. Null values stay null.
+    appended as one more run of files, once; a second run over the same rows computes none. Null values stay null. New values meet
+    the known keys in one shuffle, in which equal values are one before it; keys are moved as bytes.
     """
     spark = rows.sparkSession
-    keyed = lambda f: f.withColumn("_key", F.sha2(F.col(column).cast("string"), 256))
-    known = keyed(rows.select(column).filter(F.col(column).isNotNull()).distinct())
+    keyed = lambda f: f.withColumn("_key", F.unhex(F.sha2(F.col(column).cast("string"), 256)))
+    stored = lambda: spark.read.parquet(path)
+    asked = keyed(rows.select(column).filter(F.col(column).isNotNull())).withColumn("_known", F.lit(False))
+    before = 0
     if complete(spark, path):
-        known = known.join(spark.read.parquet(path).select(F.col("key").alias("_key")), "_key", "left_anti")
-    fresh = cut(known.select(F.col("_key").alias("key"), F.col(column).alias("value"), compute(F.col(column)).alias("result")), "fresh")
-    count = fresh.count()
-    if count or not complete(spark, path):
-        fresh.write.mode("append").parquet(path)
-    there = spark.read.parquet(path).select(F.col("key").alias("_key"), F.col("result").alias(name))
-    return keyed(rows).join(there, "_key", "left").select(*rows.columns, name), count
+        before = stored().count()
+        asked = asked.unionByName(stored().select(F.unhex("key").alias("_key"), F.lit(True).alias("_known")), allowMissingColumns=True)
+    fresh = asked.groupBy("_key").agg(F.first(column, ignorenulls=True).alias(column), F.max("_known").alias("_known")).filter("not _known")
+    fresh.select(F.lower(F.hex("_key")).alias("key"), F.col(column).alias("value"), compute(F.col(column)).alias("result")).write.mode("append").option("compression", "zstd").parquet(path)
+    there = stored()
+    found = keyed(rows).join(there.select(F.unhex("key").alias("_key"), F.col("result").alias(name)), "_key", "left")
+    return found.select(*rows.columns, name), there.count() - before
 
 
 def staged(spark, path: str, stages: list[tuple[str, Callable[[DataFrame | None], DataFrame]]], start: str | None = None) -> tuple[DataFrame, list[str]]:

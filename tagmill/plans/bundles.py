@@ -62,7 +62,7 @@ select case when r then 'rejected' when flags <> '' then 'flagged' else 'accepte
 def _cache(spark, d):
     """Sentences scored once each, however often they stand, into a table that a second run finds; and what is left to do after a first block that passed a gate."""
     sentences = documents(spark, d, "doc_id", "text").select("doc_id", F.explode(t.sentences(F.col("text"))).alias("s"))
-    s, path = cut(sentences, "sentences"), new_folder(spark, "scores")
+    s, path = cut(sentences, "sentences", "zstd"), new_folder(spark, "scores")
     vowels = lambda c: F.length(F.regexp_replace(c, "[^aeiou]", ""))
     b.cached_each(s.filter("doc_id % 2 = 0"), "s", vowels, "score", path)
     found, _ = b.cached_each(s, "s", vowels, "score", path)

@@ -30,11 +30,11 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/tagmill-{uuid.uuid4().hex}/{label}"
 
 
-def cut(frame: DataFrame, label: str = "table") -> DataFrame:
-    """Write ``frame`` as Parquet to the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
+def cut(frame: DataFrame, label: str = "table", compression: str | None = None) -> DataFrame:
+    """Write ``frame`` as Parquet to the shared folder and read it back: lineage ends there, and a lost executor costs nothing. ``compression`` is the session's unless given."""
     spark = frame.sparkSession
     path = new_folder(spark, label)
-    frame.write.parquet(path)
+    frame.write.parquet(path, compression=compression)
     back = spark.read.schema(frame.schema).parquet(path)
     back._tagmill_path = path
     return back

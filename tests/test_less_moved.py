@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import duckdb
+from pyspark.sql import functions as F
 
-from tagmill.operators import events
+from tagmill.operators import bundles, events
 from tagmill.operators.tokens import detokenise, detokenise_rows
 from tagmill.plans import registry
 from tagmill.sources.writers import write_files_of
+from tagmill.written import cut
 
 DATA = "/root/testdata/sf0.001"
 
@@ -63,3 +67,13 @@ def test_words_of_a_document_are_counted_before_they_are_moved(spark, tmp_path):
     assert plan.rindex("Exchange ") > plan.rindex("Generate ")
     docs = [(1, "tr", "Ev ev EVLER evler ... a,b,c,d x"), (1, "tr", "evler Kapılar"), (1, "en", "evler"), (2, "tr", ""), (3, "tr", None), (None, "tr", "Çiçekler çiçekler"), (4, None, "words Words"), (5, "de", None)]
     assert same_on(spark, tmp_path, "conservation_check", docs)
+
+
+def test_cached_values_are_written_once_and_meet_the_known_in_one_shuffle(spark, tmp_path, monkeypatch):
+    written = []
+    monkeypatch.setattr(bundles, "cut", lambda frame, label="table": written.append(label) or cut(frame, label))
+    rows = spark.createDataFrame([(1, "aa"), (2, "b"), (3, "aa"), (4, None), (5, "")], "id int, s string")
+    path = f"file://{tmp_path}/cache"
+    assert [bundles.cached_each(f, "s", lambda c: F.length(c), "n", path)[1] for f in (rows.filter("id = 1"), rows, rows)] == [1, 2, 0] and not written
+    stored = spark.read.parquet(path).orderBy("value").collect()
+    assert [(r.key, r.value, r.result) for r in stored] == [(hashlib.sha256(v.encode()).hexdigest(), v, len(v)) for v in ("", "aa", "b")]
