@@ -65,16 +65,21 @@ def copied_hints(docs: DataFrame, hints: DataFrame, values: DataFrame, key: str,
     """(key, hint) of the ``hints`` (key, hint) of which ``n`` words in a row stand in the text of ``docs`` (key, text).
 
     ``values`` (key, value) are taken out of both sides first, the longer before the shorter, as a long value would count
-    as copying. Words are compared in lower case; hints with fewer words are never copies; null texts hold nothing.
+    as copying. Words are compared in lower case; hints with fewer words are never copies; null texts hold nothing. A text's words
+    are made once, whatever its hints are.
     """
     longest = F.transform(F.array_sort(F.collect_set(F.struct((-F.length("value")).alias("n"), "value"))), lambda v: v["value"])
     taken = values.filter("value <> ''").groupBy(key).agg(longest.alias("_v"))
+    asked = hints.filter("hint is not null").groupBy(key).agg(F.collect_set("hint").alias("_hints"))
     bare = lambda c: F.aggregate(F.coalesce("_v", F.array().cast("array<string>")), F.coalesce(c, F.lit("")), lambda t, v: F.replace(t, v, F.lit(" ")))
     words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+", -1), lambda w: w != "")
-    both = hints.join(docs.select(key, "text"), key).join(taken, key, "left")
-    both = both.select(key, "hint", words(bare(F.col("hint"))).alias("_h"), F.concat(F.lit(" "), F.array_join(words(bare(F.col("text"))), " "), F.lit(" ")).alias("_t"))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_h") - n + 1, F.lit(1))), lambda i: F.concat(F.lit(" "), F.array_join(F.slice("_h", i, n), " "), F.lit(" ")))
-    return both.filter((F.size("_h") >= n) & F.exists(runs, lambda r: F.contains(F.col("_t"), r))).select(key, "hint").distinct()
+    spaced = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: spaced(F.slice(w, i, n)))
+    # arrays of one hold what is used more than once: a column named in a lambda would be worked out at each use
+    copied = lambda text, hint: F.exists(F.array(words(bare(hint))), lambda w: (F.size(w) >= n) & F.exists(runs(w), lambda r: F.contains(text, r)))
+    both = docs.select(key, "text").join(asked, key).join(taken, key, "left")
+    found = F.flatten(F.transform(F.array(spaced(words(bare(F.col("text"))))), lambda text: F.filter("_hints", lambda hint: copied(text, hint))))
+    return both.select(key, F.explode(found).alias("hint")).distinct()
 
 
 def lines_missing(part: DataFrame, whole: DataFrame) -> DataFrame:

@@ -77,3 +77,11 @@ def test_cached_values_are_written_once_and_meet_the_known_in_one_shuffle(spark,
     assert [bundles.cached_each(f, "s", lambda c: F.length(c), "n", path)[1] for f in (rows.filter("id = 1"), rows, rows)] == [1, 2, 0] and not written
     stored = spark.read.parquet(path).orderBy("value").collect()
     assert [(r.key, r.value, r.result) for r in stored] == [(hashlib.sha256(v.encode()).hexdigest(), v, len(v)) for v in ("", "aa", "b")]
+
+
+def test_texts_are_read_once_beside_their_hints(spark, tmp_path):
+    plan = registry()["ngram_copy_guard"].run(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("documents.parquet") == 1
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    docs = [(1, "a", long), (2, "a", f"... {long.upper()}, four five SIX seven"), (3, "a", "x y z"), (4, "a", None), (5, "a", "b c d e f g h i j k l m n o p q r"), (6, "a", "-b c d e f g h i j k l m"), (7, "a", ""), (8, "a", "a b c d e f")]
+    assert same_on(spark, tmp_path, "ngram_copy_guard", docs)
