@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tagmill.operators import bundles, events
 from tagmill.operators.tokens import detokenise, detokenise_rows
-from tagmill.plans import registry
+from tagmill.plans import records, registry
 from tagmill.sources.writers import write_files_of
 from tagmill.written import cut
 
@@ -69,6 +69,27 @@ def test_words_of_a_document_are_counted_before_they_are_moved(spark, tmp_path):
     assert same_on(spark, tmp_path, "conservation_check", docs)
 
 
+def shuffled(spark) -> int:
+    """Bytes that the session's stages have put into shuffles so far."""
+    none = spark._jvm.java.util.ArrayList()
+    stages = spark._jsc.sc().statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_of_documents_of_one_row_stay_where_they_are_read(spark):
+    began = shuffled(spark)
+    assert registry()["conservation_check"].run(spark, DATA).count() == 4
+    assert 0 < shuffled(spark) - began < 60_000  # the texts are 290,000 bytes of Parquet
+
+
+def test_words_of_a_large_document_need_not_meet_in_one_row(spark, tmp_path, monkeypatch):
+    docs = [(k, lang, text) for k in (1, 2, None) for lang in ("tr", "en", None) for text in ("Ev ev EVLER evler ... a,b,c,d x", "Ölçü ölçü evler\u00a0Kapılar", " \n", None, "..." * 5, "Zeytin ZEYTIN zeytin")]
+    docs += [(3, "tr", "evler EVLER"), (3, "de", "  "), (3, "de", "Haus haus"), (4, "fr", " "), (5, "en", "House houses"), (5, "en", "HOUSES house")]
+    for most in (0, 64, 1 << 24):  # by words, some by words, in one row
+        monkeypatch.setattr(records, "_TOGETHER", most)
+        assert same_on(spark, tmp_path / str(most), "conservation_check", docs)
+
+
 def test_cached_values_are_written_once_and_meet_the_known_in_one_shuffle(spark, tmp_path, monkeypatch):
     written = []
     monkeypatch.setattr(bundles, "cut", lambda frame, label="table": written.append(label) or cut(frame, label))
