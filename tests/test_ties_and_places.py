@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tagmill.operators.relations import best_label
@@ -43,3 +44,23 @@ def test_places_and_not_pairs_are_compared(spark):
     n = spark.range(200_000)
     sides, spans = n.selectExpr("1 as k", "id", "5 as start", "9 as end"), n.selectExpr("1 as k", "id as i", "6 as start", "20 as end", "'s' || id as label")
     assert best_label(sides, spans, "k").agg(F.count("*"), F.min("label"), F.max("label")).collect()[0] == (200_000, "s0", "s0")
+
+
+def same_structures(spark, folder, rows: list[tuple]) -> bool:
+    """Whether the query gives the rows of its SQL on ``rows`` of lineitem; one thread, so that the SQL's ties go by the table's order."""
+    names = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"]
+    spark.createDataFrame(rows, ", ".join(f"{n} {t}" for n, t in zip(names, ["long"] * 3 + ["int"] + ["string"] * 2, strict=True))).coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
+    item, con = registry()["structure_assembly"], duckdb.connect()
+    con.execute("set threads = 1")
+    con.execute(f"create view lineitem as select * from '{folder}/lineitem.parquet/*.parquet'")
+    ours = item.run(spark, str(folder))
+    want = con.execute(f"select {', '.join(ours.columns)} from ({item.sql})").fetchall()
+    return sorted(map(repr, map(tuple, ours.collect()))) == sorted(map(repr, want)) and bool(want)
+
+
+def test_nulls_of_lines_go_as_in_the_sql(spark, tmp_path):
+    """A line with a null key has no score, a null flag is taken where there is no other, and lines without number don't meet."""
+    draw = random.Random(3)
+    upto = lambda n: draw.choice([*range(1, n + 1), None])
+    rows = [(upto(5), upto(8), upto(3), upto(7), draw.choice(["R", "N", "A", None]), draw.choice(["O", "F", None])) for _ in range(400)]
+    assert same_structures(spark, tmp_path, rows)
