@@ -48,8 +48,7 @@ def test_places_and_not_pairs_are_compared(spark):
 
 def same_structures(spark, folder, rows: list[tuple]) -> bool:
     """Whether the query gives the rows of its SQL on ``rows`` of lineitem; one thread, so that the SQL's ties go by the table's order."""
-    names = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"]
-    spark.createDataFrame(rows, ", ".join(f"{n} {t}" for n, t in zip(names, ["long"] * 3 + ["int"] + ["string"] * 2, strict=True))).coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string").coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
     item, con = registry()["structure_assembly"], duckdb.connect()
     con.execute("set threads = 1")
     con.execute(f"create view lineitem as select * from '{folder}/lineitem.parquet/*.parquet'")
@@ -62,5 +61,24 @@ def test_nulls_of_lines_go_as_in_the_sql(spark, tmp_path):
     """A line with a null key has no score, a null flag is taken where there is no other, and lines without number don't meet."""
     draw = random.Random(3)
     upto = lambda n: draw.choice([*range(1, n + 1), None])
-    rows = [(upto(5), upto(8), upto(3), upto(7), draw.choice(["R", "N", "A", None]), draw.choice(["O", "F", None])) for _ in range(400)]
+    rows = [(upto(5), upto(8), upto(3), upto(7), draw.choice(["R", "N", "A", None])) for _ in range(400)]
     assert same_structures(spark, tmp_path, rows)
+
+
+def test_every_line_number_and_supplier_is_told(spark, tmp_path):
+    """An order of many lines: each line number is an instance of its own with its own flag and suppliers."""
+    draw = random.Random(5)
+    rows = [(k, draw.randrange(2000), draw.randrange(100), 1 + n % 7, draw.choice("RNA")) for k in range(30) for n in range(40)]
+    assert same_structures(spark, tmp_path, rows)
+    out = registry()["structure_assembly"].run(spark, str(tmp_path)).collect()
+    assert {r.instance for r in out} == set(range(1, 8))
+    suppliers = {(k, n): set() for k, _, _, n, _ in rows}
+    for k, _, s, n, _ in rows:
+        suppliers[k, n].add(str(s))
+    said = {(r.l_orderkey, r.instance): r.suppliers.split(",") for r in out if r.suppliers}
+    assert len(said) > 100 and all(len(set(s)) == len(s) and set(s) <= suppliers[at] for at, s in said.items())
+
+
+def test_of_many_choices_all_are_taken_by_score(spark):
+    rows = spark.createDataFrame([(1, "many", "b", 0.9, 1), (1, "many", "a", 0.9, 2), (1, "many", "c", 0.95, 3), (1, "many", "c", 0.7, 0), (1, "one", "y", 0.8, 2), (1, "one", "x", 0.8, 3), (1, "many", "d", 0.3, 4), (2, "one", "z", 0.4, 5)], "k int, field string, value string, p double, n int").withColumn("instance", F.lit(0))
+    assert [r["values"] for r in structures(rows, ["k"], {"many": True, "one": False}, 0.5, ["n"]).collect()] == [{"many": ["c", "a", "b"], "one": ["y"]}]
