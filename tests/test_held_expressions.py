@@ -39,3 +39,12 @@ def test_json_lines_are_written_without_a_shuffle(spark, monkeypatch):
 
     monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.repartition", refused)
     assert registry()["jsonl_round_trip"].run(spark, "/root/testdata/sf0.001").count() == 4
+
+
+def test_a_sentence_of_many_words_is_found_apart(spark):
+    """A pattern of 20,000 words in a row ended the stack, and with it the executor; words may hold the pattern's own quotes."""
+    texts = ["Ab  " + "word " * 20_000 + "end. Next\n one.", r"Say \E and  \Q(x) a\Eb. Then a\Eb."]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, text string")
+    said = F.transform(sentences(F.col("text")), lambda s: squeeze(s))
+    out = {r.i: [texts[r.i][x.start : x.end] for x in r.at] for r in rows.select("i", align_sentences(F.col("text"), said).alias("at")).collect()}
+    assert out == {0: [texts[0][: -len(" Next\n one.")], "Next\n one."], 1: [r"Say \E and  \Q(x) a\Eb.", r"Then a\Eb."]}
